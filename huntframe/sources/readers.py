@@ -29,7 +29,7 @@ def scan_events(spark: SparkSession, path: str, start: datetime | None = None,
     return df
 
 
-def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON Lines under a declared schema; a path that is not there reads as empty."""
     try:
         return spark.read.schema(schema).json(path)
@@ -39,7 +39,7 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def scan_json_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Files that each hold one JSON document (an object, or an array of objects)."""
     return (spark.read.schema(schema).option("multiLine", True)
             .option("recursiveFileLookup", True).json(path))

@@ -35,18 +35,15 @@ def event_schema(event_type: str) -> T.StructType:
     return T.StructType.fromDDL(f"{_COMMON}, {_EXTRA[event_type]}")
 
 
-RULES = T.StructType.fromDDL("""
-    rule_id string, source_file string, description_raw string, query string,
-    tactics array<string>, techniques array<string>, complexity_tier string""")
-VERDICTS = T.StructType.fromDDL("rule_id string, verdict string, notes string")
-VARIANTS = T.StructType.fromDDL("rule_id string, casual string, sop_imperative string")
-COMPARISON = T.StructType.fromDDL("""
-    pair_id string, complexity_tier string, system_a_kql string, system_b_kql string,
-    system_b_success boolean, system_b_attempts_used int""")
-SCORECARD = T.StructType.fromDDL("""
-    template string, completed boolean, fire_ok boolean, nofire_ok boolean,
-    total_tokens long, elapsed_s double""")
-RATERS = T.StructType.fromDDL("rule_id string, rater string, condition string, score int")
-CALIBRATION = T.StructType.fromDDL("""
-    rule_id string, manual_pass boolean, verifier_pass boolean, verifier_issue string""")
-CHUNKS = T.StructType.fromDDL("id string, text string, metadata map<string,string>")
+# DDL of the tables the batch jobs read.
+RULES = """rule_id string, source_file string, description_raw string, query string,
+    tactics array<string>, techniques array<string>, complexity_tier string"""
+VERDICTS = "rule_id string, verdict string, notes string"
+VARIANTS = "rule_id string, casual string, sop_imperative string"
+COMPARISON = """pair_id string, complexity_tier string, system_a_kql string, system_b_kql string,
+    system_b_success boolean, system_b_attempts_used int"""
+SCORECARD = """template string, completed boolean, fire_ok boolean, nofire_ok boolean,
+    total_tokens long, elapsed_s double"""
+RATERS = "rule_id string, rater string, condition string, score int"
+CALIBRATION = "rule_id string, manual_pass boolean, verifier_pass boolean, verifier_issue string"
+CHUNKS = "id string, text string, metadata map<string,string>"

@@ -12,14 +12,19 @@ def write_events(df: DataFrame, path: str, time: str = "TimeGenerated", day: str
     df.withColumn(day, F.to_date(time)).write.mode("overwrite").partitionBy(day).parquet(path)
 
 
+# Times keep their microseconds in JSON text.
+_JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").options(**_JSON_TIMES).json(path)
 
 
 def write_routed(df: DataFrame, path: str, accepted: Column, route: str = "is_normalized") -> None:
     """Send each row to one of two folders by a test, in one pass over the input."""
     routed = df.withColumn(route, F.coalesce(accepted, F.lit(False)))
-    routed.write.mode("overwrite").partitionBy(route).json(path)
+    routed.write.mode("overwrite").options(**_JSON_TIMES).partitionBy(route).json(path)
 
 
 def append_results(results: DataFrame, path: str, key: str) -> DataFrame:
