@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from huntframe.functions.predicates import Field, col_of
 from huntframe.operators.aggregates import avg, count, maximum, minimum, percentile, summarize
@@ -37,7 +38,7 @@ def recovery_rate(df: DataFrame, succeeded: Column, attempts: Field, by: list[st
     ).withColumn("rate", F.coalesce(_rate(F.col("recovered"), F.col("failed_first")), F.lit(0.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _upper_chi_square(statistic: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return statistic.map(lambda x: math.erfc(math.sqrt(x / 2)))
