@@ -116,43 +116,45 @@ not_endswith, not_endswith_cs = _negated(endswith), _negated(endswith_cs)
 
 
 # --- whole terms -----------------------------------------------------------------------------
+#
+# A boundary is only asked for on a side whose own edge character is part of a word: ``.ps1`` is
+# found in ``payload.ps1``.
 
-def _wordlike(ch: str) -> bool:
-    return ch.isalnum() or ch == "_"
+_NO_WORD_BEFORE = "(?<![A-Za-z0-9_]{})"
+_NO_WORD_AFTER = "(?![A-Za-z0-9_])"
 
 
-def _term_pattern(term: str) -> str:
-    # A boundary is only asked for on a side whose own edge character is part of a word.
-    before = "(?<![A-Za-z0-9_])" if _wordlike(term[0]) else ""
-    after = "(?![A-Za-z0-9_])" if _wordlike(term[-1]) else ""
-    return before + _java_quote(term) + after
+def _wordlike(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
 
 
-def _java_quote(term: str) -> str:
+def _quoted(term: str) -> str:
     return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def _term_pattern_of(value: Column) -> Column:
-    word = r"[\p{L}\p{N}_]"
-    return F.concat(
-        F.when(value.rlike("^" + word), F.lit("(?<![A-Za-z0-9_])")).otherwise(F.lit("")),
-        F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"),
-        F.when(value.rlike(word + "$"), F.lit("(?![A-Za-z0-9_])")).otherwise(F.lit("")),
-    )
+def _has_literal(subject: Column, term: str) -> Column:
+    """Whether the subject holds the term; the cheap substring test spares most rows the regex."""
+    found = subject.contains(term)
+    quoted = _quoted(term)
+    # The term comes first and the look behind reaches over it, so that the search can skip ahead.
+    before = _NO_WORD_BEFORE.format(quoted) if _wordlike(term[0]) else ""
+    after = _NO_WORD_AFTER if _wordlike(term[-1]) else ""
+    return found & subject.rlike(quoted + before + after) if before or after else found
 
 
-def _has(field: Field, value: Value, flags: str) -> Column:
-    if isinstance(value, Column):
-        term = text(value)
-        return (term != "") & F.rlike(text(field), F.concat(F.lit(flags), _term_pattern_of(term)))
-    term = str(value)
-    if not term:
-        return F.lit(False)
-    return _present(field, col_of(field).cast("string").rlike(flags + _term_pattern(term)))
+def _has_column(subject: Column, term: Column) -> Column:
+    word = r"[\p{L}\p{N}_]"
+    quoted = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    before = F.when(term.rlike("^" + word), F.lit(_NO_WORD_BEFORE.format(""))).otherwise("")
+    after = F.when(term.rlike(word + "$"), F.lit(_NO_WORD_AFTER)).otherwise("")
+    return (term != "") & F.rlike(subject, F.concat(before, quoted, after))
 
 
 def has(field: Field, value: Value) -> Column:
-    return _has(field, value, "(?iu)")
+    if isinstance(value, Column):
+        return _has_column(F.lower(text(field)), F.lower(text(value)))
+    term = str(value).lower()
+    return _present(field, _has_literal(F.lower(col_of(field).cast("string")), term)) if term else F.lit(False)
 
 
 def not_has(field: Field, value: Value) -> Column:
@@ -160,7 +162,10 @@ def not_has(field: Field, value: Value) -> Column:
 
 
 def has_cs(field: Field, value: Value) -> Column:
-    return _has(field, value, "")
+    if isinstance(value, Column):
+        return _has_column(text(field), text(value))
+    term = str(value)
+    return _present(field, _has_literal(col_of(field).cast("string"), term)) if term else F.lit(False)
 
 
 def not_has_cs(field: Field, value: Value) -> Column:
@@ -168,11 +173,7 @@ def not_has_cs(field: Field, value: Value) -> Column:
 
 
 def has_any(field: Field, values: Iterable[str]) -> Column:
-    terms = [str(v) for v in values if str(v)]
-    if not terms:
-        return F.lit(False)
-    pattern = "(?iu)(?:" + "|".join(_term_pattern(t) for t in terms) + ")"
-    return _present(field, col_of(field).cast("string").rlike(pattern))
+    return any_of(*[has(field, v) for v in values])
 
 
 def has_all(field: Field, values: Iterable[str]) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,8 +102,6 @@ def substring(x: Field, start: int, length: int | None = None) -> Column:
 
 def replace(x: Field, pattern: str, rewrite: str) -> Column:
     r"""Regex replacement; ``\1`` refers to a group."""
-    import re
-
     escaped = rewrite.replace("$", "\\$")
     return F.regexp_replace(text(x), pattern, re.sub(r"\\(\d)", r"$\1", escaped))
 
@@ -323,14 +323,16 @@ def array_slice(x: Field, start: int, end: int) -> Column:
 
 # --- IP addresses ----------------------------------------------------------------------------
 
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
 def parse_ipv4(x: Field) -> Column:
     """Dotted quad as a number, null when the text is not one."""
-    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     ip = text(x)
     parts = F.split(ip, r"\.")
     number = sum((F.try_element_at(parts, F.lit(i + 1)).try_cast("long") * F.lit(256 ** (3 - i))
                   for i in range(4)), F.lit(0).cast("long"))
-    return F.when(ip.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), number)
+    return F.when(ip.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), number)
 
 
 def _network(cidr: str) -> tuple[int, int]:
@@ -364,8 +366,7 @@ def ipv4_is_match(x: Field, y: Field, prefix: int = 32) -> Column:
     return parse_ipv4_mask(x, prefix) == parse_ipv4_mask(y, prefix)
 
 
-# The private networks, and the wider set of special-purpose networks.
-PRIVATE_NETWORKS = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")
+# The wider set of special-purpose networks, and the forms of local IPv6 addresses.
 SPECIAL_NETWORKS = (
     "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
     "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24",
@@ -375,17 +376,17 @@ SPECIAL_IPV6 = r"^(::1?|::ffff:.+|100::.*|2001:0?db8:.*|f[cd][0-9a-f]{2}:.*|fe[8
 
 
 def ipv4_is_private(x: Field, scope: str = "private") -> Column:
-    """Whether the address is private; text that is no address is not.
+    """Whether the address is private (10/8, 172.16/12, 192.168/16); text that is no address is not.
 
     ``scope="wide"`` also counts loopback, link-local, documentation and local IPv6 addresses.
     """
-    number = parse_ipv4(x)
-    networks = PRIVATE_NETWORKS if scope == "private" else SPECIAL_NETWORKS
-    inside = F.lit(False)
-    for cidr in networks:
-        inside = inside | _in_network(number, cidr)
-    inside = F.coalesce(inside, F.lit(False))
-    return inside if scope == "private" else inside | F.lower(text(x)).rlike(SPECIAL_IPV6)
+    if scope == "private":
+        o = _OCTET
+        return text(x).rlike(rf"^(?:10\.{o}|172\.(?:1[6-9]|2\d|3[01])|192\.168)\.{o}\.{o}$")
+    # The number is worked out once, then held against every network.
+    inside = F.aggregate(F.array(parse_ipv4(x)), F.lit(False), lambda _, n: F.coalesce(
+        reduce(lambda a, b: a | b, [_in_network(n, cidr) for cidr in SPECIAL_NETWORKS]), F.lit(False)))
+    return inside | F.lower(text(x)).rlike(SPECIAL_IPV6)
 
 
 # --- hashes ----------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntframe.functions.durations import time_bin
-from huntframe.operators.skew import exact_percentiles, merge_by_key
+from huntframe.operators.skew import exact_percentiles, merge_by_key, rank_within
 
 
 @dataclass(frozen=True)
@@ -75,12 +75,15 @@ def percentile(field: str, point: float, approx: bool = False) -> Agg:
 
 
 def make_set(field: str, limit: int | None = None, order: tuple[str, ...] = ()) -> Agg:
-    """Distinct non-null values in order of first appearance along ``order``."""
+    """Distinct non-null values in order of first appearance along ``order``.
+
+    An array has to fit a row. For groups of any size ``distinct_items`` gives the same as rows.
+    """
     return Agg("make_set", field, limit=limit, order=order)
 
 
 def make_list(field: str, limit: int | None = None, order: tuple[str, ...] = ()) -> Agg:
-    """Non-null values along ``order``."""
+    """Non-null values along ``order``; ``listed_items`` gives the same as rows, for groups of any size."""
     return Agg("make_list", field, limit=limit, order=order)
 
 
@@ -133,6 +136,18 @@ def distinct_items(df: DataFrame, by: list[str], field: str) -> DataFrame:
     return df.filter(F.col(field).isNotNull()).select(*by, field).distinct()
 
 
+def listed_items(df: DataFrame, by: list[str], field: str, order: list[str], time: str,
+                 slice_width: str = "PT1H") -> DataFrame:
+    """The members of ``make_list`` as rows with their ``position`` (from 1).
+
+    Same content and order as the array, for groups of any size: positions are counted per time
+    slice, and ``order`` must start with the time column.
+    """
+    rows = df.filter(F.col(field).isNotNull()).select(*dict.fromkeys([*by, field, *order]))
+    placed = rank_within(rows, by, [F.col(c) for c in order], time_bin(F.col(time), slice_width), "position")
+    return placed.select(*by, "position", field)
+
+
 def _collected(df: DataFrame, keys: list[str], alias: str, agg: Agg) -> DataFrame:
     item, order = F.col(agg.field).alias("_item"), F.struct(*(agg.order or (agg.field,))).alias("_at")
     rows = df.filter(F.col(agg.field).isNotNull()).select(*keys, item, order)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from huntframe.operators.aggregates import (
-    arg_max, arg_min, avg, count, dcount, make_list, make_set, maximum, minimum, percentile,
+    arg_max, arg_min, avg, count, dcount, distinct_items, listed_items, make_list, make_set, maximum, minimum, percentile,
     stdev, summarize, total, variance,
 )
 from huntframe.operators.series import expand_series, make_series, series_anomaly
@@ -107,14 +107,18 @@ def _(t: Tables):
     return joined(out, "users")
 
 
-@query("A10_make_list", """SELECT user_id, string_agg(event_id, ',' ORDER BY ts, event_id) AS ids
-    FROM events GROUP BY user_id""")
+@query("A09_set_as_rows", "SELECT DISTINCT user_id, props FROM events")
 def _(t: Tables):
-    out = summarize(t.events, ["user_id"], ids=make_list("event_id", order=("ts", "event_id")))
-    return joined(out, "ids")
+    return distinct_items(t.events, ["user_id"], "props")
+
+
+@query("A10_list_as_rows", """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_id
+    FROM events""")
+def _(t: Tables):
+    return listed_items(t.events, ["user_id"], "event_id", ["ts", "event_id"], "ts", "P1D")
 
 
-@query("A10_make_list_limit", """SELECT event_type, string_agg(event_id, ',' ORDER BY ts, event_id) AS ids FROM (
+@query("A10_make_list", """SELECT event_type, string_agg(event_id, ',' ORDER BY ts, event_id) AS ids FROM (
     SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)
     WHERE rn <= 5 GROUP BY event_type""")
 def _(t: Tables):
