@@ -113,7 +113,7 @@ def local_names(cleaned: Column) -> Column:
         return F.regexp_extract_all(cleaned, F.lit(pattern), F.lit(1))
 
     tuples = F.flatten(F.transform(found(r"\(\s*([\w\s,]+?)\s*\)\s*=(?!=)"),
-                                   lambda g: F.transform(F.split(g, ","), F.trim)))
+                                   lambda g: F.transform(F.split(g, ","), lambda w: F.trim(w))))
     return F.concat(
         found(r"\blet\s+(\w+)\s*="),
         found(r"(?:summarize|extend|project|make-series|,)\s+(\w+)\s*=(?!=)"),

@@ -1,0 +1,125 @@
+import ipaddress
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from huntframe.functions import scalars as S
+from huntframe.functions.durations import ago, duration_micros, time_bin
+
+
+def value(spark, col):
+    return spark.range(1).select(col.alias("x")).first().x
+
+
+@pytest.mark.parametrize("text, seconds", [("P1D", 86400), ("PT10M", 600), ("P1DT2H3M4S", 93784), ("PT45S", 45)])
+def test_durations(text, seconds):
+    assert duration_micros(text) == seconds * 10**6
+
+
+@pytest.mark.parametrize("text", ["1D", "P1M", "P1Y", "PT1D", "P1H"])
+def test_bad_durations(text):
+    with pytest.raises(ValueError):
+        duration_micros(text)
+
+
+def test_ago():
+    now = datetime(2026, 6, 24, tzinfo=timezone.utc)
+    assert [ago(now, s) for s in ("1d", "2h", "3m", "4s")] == [
+        now - timedelta(days=1), now - timedelta(hours=2), now - timedelta(minutes=3), now - timedelta(seconds=4)]
+
+
+def test_bin_before_the_epoch(spark):
+    t = F.lit("1969-12-31 23:30:00").cast("timestamp")
+    assert value(spark, time_bin(t, "PT1H")) == datetime(1969, 12, 31, 23)
+
+
+def test_datetime_diff_fraction_and_boundaries(spark):
+    a, b = F.lit("2024-01-01 00:59:30").cast("timestamp"), F.lit("2024-01-01 01:00:31").cast("timestamp")
+    assert value(spark, S.datetime_diff("second", b, a)) == 61.0
+    assert value(spark, S.datetime_diff("minute", b, a)) == pytest.approx(61 / 60)
+    assert value(spark, S.datetime_diff("hour", b, a, boundaries=True)) == 1
+
+
+def test_casts(spark):
+    assert value(spark, S.tolong(F.lit("3.9"))) == 3 and value(spark, S.tolong(F.lit("-3.9"))) == -3
+    assert value(spark, S.toint(F.lit("x"))) is None and value(spark, S.todouble(F.lit("1e2"))) == 100.0
+    assert value(spark, S.tolong(F.lit(float("nan")))) is None
+    assert value(spark, S.divide(F.lit(7), F.lit(2))) == 3.5 and value(spark, S.divide(F.lit(7), F.lit(0))) is None
+
+
+def test_text(spark):
+    assert value(spark, S.strcat("a", F.lit(None).cast("string"), 5)) == "a5"
+    assert value(spark, S.split(F.lit("a.b.c"), ".")) == ["a", "b", "c"]
+    assert value(spark, S.split(F.lit("a.b.c"), ".", 1)) == ["b"] and value(spark, S.split(F.lit("a"), ".", 5)) == []
+    assert value(spark, S.substring(F.lit("hello"), 1, 3)) == "ell" and value(spark, S.substring(F.lit("hello"), -2)) == "lo"
+    assert value(spark, S.trim("-+", F.lit("--a-b--"))) == "a-b"
+    assert value(spark, S.replace(F.lit("a1b2"), r"(\d)", r"<\1>$")) == "a<1>$b<2>$"
+    assert value(spark, S.extract(r"(\d+)", 1, F.lit("ab"))) is None
+    assert value(spark, S.extract_all(r"(\d)", F.lit("a1b2"))) == ["1", "2"]
+
+
+def test_structured_text(spark):
+    url = value(spark, S.parse_url(F.lit("https://bob:pw@host.example:8080/a/b?x=1&y=&x=2#top")))
+    assert (url.Scheme, url.Host, url.Port, url.Path, url.Username, url.Password, url.Fragment) == (
+        "https", "host.example", "8080", "/a/b", "bob", "pw", "top")
+    assert url.Query == {"x": "2", "y": ""}
+    assert value(spark, S.parse_url(F.lit("not a url"))).Host == ""
+    assert value(spark, S.parse_csv(F.lit('a,"b,""c""",,d'))) == ["a", 'b,"c"', "", "d"]
+    path = value(spark, S.parse_path(F.lit("C:\\Temp\\x\\file.tar.gz:hidden")))
+    assert (path.RootPath, path.DirectoryPath, path.DirectoryName, path.Filename, path.Extension,
+            path.AlternateDataStreamName) == ("C:", "C:\\Temp\\x", "x", "file.tar.gz", "gz", "hidden")
+    unix = value(spark, S.parse_path(F.lit("/usr/bin/tool")))
+    assert (unix.RootPath, unix.DirectoryPath, unix.Filename, unix.Extension) == ("/", "/usr/bin", "tool", "")
+    assert value(spark, F.variant_get(S.parse_json(F.lit('{"a":[1,2]}')), "$.a[1]", "int")) == 2
+    assert value(spark, S.parse_json(F.lit("{oops")).isNull()) is True
+
+
+def test_conditionals(spark):
+    assert value(spark, S.case(F.lit(False), 1, F.lit(True), 2, 3)) == 2
+    assert value(spark, S.iff(F.lit(None).cast("boolean"), "y", "n")) == "n"
+    assert value(spark, S.coalesce(F.lit(""), F.lit("b"))) == "b"
+
+
+@pytest.mark.parametrize("start, end", [(0, 1), (1, -1), (-2, -1), (3, 9), (4, 2), (-9, 0)])
+def test_array_slice(spark, start, end):
+    items = [10, 20, 30, 40]
+    n = len(items)
+    low, high = (start if start >= 0 else max(n + start, 0)), (end if end >= 0 else n + end)
+    assert value(spark, S.array_slice(F.array(*map(F.lit, items)), start, end)) == items[low:high + 1]
+
+
+def test_weeks_start_on_sunday(spark):
+    sunday, saturday = datetime(2024, 1, 7), datetime(2024, 1, 13, 23, 59, 59, 999999)
+    for day in (sunday, datetime(2024, 1, 10, 5), saturday):
+        t = F.lit(day.isoformat(sep=" ")).cast("timestamp")
+        assert value(spark, S.startofweek(t)) == sunday and value(spark, S.endofweek(t)) == saturday
+    t = F.lit("2024-02-10").cast("timestamp")
+    assert value(spark, S.startofmonth(t, -1)) == datetime(2024, 1, 1)
+    assert value(spark, S.endofmonth(t)) == datetime(2024, 2, 29, 23, 59, 59, 999999)
+
+
+ADDRESSES = ["8.8.8.8", "10.0.0.5", "172.16.0.1", "172.32.0.1", "192.168.1.1", "127.0.0.1", "169.254.1.1", "198.51.100.20",
+             "256.1.1.1", "1.2.3", "", "fe80::1", "::1", "2606:4700::1", "fd00::5"]
+
+
+def test_private_addresses(spark):
+    df = spark.createDataFrame([(a,) for a in ADDRESSES] + [(None,)], "ip string")
+    got = {r.ip: (r.p, r.w) for r in df.select("ip", S.ipv4_is_private("ip").alias("p"),
+                                               S.ipv4_is_private("ip", "wide").alias("w")).collect()}
+    assert {a for a, (p, _) in got.items() if p} == {"10.0.0.5", "172.16.0.1", "192.168.1.1"}
+
+    def wide(a):
+        try:
+            return ipaddress.ip_address(a).is_private
+        except ValueError:
+            return False
+    assert {a for a, (_, w) in got.items() if w} == {a for a in ADDRESSES if wide(a)}
+
+
+def test_ranges(spark):
+    assert value(spark, S.ipv4_is_in_range(F.lit("192.168.1.77"), "192.168.1.0/24")) is True
+    assert value(spark, S.ipv4_is_in_range(F.lit("oops"), "192.168.1.0/24")) is None
+    assert value(spark, S.ipv4_is_match(F.lit("10.1.2.3"), F.lit("10.1.9.9"), 16)) is True
+    assert value(spark, S.ipv4_is_match(F.lit("10.1.2.3"), F.lit("10.1.9.9"))) is False
+    assert value(spark, S.parse_ipv4(F.lit("1.2.3.4"))) == int(ipaddress.ip_address("1.2.3.4"))

@@ -1,0 +1,92 @@
+from datetime import datetime
+from types import SimpleNamespace
+
+import pytest
+from conftest import plan_of
+from pyspark.sql import functions as F
+
+from huntframe.session import scratch_path, shared_dir
+from huntframe.sources.readers import (
+    scan, scan_events, scan_field_rows, scan_json_documents, scan_jsonl, scan_whole_texts,
+)
+from huntframe.sources.schemas import EVENT_TYPES, RULES, event_schema
+from huntframe.sources.writers import append_results, write_events, write_jsonl, write_routed
+
+
+def test_event_schemas(spark):
+    assert len(EVENT_TYPES) == 7
+    for kind in EVENT_TYPES:
+        names = event_schema(kind).fieldNames()
+        assert names[0] == "TimeGenerated" and len(names) == len(set(names))
+
+
+def test_scan_by_day_prunes_folders(spark, tmp_path):
+    df = spark.createDataFrame([(i, datetime(2024, 1, 1 + i, 12)) for i in range(5)], "id int, TimeGenerated timestamp")
+    write_events(df, str(tmp_path / "e"))
+    out = scan_events(spark, str(tmp_path / "e"), datetime(2024, 1, 2), datetime(2024, 1, 4))
+    assert sorted(r.id for r in out.collect()) == [1, 2]
+    assert "PartitionFilters: [isnotnull(event_date" in plan_of(out)
+
+
+def test_jsonl_missing_path_is_empty(spark, tmp_path):
+    assert scan_jsonl(spark, str(tmp_path / "absent"), RULES).count() == 0
+
+
+def test_jsonl_keeps_microseconds(spark, tmp_path):
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, 7, 179575),)], "t timestamp")
+    write_jsonl(df, str(tmp_path / "j"))
+    assert scan_jsonl(spark, str(tmp_path / "j"), "t timestamp").first().t.microsecond == 179575
+
+
+def test_json_documents_and_whole_texts(spark, tmp_path):
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    (tmp_path / "d" / "a.json").write_text('{\n "x": 1\n}')
+    (tmp_path / "d" / "sub" / "b.json").write_text('[{"x": 2},\n {"x": 3}]')
+    assert sorted(r.x for r in scan_json_documents(spark, str(tmp_path / "d"), "x long").collect()) == [1, 2, 3]
+    texts = {r.path.rsplit("/", 1)[-1]: r.text for r in scan_whole_texts(spark, str(tmp_path / "d"), "*.json").collect()}
+    assert texts["a.json"] == '{\n "x": 1\n}' and len(texts) == 2
+
+
+def test_field_rows(spark, tmp_path):
+    (tmp_path / "dns.md").write_text("# Dns\n\n| Field | Class |\n| --- | --- |\n| **DnsQuery** | Mandatory |\n|**Other1**| x |\n| plain | y |\n")
+    got = scan_field_rows(spark, str(tmp_path)).collect()
+    assert [(r.document, r.field) for r in got] == [("dns.md", "DnsQuery"), ("dns.md", "Other1")]
+
+
+def test_routed_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, v string")
+    write_routed(df, str(tmp_path / "r"), F.col("v") == "a")
+    back = spark.read.schema("id int, v string, is_normalized boolean").json(str(tmp_path / "r"))
+    assert {(r.id, r.is_normalized) for r in back.collect()} == {(1, True), (2, False), (3, False)}
+
+
+def test_append_goes_on_where_it_stopped(spark, tmp_path):
+    path = str(tmp_path / "results")
+    append_results(spark.range(5).withColumn("v", F.lit("old")), path, "id")
+    out = append_results(spark.range(8).withColumn("v", F.lit("new")), path, "id")
+    assert {r.id: r.v for r in out.collect()} == {i: "old" if i < 5 else "new" for i in range(8)}
+
+
+def test_scan_view(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    assert scan(spark, "three").count() == 3
+
+
+class FakeSession:
+    """A session on a cluster, with or without the setting."""
+
+    def __init__(self, named=None, master="spark://host"):
+        self.conf = SimpleNamespace(get=lambda key, default=None: named if key == "spark.checkpoint.dir" else default)
+        self.sparkContext = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+
+
+def test_named_folder_is_used():
+    named = FakeSession("hdfs://shared/work/")
+    assert shared_dir(named) == "hdfs://shared/work"
+    assert scratch_path(named, "x").startswith("hdfs://shared/work/x-") and scratch_path(named, "x") != scratch_path(named, "x")
+    with pytest.raises(RuntimeError):
+        shared_dir(FakeSession())
+
+
+def test_local_folder_only_without_setting(spark):
+    assert shared_dir(spark) == shared_dir(spark)
