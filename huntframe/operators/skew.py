@@ -89,21 +89,36 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     return joined.withColumn(rank, F.col(rank) + F.col("_before")).drop("_bucket", "_before")
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], field: Column, points: dict[str, float],
-                      buckets: int = 64) -> DataFrame:
+_STEP = 32  # cut points are looked up in two rounds of 32, for 32 * 32 buckets
+
+
+def _bucket_of(cuts: Column, value: Column) -> Column:
+    """How many of the 1023 sorted cut points lie below a value, by one coarse and one fine round."""
+    coarse = F.size(F.filter(cuts["steps"], lambda c: c < value))
+    fine = F.size(F.filter(F.get(cuts["between"], coarse), lambda c: c < value))
+    return coarse * _STEP + fine
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], field: Column, points: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated percentiles per group, whatever the size of a group.
 
-    Values are first counted per (group, value). Cut points over all values, from a bounded
-    sketch, then split each group into at most ``buckets`` ranges; bucket counts tell which one
-    holds the wanted position, and only that one is sorted.
+    Values are first counted per (group, value). 1023 cut points over all values, from a bounded
+    sketch, then split each group into ranges; the counts per range tell which one holds the wanted
+    position, and only that one is sorted. A group with a third of all rows has about a thousandth
+    of them in a range.
     """
     number = field.try_cast("double")
     values = df.select(*keys, number.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = values.agg(F.percentile_approx("_v", shares, 1000).alias("_cuts"))
+    # As one folded text literal: a thousand separate literals would slow the planner down.
+    shares = F.split(F.lit(",".join(str(i / _STEP**2) for i in range(1, _STEP**2))), ",").cast("array<double>")
+    sketch = values.agg(F.percentile_approx("_v", shares, 10_000).alias("all"))
+    cuts = sketch.select(F.struct(
+        F.filter("all", lambda _, i: F.pmod(i + 1, F.lit(_STEP)) == 0).alias("steps"),
+        F.transform(F.sequence(F.lit(0), F.lit(_STEP - 1)), lambda k: F.slice(
+            "all", k * _STEP + 1, F.lit(_STEP - 1))).alias("between")))
     counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     counted = counted.withColumn("_cuts", cuts.scalar())
-    counted = counted.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    counted = counted.withColumn("_b", _bucket_of(F.col("_cuts"), F.col("_v"))).drop("_cuts")
 
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size")).select(
