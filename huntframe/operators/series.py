@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -62,18 +63,19 @@ def series_anomaly(df: DataFrame, series: str, threshold: float = 1.5, flag: str
     points = points.withColumn("_mean", _sum(F.col("_v")) / n)
     points = points.withColumn("_spread", _sum(F.transform("_v", lambda x: _sq(x - F.col("_mean")))))
 
+    def scored_by(x: Column, mean: Column, spread: Column) -> Column:
+        deviation = F.sqrt(spread / rest_n)
+        floor = F.when(deviation > 0, deviation).otherwise(F.lit(1e-9))
+        return F.struct(((x - mean) / floor).alias("z"), mean.alias("mean"))
+
     def around(x: Column, i: Column) -> Column:
         off = x - F.col("_mean")
         quick = F.col("_spread") - _sq(off) * n / rest_n
         rest = F.filter("_v", lambda _, j: j != i)
-        rest_mean = _sum(rest) / rest_n
-        exact = _sum(F.transform(rest, lambda y: _sq(y - rest_mean)))
-        safe = quick > F.col("_spread") * F.lit(1e-6)
-        mean = F.when(safe, F.col("_mean") - off / rest_n).otherwise(rest_mean)
-        spread = F.when(safe, quick).otherwise(exact)
-        deviation = F.sqrt(spread / rest_n)
-        floor = F.when(deviation > 0, deviation).otherwise(F.lit(1e-9))
-        return F.struct(((x - mean) / floor).alias("z"), mean.alias("mean"))
+        anew = _let(_sum(rest) / rest_n, lambda mean: scored_by(
+            x, mean, _sum(F.transform(rest, lambda y: _sq(y - mean)))))
+        return F.when(quick > F.col("_spread") * F.lit(1e-6),
+                      scored_by(x, F.col("_mean") - off / rest_n, quick)).otherwise(anew)
 
     nothing = F.struct(F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("mean"))
     scored = F.transform("_v", lambda x, i: F.when(n > 1, around(x, i)).otherwise(nothing))
@@ -90,6 +92,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Work a value out once and use it several times inside a lambda."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def _sq(x: Column) -> Column:
     return x * x
 

@@ -128,13 +128,12 @@ def source_table(cleaned: Column) -> Column:
     return F.when(word != "", word)
 
 
-def referenced_names(query: Field) -> Column:
-    """Distinct names in a query that are neither language words nor its own definitions."""
-    cleaned = without_comments_and_strings(query)
-    tokens = F.array_distinct(F.regexp_extract_all(cleaned, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1)))
-    known = F.array(*[F.lit(w) for w in LANGUAGE_WORDS])
+def referenced_names(cleaned: Column) -> Column:
+    """Distinct names in cleaned query text that are neither language words nor its own definitions."""
+    tokens = F.regexp_extract_all(cleaned, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1))
+    fields = F.filter(tokens, lambda w: ~w.isin(*LANGUAGE_WORDS))
     own = F.concat(local_names(cleaned), F.array(F.coalesce(source_table(cleaned), F.lit(""))))
-    return F.array_except(F.array_except(tokens, known), own)
+    return F.array_except(fields, own)
 
 
 def audit_rules(df: DataFrame, query: str, fields: dict[str, list[str]]) -> DataFrame:
@@ -142,20 +141,21 @@ def audit_rules(df: DataFrame, query: str, fields: dict[str, list[str]]) -> Data
 
     ``fields`` maps an event type to its field names.
     """
-    kinds = event_type_of(query)
-    names = F.sort_array(referenced_names(query))
-    unknown = F.lit(None).cast("array<string>")
+    # Intermediate results are columns of their own, so that each is worked out once per rule.
+    read = (df.withColumn("event_type", event_type_of(query))
+            .withColumn("_clean", without_comments_and_strings(query))
+            .withColumn("_names", F.sort_array(referenced_names(F.col("_clean")))))
+    unknown = F.array().cast("array<string>")
     for kind, allowed in fields.items():
-        known = F.array(*[F.lit(f) for f in allowed])
-        unknown = F.when(F.col("event_type") == kind, F.array_except(names, known)).otherwise(unknown)
-    leaked = without_comments_and_strings(query).rlike(r"(?i)\b(SELECT|GROUP\s+BY|stats\s+count)\b")
+        unlisted = F.array_except("_names", F.array(*[F.lit(f) for f in allowed]))
+        unknown = F.when(F.col("event_type") == kind, unlisted).otherwise(unknown)
+    leaked = F.col("_clean").rlike(r"(?i)\b(SELECT|GROUP\s+BY|stats\s+count)\b")
     flags = F.array(
         F.when(leaked, F.lit("FOREIGN_SYNTAX")),
         F.when(F.col("event_type").isNull(), F.lit("NO_EVENT_TYPE_DETECTED")),
         F.when(F.size("unknown_names") > 0, F.lit("UNKNOWN_TOKENS")))
-    return (df.withColumn("event_type", kinds)
-            .withColumn("unknown_names", F.coalesce(unknown, F.array().cast("array<string>")))
-            .withColumn("flags", F.array_compact(flags)))
+    return (read.withColumn("unknown_names", unknown)
+            .withColumn("flags", F.array_compact(flags)).drop("_clean", "_names"))
 
 
 def seeded_order(seed: int | str, key: Field) -> Column:
