@@ -54,10 +54,10 @@ def join(left: DataFrame, right: DataFrame, on: list[str] | str, kind: str = "in
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str, null_safe: bool,
             salts: int) -> DataFrame:
+    if salts:
+        return salted_join(left, right, keys, how, salts, null_safe=null_safe)
     if null_safe:
         return null_safe_join(left, right, keys, how)
-    if salts:
-        return salted_join(left, right, keys, how, salts)
     return left.join(right, keys, how)
 
 

@@ -16,7 +16,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     if not keys:
         raise ValueError("null_safe_join needs keys")
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     joined = left.join(renamed, condition, how)
     return joined.drop(*[f"_r_{k}" for k in keys])
 
@@ -43,21 +43,28 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, salts: int = 32,
-                share: float = HOT_SHARE) -> DataFrame:
+                share: float = HOT_SHARE, null_safe: bool = False) -> DataFrame:
     """Join whose left side may hold a third of its rows under one key.
 
     Rows of a hot key are spread over ``salts`` groups and only the right rows of hot keys are
     repeated. The hot-key table has at most ``1/share`` rows, so sending it to every task is safe.
-    Valid for inner, left, left_semi and left_anti.
+    The group of a row is a hash of its columns, so project to the needed columns first. Valid for
+    inner, left, left_semi and left_anti.
     """
+    def on(a: DataFrame, b: DataFrame, names: list[str], kind: str) -> DataFrame:
+        return null_safe_join(a, b, names, kind) if null_safe else a.join(b, names, kind)
+
     hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
     hashable = [f.name for f in left.schema.fields if not _holds_map(f.dataType)]
     salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    spread = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+    many = F.col("_hot")
+    if not null_safe:
+        # Rows with a missing key meet no partner, so they may go anywhere.
+        many = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], many)
+    spread = on(left, hot, keys, "left").withColumn("_salt", F.when(many, salt).otherwise(F.lit(0))).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    repeated = on(right, hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return on(spread, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def _holds_map(kind: T.DataType) -> bool:
@@ -73,20 +80,24 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     """Adds each row's 1-based position in its group, and the group's size as ``<rank>_of``.
 
     ``bucket`` must grow with ``order``. Rows are sorted only within (group, bucket); what comes
-    before a bucket is known from the bucket counts. A group is never sorted in one task.
+    before a bucket is known from the bucket counts. A group is never sorted in one task. The counts
+    travel as one leading row per bucket, so the rows are shuffled once and not joined.
     """
     cut = df.withColumn("_bucket", bucket)
     parts = [*keys, "_bucket"]
     sizes = cut.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    before = sizes.select(
+    heads = sizes.select(
         *parts, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias(f"{rank}_of"))
-    inside = Window.partitionBy(*parts).orderBy(*order)
-    numbered = cut.withColumn(rank, F.row_number().over(inside).cast("long"))
-    joined = null_safe_join(numbered, before, parts)
-    return joined.withColumn(rank, F.col(rank) + F.col("_before")).drop("_bucket", "_before")
+        F.sum("_n").over(whole).alias(f"{rank}_of"), F.lit(True).alias("_head"))
+    stacked = cut.unionByName(heads, allowMissingColumns=True)
+    inside = Window.partitionBy(*parts).orderBy(F.col("_head").desc_nulls_last(), *order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stacked.withColumns({
+        rank: F.first("_before", ignorenulls=True).over(so_far) + F.row_number().over(inside) - 1,
+        f"{rank}_of": F.first(f"{rank}_of", ignorenulls=True).over(so_far),
+    }).filter(F.col("_head").isNull()).drop("_bucket", "_before", "_head")
 
 
 _STEP = 32  # cut points are looked up in two rounds of 32, for 32 * 32 buckets

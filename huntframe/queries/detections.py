@@ -60,7 +60,8 @@ def _(t: Tables):
     ON s.user_id = e.user_id AND e.ts BETWEEN s.FirstSeen AND s.LastSeen
     WHERE e.event_type = 'purchase' AND e.value > 20""")
 def _(t: Tables):
-    bought = t.events.filter(P.all_of(P.eq("event_type", "purchase"), P.gt("value", 20)))
+    bought = t.events.filter(P.all_of(P.eq("event_type", "purchase"), P.gt("value", 20))).select(
+        "event_id", "user_id", "ts")
     clicks = t.events.filter(P.eq("event_type", "click"))
     out = D.inside_activity_span(bought, clicks, ["user_id"], "ts")
     return out.select("event_id", "user_id", "FirstSeen", "LastSeen")

@@ -98,7 +98,7 @@ def _(t: Tables):
 def _(t: Tables):
     signups = t.events.filter(eq("event_type", "signup"))
     spans = summarize(signups, ["user_id"], a=minimum("ts"), b=maximum("ts"))
-    errors = t.events.filter(eq("event_type", "error"))
+    errors = t.events.filter(eq("event_type", "error")).select("event_id", "user_id", "ts")
     return within_span(errors, spans, ["user_id"], "ts", "a", "b", salts=16).select("event_id", "user_id")
 
 
@@ -115,11 +115,12 @@ def _(t: Tables):
     SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def _(t: Tables):
     urgent = t.orders.filter(eq("o_orderpriority", "1-URGENT")).select(F.col("o_custkey").alias("c_custkey"))
-    return join(t.customer, urgent, "c_custkey", "leftanti").select("c_custkey", "c_name")
+    return join(t.customer.select("c_custkey", "c_name"), urgent, "c_custkey", "leftanti")
 
 
 @query("J14_in_subquery", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (
     SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def _(t: Tables):
     machinery = t.customer.filter(eq("c_mktsegment", "MACHINERY")).select(F.col("c_custkey").alias("o_custkey"))
-    return join(t.orders, machinery, "o_custkey", "leftsemi", salts=16).select("o_orderkey", "o_totalprice")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    return join(orders, machinery, "o_custkey", "leftsemi", salts=16).select("o_orderkey", "o_totalprice")

@@ -48,11 +48,14 @@ def test_half_joins(spark, kind, salts):
     assert rows(join(a, b, "k", kind, salts=salts).collect()) == rows(expected)
 
 
-def test_null_keys_match_only_when_asked(spark):
+@pytest.mark.parametrize("salts", [0, 5])
+def test_null_keys_match_only_when_asked(spark, salts):
     left, right, a, b = frames(spark, 3)
     nulls = sum(l[0] is None for l in left) * sum(r[0] is None for r in right)
-    assert join(a, b, "k", "inner", null_safe=True).count() - join(a, b, "k", "inner").count() == nulls
-    full = join(a, b, "k", "fullouter", null_safe=True)
+    assert join(a, b, "k", "inner", null_safe=True, salts=salts).count() - join(a, b, "k", "inner").count() == nulls
+    semi = join(a, b, "k", "leftsemi", null_safe=True, salts=salts).count()
+    assert semi - join(a, b, "k", "leftsemi").count() == sum(l[0] is None for l in left)
+    full = join(a, b, "k", "fullouter", null_safe=True, salts=salts)
     assert full.filter("lid IS NULL").count() == sum(r[0] not in {l[0] for l in left} for r in right)
 
 
