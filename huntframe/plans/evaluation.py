@@ -87,40 +87,60 @@ def bootstrap_means(df: DataFrame, value: Column, replicates: int = 10_000, seed
                .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
                .withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int")))
     sizes = counted.groupBy("block").agg(F.sum("n").alias("n"))
-    # One entry per block: a short array, whatever the data size.
+    # One entry per block: a short array, whatever the data size. It leads every block as a row.
     layout = sizes.agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("layout"))
+    heads = layout.select("layout", F.inline(F.col("layout")).alias("block", "_n")).drop("_n")
 
     def draw(batches):
-        left: dict[int, np.ndarray] = {}
-        rest: dict[int, int] = {}
-        sums = np.zeros(replicates)
-        total = 0
+        draws = _BlockDraws(replicates, seed)
         for batch in batches:
-            if batch.empty:
-                continue
-            ids = [int(e["block"]) for e in batch["layout"].iloc[0]]
-            ns = np.array([int(e["n"]) for e in batch["layout"].iloc[0]])
-            total = int(ns.sum())
             for block, part in batch.groupby("block", sort=True):
-                block = int(block)
-                if block not in left:
-                    shares = np.random.default_rng(seed).multinomial(total, ns / total, size=replicates)
-                    left[block], rest[block] = shares[:, ids.index(block)], int(ns[ids.index(block)])
-                n = part["n"].to_numpy()
-                first = int(part["value"].to_numpy().view("int64")[0]) & 0x7FFFFFFFFFFFFFFF
-                rng = np.random.default_rng([seed, block, first])
-                here = rng.binomial(left[block], min(1.0, n.sum() / rest[block]))
-                left[block], rest[block] = left[block] - here, rest[block] - int(n.sum())
-                for lo in range(0, replicates, 256):
-                    drawn = rng.multinomial(here[lo:lo + 256], n / n.sum())
-                    sums[lo:lo + 256] += drawn @ part["value"].to_numpy()
-        if total:
-            yield pd.DataFrame({"replicate": np.arange(replicates), "part": sums / total})
-
-    spread = (counted.repartition(blocks, "block").sortWithinPartitions("block", "value")
-              .withColumn("layout", layout.scalar()))
-    parts = spread.mapInPandas(draw, "replicate long, part double")
-    return parts.groupBy("replicate").agg(F.sum("part").alias("mean"))
+                head = part[part["layout"].notna()]
+                if len(head):
+                    draws.open(int(block), head["layout"].iloc[0])
+                rows = part[part["layout"].isna()]
+                if len(rows):
+                    draws.add(int(block), rows["value"].to_numpy(), rows["n"].to_numpy(dtype="int64"))
+        if draws.total:
+            yield pd.DataFrame({"replicate": np.arange(replicates), "part": draws.sums / draws.total})
+
+    # A fixed number of tasks: the rows are few, but each costs ``replicates`` draws.
+    stacked = counted.unionByName(heads, allowMissingColumns=True).repartition(blocks, "block")
+    ordered = stacked.sortWithinPartitions("block", F.col("layout").isNull(), "value")
+    return (ordered.mapInPandas(draw, "replicate long, part double")
+            .groupBy("replicate").agg(F.sum("part").alias("mean")))
+
+
+class _BlockDraws:
+    """Sums of resampled values per replicate, for the blocks one task sees."""
+
+    def __init__(self, replicates: int, seed: int):
+        self.replicates, self.seed = replicates, seed
+        self.sums, self.total = np.zeros(replicates), 0
+        self.wanted: dict[int, np.ndarray] = {}
+        self.left: dict[int, int] = {}
+        self.shares = None
+
+    def open(self, block: int, layout) -> None:
+        """Learn how many draws of each replicate fall into a block."""
+        ids, sizes = [int(e["block"]) for e in layout], np.array([int(e["n"]) for e in layout])
+        if self.shares is None:
+            self.total = int(sizes.sum())
+            rng = np.random.default_rng(self.seed)
+            self.shares = rng.multinomial(self.total, sizes / self.total, size=self.replicates)
+        place = ids.index(block)
+        self.wanted[block], self.left[block] = self.shares[:, place].copy(), int(sizes[place])
+
+    def add(self, block: int, values: np.ndarray, counts: np.ndarray) -> None:
+        """Draw from the next values of a block, out of the draws still due there."""
+        start = int(values.view("int64")[0]) & 0x7FFFFFFFFFFFFFFF
+        rng = np.random.default_rng([self.seed, block, start])
+        size = int(counts.sum())
+        here = rng.binomial(self.wanted[block], min(1.0, size / self.left[block]))
+        self.wanted[block], self.left[block] = self.wanted[block] - here, self.left[block] - size
+        for low in range(0, self.replicates, 256):
+            drawn = rng.multinomial(here[low:low + 256], counts / size)
+            self.sums[low:low + 256] += drawn @ values
 
 
 def bootstrap_ci(df: DataFrame, value: Column, replicates: int = 10_000, ci: float = 0.95,
