@@ -22,9 +22,10 @@ def duration_micros(duration: str | timedelta) -> int:
         and re.fullmatch(r"(\d+D)?", days)
         and re.fullmatch(r"(\d+H)?(\d+M)?(\d+S)?", clock)
     )
-    if not valid:
+    total = sum(int(n) * MICROS[_LETTER[u]] for n, u in re.findall(r"(\d+)([DHMS])", duration))
+    if not valid or not total:
         raise ValueError(f"not a day/hour/minute/second duration: {duration!r}")
-    return sum(int(n) * MICROS[_LETTER[u]] for n, u in re.findall(r"(\d+)([DHMS])", duration))
+    return total
 
 
 def ago(as_of: datetime, span: str) -> datetime:

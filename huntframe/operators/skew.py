@@ -37,6 +37,8 @@ def merge_by_key(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold at least ``share`` of the rows; never more than ``1/share`` rows."""
+    if share < 1 / 4096:
+        raise ValueError("a smaller share would make the list of hot keys too long to send around")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     return counts.filter(F.col("_n") >= F.lit(share) * total.scalar()).select(*keys)

@@ -45,6 +45,19 @@ LANGUAGE_WORDS = """
     make series from to series_decompose_anomalies
 """.split()
 
+# String literals, tokens, and the places where a query defines a name of its own (let
+# binding, assignment, named argument; tuple of names), then the first word of the main query.
+STRING_LITERAL = r"""@'[^']*'|@"[^"]*"|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+TOKEN = r"\b([A-Za-z_][A-Za-z0-9_]*)\b"
+OWN_NAMES = (
+    r"\blet\s+(\w+)\s*=",
+    r"(?:summarize|extend|project|make-series|,)\s+(\w+)\s*=(?!=)",
+    r"[(,]\s*([a-z][a-z0-9_]*)\s*=(?!=)",
+)
+OWN_TUPLES = r"\(\s*([\w\s,]+?)\s*\)\s*=(?!=)"
+FIRST_WORD = r"^\s*(_?\w+)"
+FOREIGN_SYNTAX = r"(?i)\b(SELECT|GROUP\s+BY|stats\s+count)\b"
+
 # Literals that need no mention in a description, and endings that may be added.
 COMMON_LITERALS = """
     true false success failure denied allowed blocked
@@ -103,8 +116,7 @@ def event_type_of(query: Field) -> Column:
 def without_comments_and_strings(query: Field) -> Column:
     """Query text with line comments removed and string literals emptied."""
     plain = F.regexp_replace(text(query), r"//[^\n]*", "")
-    literal = r"""@'[^']*'|@"[^"]*"|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
-    return F.regexp_replace(plain, literal, "''")
+    return F.regexp_replace(plain, STRING_LITERAL, "''")
 
 
 def local_names(cleaned: Column) -> Column:
@@ -112,25 +124,22 @@ def local_names(cleaned: Column) -> Column:
     def found(pattern: str) -> Column:
         return F.regexp_extract_all(cleaned, F.lit(pattern), F.lit(1))
 
-    tuples = F.flatten(F.transform(found(r"\(\s*([\w\s,]+?)\s*\)\s*=(?!=)"),
+    tuples = F.flatten(F.transform(found(OWN_TUPLES),
                                    lambda g: F.transform(F.split(g, ","), lambda w: F.trim(w))))
-    return F.concat(
-        found(r"\blet\s+(\w+)\s*="),
-        found(r"(?:summarize|extend|project|make-series|,)\s+(\w+)\s*=(?!=)"),
-        found(r"[(,]\s*([a-z][a-z0-9_]*)\s*=(?!=)"), tuples)
+    return F.concat(*map(found, OWN_NAMES), tuples)
 
 
 def source_table(cleaned: Column) -> Column:
     """The first word of the main query, after any ``let`` statement."""
     main = F.element_at(F.split(cleaned, ";"), -1)
-    lines = F.filter(F.split(main, r"\R"), lambda l: ~l.rlike(r"^\s*$") & ~l.rlike(r"\blet\s+\w+\s*="))
-    word = F.regexp_extract(F.get(lines, F.lit(0)), r"^\s*(_?\w+)", 1)
+    lines = F.filter(F.split(main, r"\R"), lambda l: ~l.rlike(r"^\s*$") & ~l.rlike(r"^\s*let\s+\w+\s*="))
+    word = F.regexp_extract(F.get(lines, F.lit(0)), FIRST_WORD, 1)
     return F.when(word != "", word)
 
 
 def referenced_names(cleaned: Column) -> Column:
     """Distinct names in cleaned query text that are neither language words nor its own definitions."""
-    tokens = F.regexp_extract_all(cleaned, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1))
+    tokens = F.regexp_extract_all(cleaned, F.lit(TOKEN), F.lit(1))
     fields = F.filter(tokens, lambda w: ~w.isin(*LANGUAGE_WORDS))
     own = F.concat(local_names(cleaned), F.array(F.coalesce(source_table(cleaned), F.lit(""))))
     return F.array_except(fields, own)
@@ -149,7 +158,7 @@ def audit_rules(df: DataFrame, query: str, fields: dict[str, list[str]]) -> Data
     for kind, allowed in fields.items():
         unlisted = F.array_except("_names", F.array(*[F.lit(f) for f in allowed]))
         unknown = F.when(F.col("event_type") == kind, unlisted).otherwise(unknown)
-    leaked = F.col("_clean").rlike(r"(?i)\b(SELECT|GROUP\s+BY|stats\s+count)\b")
+    leaked = F.col("_clean").rlike(FOREIGN_SYNTAX)
     flags = F.array(
         F.when(leaked, F.lit("FOREIGN_SYNTAX")),
         F.when(F.col("event_type").isNull(), F.lit("NO_EVENT_TYPE_DETECTED")),

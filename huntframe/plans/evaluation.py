@@ -79,8 +79,8 @@ def bootstrap_means(df: DataFrame, value: Column, replicates: int = 10_000, seed
     Equal values are counted first, and a resample is drawn as multinomial counts: first over
     blocks of values, then along the values of a block, batch by batch. That is the same
     distribution as drawing row by row, but costs one draw per distinct value, not per row, and no
-    task holds more than a batch. More ``blocks`` give more tasks. Drawn from seeded generators over sorted input, so a repeated
-    task gives the same numbers.
+    task holds more than a batch; more ``blocks`` give more tasks. Draws come from seeded generators
+    over sorted input, so a repeated task gives the same numbers.
     """
     number = value.try_cast("double")
     counted = (df.select(number.alias("value")).filter(F.col("value").isNotNull())

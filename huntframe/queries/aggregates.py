@@ -232,7 +232,7 @@ def _(t: Tables):
 
 _REST = "OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)"
 ANOMALY_SQL = f"""SELECT user_id, ts, n, CASE WHEN z > 1.5 THEN 1 WHEN z < -1.5 THEN -1 ELSE 0 END AS flag,
-    round(z, 4) AS score, round(m, 6) AS baseline FROM (
+    round(z, 6) AS score, round(m, 6) AS baseline FROM (
     SELECT user_id, ts, n, m, (n - m) / CASE WHEN sd > 0 THEN sd ELSE 1e-9 END AS z FROM (
     SELECT user_id, ts, n, avg(n) {_REST} AS m, stddev_pop(n) {_REST} AS sd FROM {_SERIES}))"""
 
@@ -240,7 +240,7 @@ ANOMALY_SQL = f"""SELECT user_id, ts, n, CASE WHEN z > 1.5 THEN 1 WHEN z < -1.5
 def _scored(t: Tables):
     scored = series_anomaly(_daily(t), "n", 1.5, "flag", "score", "baseline")
     rows = expand_series(scored.drop("peak"), "ts", "n", "flag", "score", "baseline")
-    return rounded(rounded(rows, 4, "score"), 6, "baseline")
+    return rounded(rows, 6, "score", "baseline")
 
 
 @query("T2_T3_series_anomaly", ANOMALY_SQL)

@@ -79,7 +79,7 @@ _REST = "OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING
 
 
 @query("P07_outlier_buckets", f"""SELECT user_id, ts, n AS "Value", CASE WHEN z > 3 THEN 1 ELSE -1 END AS AnomalyFlag,
-    round(z, 4) AS AnomalyScore, round(m, 6) AS Baseline FROM (
+    round(z, 6) AS AnomalyScore, round(m, 6) AS Baseline FROM (
     SELECT user_id, ts, n, m, (n - m) / CASE WHEN sd > 0 THEN sd ELSE 1e-9 END AS z FROM (
     SELECT user_id, ts, n, avg(n) {_REST} AS m, stddev_pop(n) {_REST} AS sd FROM (
         SELECT u.user_id, d.b AS ts, count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events) u
@@ -88,7 +88,7 @@ _REST = "OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING
         GROUP BY ALL))) WHERE abs(z) > 3""")
 def _(t: Tables):
     out = D.outlier_buckets(t.events, ["user_id"], MONTH_START, AS_OF, "P1D", count(), 3.0, "ts")
-    return rounded(rounded(out, 4, "AnomalyScore"), 6, "Baseline")
+    return rounded(out, 6, "AnomalyScore", "Baseline")
 
 
 @query("P08_latest_row", """SELECT event_id, user_id, ts, event_type, value, props FROM (
