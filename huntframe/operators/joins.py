@@ -85,24 +85,51 @@ def within_span(events: DataFrame, spans: DataFrame, on: list[str], time: str, f
         (F.col(time) >= F.col(first)) & (F.col(time) <= F.col(last)))
 
 
+_SLICES = 64  # slices per window; a whole number of seconds is always divisible
+
+
 def followed_by(events: DataFrame, keys: list[str], time: str, first: Column, then: Column,
                 within: str) -> DataFrame:
     """``then`` events that come after a ``first`` event of the same entity, at most ``within`` later.
 
     Adds how many such earlier events there are (``earlier``) and the time of the latest one
-    (``latest_first``). Pairs are never built: each entity is cut into slices as long as the
-    window, earlier events are also shown to the next slice, and a range frame counts them.
+    (``latest_first``). Pairs are never built, and a busy entity is cut into time slices of a 64th
+    of the window. A running sum per slice gives the count: it starts with what the 64 slices before
+    hold, each ``first`` event adds one, and takes it back in the slice in which it leaves the window.
     """
     width = duration_micros(within)
+    step = width // _SLICES
     kind = events.schema[time].dataType.simpleString()
-    marked = events.withColumns({"_at": micros_of(F.col(time)), "_first": first, "_then": then})
-    marked = marked.filter(F.col("_first") | F.col("_then"))
-    own = floor_div(F.col("_at"), width)
-    shown = F.when(F.col("_first"), F.array(own, own + 1)).otherwise(F.array(own))
-    sliced = marked.withColumn("_slice", F.explode(shown))
-    window = Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(-width, -1)
-    earlier = F.count(F.when(F.col("_first"), F.lit(1))).over(window)
-    latest = F.max(F.when(F.col("_first"), F.col("_at"))).over(window)
-    counted = sliced.withColumns({"earlier": earlier, "latest_first": from_micros(latest, kind)})
-    found = counted.filter(F.col("_then") & (F.col("_slice") == own) & (F.col("earlier") > 0))
-    return found.drop("_at", "_first", "_then", "_slice")
+    marked = (events.withColumns({"_at": micros_of(F.col(time)), "_first": first, "_then": then})
+              .filter(F.col("_at").isNotNull() & (F.col("_first") | F.col("_then")))
+              .withColumn("_slice", floor_div(F.col("_at"), step)))
+    at, own = F.col("_at"), F.col("_slice")
+
+    def entry(place: Column, moment: Column, weight: int, seen: Column, kept: bool) -> Column:
+        return F.struct(place.alias("_slice"), moment.alias("_at"), F.lit(weight).cast("long").alias("_weight"),
+                        seen.alias("_seen"), F.lit(kept).alias("_kept"))
+
+    unseen = F.lit(None).cast("long")
+    entries = F.array_compact(F.array(
+        F.when(F.col("_then"), entry(own, at, 0, unseen, True)),
+        F.when(F.col("_first"), entry(own, at, 1, at, False)),
+        F.when(F.col("_first"), entry(own + _SLICES, at + width, -1, unseen, False))))
+    rest = [c for c in events.columns if c not in keys]
+    placed = marked.withColumn("_entry", F.explode(entries)).select(
+        *keys, "_entry.*", *[F.when(F.col("_entry._kept"), F.col(c)).alias(c) for c in rest])
+
+    before = Window.partitionBy(*keys).orderBy("_slice").rangeBetween(-_SLICES, -1)
+    per_slice = marked.groupBy(*keys, "_slice").agg(
+        F.count_if("_first").alias("_n"), F.max(F.when(F.col("_first"), at)).alias("_last"))
+    heads = per_slice.select(
+        *keys, "_slice", (F.col("_slice") * step - 1).alias("_at"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_weight"),
+        F.max("_last").over(before).alias("_seen"))
+
+    running = (Window.partitionBy(*keys, "_slice").orderBy("_at")
+               .rangeBetween(Window.unboundedPreceding, -1))
+    counted = placed.unionByName(heads, allowMissingColumns=True).withColumns({
+        "earlier": F.sum("_weight").over(running),
+        "latest_first": from_micros(F.max("_seen").over(running), kind)})
+    return counted.filter(F.col("_kept") & (F.col("earlier") > 0)).select(
+        *events.columns, "earlier", "latest_first")

