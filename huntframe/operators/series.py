@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from huntframe.functions.durations import (
     duration_micros, epoch_micros, floor_div, from_micros, micros_of,
 )
+from huntframe.functions.scalars import let
 from huntframe.operators.aggregates import Agg, summarize
 from huntframe.operators.stages import mv_expand
 
@@ -72,7 +72,7 @@ def series_anomaly(df: DataFrame, series: str, threshold: float = 1.5, flag: str
         off = x - F.col("_mean")
         quick = F.col("_spread") - _sq(off) * n / rest_n
         rest = F.filter("_v", lambda _, j: j != i)
-        anew = _let(_sum(rest) / rest_n, lambda mean: scored_by(
+        anew = let(_sum(rest) / rest_n, lambda mean: scored_by(
             x, mean, _sum(F.transform(rest, lambda y: _sq(y - mean)))))
         return F.when(quick > F.col("_spread") * F.lit(1e-6),
                       scored_by(x, F.col("_mean") - off / rest_n, quick)).otherwise(anew)
@@ -92,11 +92,6 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Work a value out once and use it several times inside a lambda."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
 def _sq(x: Column) -> Column:
     return x * x
 
