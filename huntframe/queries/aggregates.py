@@ -11,6 +11,7 @@ from huntframe.operators.aggregates import (
     stdev, summarize, total, variance,
 )
 from huntframe.operators.series import expand_series, make_series, series_anomaly
+from huntframe.operators.stages import union
 from huntframe.queries.registry import AS_OF, MONTH_START, Tables, joined, query, rounded
 
 
@@ -166,9 +167,12 @@ def _(t: Tables):
     return rounded(summarize(t.events, n=count(), mean=avg("value"), last=maximum("ts")), 6, "mean")
 
 
-@query("A16_global_empty", "SELECT count(*) AS n FROM events WHERE value < 0 HAVING count(*) > 0")
+@query("A16_global_of_nothing_has_no_row", """SELECT 'some' AS part, count(*) AS n FROM events WHERE value > 300 HAVING count(*) > 0
+    UNION ALL SELECT 'none', count(*) FROM events WHERE value < 0 HAVING count(*) > 0""")
 def _(t: Tables):
-    return summarize(t.events.filter("value < 0"), n=count())
+    some, none = (summarize(t.events.filter(test), n=count()).select(F.lit(part).alias("part"), "n")
+                  for part, test in (("some", "value > 300"), ("none", "value < 0")))
+    return union(some, none)
 
 
 @query("A17_distinct_keys", "SELECT DISTINCT user_id, event_type FROM events")

@@ -44,10 +44,13 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted(picked, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+STRICT = bool(os.environ.get("STRICT"))  # compare floating point numbers to the last bit
+
+
 def close(a, b) -> bool:
-    if isinstance(a, float) and isinstance(b, (int, float)) and not isinstance(b, bool):
+    if not STRICT and isinstance(a, float) and isinstance(b, (int, float)) and not isinstance(b, bool):
         return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
-    return type(a) is type(b) and a == b
+    return type(a) is type(b) and a == b or STRICT and isinstance(a, float) and isinstance(b, int) and a == b
 
 
 def compare(df, con, sql: str) -> str | None:
