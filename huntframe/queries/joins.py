@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from huntframe.functions.predicates import eq
-from huntframe.functions.scalars import datetime_diff
 from huntframe.operators.aggregates import maximum, minimum, percentile, summarize
 from huntframe.operators.joins import attach, followed_by, join, within_span
-from huntframe.operators.stages import extend
 from huntframe.queries.registry import Tables, query, rounded
 
 # Rich customers on the left, large orders on the right: each side has rows without a partner.

@@ -69,8 +69,6 @@ def compare(df, con, sql: str) -> str | None:
 
 
 def main(prefixes: list[str]) -> int:
-    from pyspark.sql import DataFrame  # noqa: F401
-
     from huntframe.queries.catalog import QUERIES, SQL
     from huntframe.session import build_session
 

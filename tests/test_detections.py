@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from huntframe.functions import predicates as P
 from huntframe.operators.aggregates import dcount
-from huntframe.operators.stages import ANY, Capture, fires, parse, where
+from huntframe.operators.stages import ANY, Capture, fires, where
 from huntframe.plans import detections as D
 
 NOW = datetime(2026, 6, 24)
