@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe
+from huntframe.llm import bpe, decontaminate
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -31,3 +31,13 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(encoded, path, keep=["doc_id", "n_tokens", "ids"])
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a window of a benchmark item."""
+    found = decontaminate.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                               _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
