@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,9 @@ from pyspark.sql import types as T
 from huntframe.llm.text import text_slices
 
 VOCABULARY_BYTES = 64 << 20  # a larger tokenizer file is refused, for it is sent to every task
-KEPT_PIECES = 500_000  # encoded chunks that a task remembers
+KEPT_CHUNKS = 150_000  # of each of the two generations of chunks (and of pieces) that a task remembers
 KEPT_LENGTH = 64
-BATCH_BYTES = 6 << 20  # of text that share one index
+BATCH_BYTES = 2 << 20  # of text that share one index
 
 #: How byte-level tokenizers cut text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -141,57 +140,96 @@ class BytePairs:
                 heapq.heappush(active, rank)
 
 
+class Remembered(dict):
+    """Encoded chunks in two generations: the older one is dropped when the newer one is full."""
+
+    older: dict = {}
+
+    def renew(self, most: int) -> None:
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+
+    def missing(self, wanted: set) -> list[str]:
+        """What is not known, in a fixed order; known entries of the older generation become new ones."""
+        wanted = wanted.difference(self)
+        again = wanted.intersection(self.older)
+        self.update({c: self.older[c] for c in again})
+        return sorted(wanted - again)
+
+
 class Encoder:
-    """Encodes texts, remembering the chunks it has met."""
+    """Encodes texts, remembering the chunks it has met.
+
+    A text is cut before its line ends and at its blanks. A single blank or line end between two visible
+    characters always starts a new piece, so such chunks can be encoded one by one; a text with any other
+    white space is cut by the pattern as a whole.
+    """
 
     def __init__(self, pairs: BytePairs, plain_specials: bool = False):
         self.pairs = pairs
         self.cut = regex.compile(PATTERN)
+        self.odd = regex.compile(r"\s").search
         names = [] if plain_specials else sorted(pairs.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.known: dict[str, bytes] = {}
-
-    def _chunks(self, text: str) -> list[str]:
-        # A single blank between two visible characters always starts a new piece.
-        words = text.split()
-        if len(text) != sum(map(len, words)) + len(words) - 1:
-            return self.cut.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]]
-
-    def _learn(self, chunks: Iterable[str], into: dict[str, bytes]) -> None:
-        cut, known = self.cut.findall, self.known
-        pieces_of = {c: [c] if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else cut(c)
-                     for c in chunks}
-        different = list(dict.fromkeys(p for pieces in pieces_of.values() for p in pieces if p not in known))
-        packed = dict(zip(different, self.pairs.encode_pieces([p.encode() for p in different])))
-        for chunk, pieces in pieces_of.items():
-            into[chunk] = b"".join([packed[p] if p in packed else known[p] for p in pieces])
+        self.chunks = Remembered()  # by what follows a blank, or by a line end and what follows it
+        self.pieces = Remembered()
+
+    def _pieces_of(self, chunk: str) -> list[str] | None:
+        """None if the white space in or around the chunk is not plain."""
+        if chunk.isascii() and chunk.isalpha():
+            return [" " + chunk]
+        body = chunk[1:] if chunk[:1] == "\n" else chunk
+        if not body or self.odd(body):
+            return None
+        return self.cut.findall(chunk if chunk[:1] == "\n" else " " + chunk)
+
+    def _encoded(self, different: list[str], kept: bool) -> dict[str, bytes]:
+        """The ids of pieces. Long ones are not remembered."""
+        new = [p for p in different if p not in self.pieces]
+        ids = dict(zip(new, self.pairs.encode_pieces([p.encode() for p in new])))
+        if kept:
+            self.pieces.update({p: i for p, i in ids.items() if len(p) <= KEPT_LENGTH})
+        return ids
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes | None]:
+        cut = {c: self._pieces_of(c) for c in chunks}
+        ids = self._encoded(list(dict.fromkeys(p for pieces in cut.values() if pieces for p in pieces)), True)
+        known = self.pieces
+        return {c: None if pieces is None else b"".join([ids[p] if p in ids else known[p] for p in pieces])
+                for c, pieces in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts_of = []
-        for text in texts:
-            parts = self.specials.split(text) if self.specials and "<" in text else [text]
-            parts_of.append([self._chunks(p) if not i % 2 else p for i, p in enumerate(parts)])
-        if len(self.known) > KEPT_PIECES:
-            self.known = {}
+        self.chunks.renew(KEPT_CHUNKS)
+        self.pieces.renew(KEPT_CHUNKS)
+        parts_of = [self.specials.split(t) if self.specials and "<" in t else [t] for t in texts]
+        plain = [p for parts in parts_of for p in parts[::2] if p]
+        cut = [p.replace("\n", " \n").split(" ") for p in plain]
         different = set()
-        for parts in parts_of:
-            for chunks in parts[::2]:
-                different.update(chunks)
-        different.difference_update(self.known)
-        long = {c for c in different if len(c) > KEPT_LENGTH}
-        fresh: dict[str, bytes] = {}
-        self._learn(sorted(different - long), self.known)
-        self._learn(sorted(long), fresh)
-        known = {**self.known, **fresh} if fresh else self.known
-        out = []
-        for parts in parts_of:
-            out.append(b"".join([
-                b"".join([known[c] for c in p]) if not i % 2 else np.uint32(self.pairs.special[p]).tobytes()
-                for i, p in enumerate(parts)]))
-        return out
+        for chunks in cut:
+            different.update(chunks[1:])
+        learnt = self._learn(self.chunks.missing(different))
+        self.chunks.update(learnt)
+        known = self.chunks
+        heads, bodies, whole = [], [], []
+        for text, chunks in zip(plain, cut):
+            try:
+                bodies.append(b"".join([known[c] for c in chunks[1:]]))
+                odd = not chunks[0] or self.odd(chunks[0])
+            except TypeError:  # a chunk with other white space
+                bodies.append(b"")
+                odd = True
+            heads.append(self.cut.findall(text if odd else chunks[0]))
+            whole.append(odd)
+        ids = self._encoded(list(dict.fromkeys(p for pieces in heads for p in pieces)), False)
+        for chunk in [c for c in learnt if len(c) > KEPT_LENGTH]:
+            del known[chunk]
+        pieces = self.pieces
+        done = iter([b"".join([ids[p] if p in ids else pieces[p] for p in head]) + (b"" if odd else body)
+                     for head, body, odd in zip(heads, bodies, whole)])
+        return [b"".join([(next(done) if p else b"") if not i % 2 else np.uint32(self.pairs.special[p]).tobytes()
+                          for i, p in enumerate(parts)]) for parts in parts_of]
 
 
 def read_vocabulary(path: str, most: int = VOCABULARY_BYTES) -> str:

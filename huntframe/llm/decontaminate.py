@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from huntframe.llm.share import Shared
 from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, text_bytes, text_slices
 
 PART_WORDS = 100_000  # benchmark words in one automaton, and so in memory and in one broadcast
@@ -161,7 +162,7 @@ def benchmark_parts(benchmark: DataFrame, window: int, item: str, text: str, par
     for part in range(parts):
         rows = words.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()
         items = [(r.item, [w % (1 << 64) for w in r.words]) for r in rows]
-        yield spark.sparkContext.broadcast(BenchmarkPart(items, window))
+        yield Shared(spark, BenchmarkPart(items, window))
 
 
 FOUND = "array<struct<start:int,end:int>>"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, decontaminate
+from huntframe.llm import bpe, decontaminate, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -41,3 +41,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _remainder(by: int):
+    """crc32 of the doc_id as text, by which documents are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by))
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each document is toxic, learned from labels outside the held-out third."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = toxicity.fit(documents.filter(_remainder(3) != 1), _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    scored = toxicity.score(documents.select("doc_id", "text", held_out), fitted)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
