@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained, mixed, text_bytes, text_slices
 
 LONGEST = 1 << 20  # bytes; longer texts are not fitted on
 
@@ -28,3 +33,37 @@ def bounded_sample(rows: DataFrame, label: str, most_rows: int, most_bytes: int,
     return drawn.withColumn("_row", F.row_number().over(first)).filter(F.col("_row") <= most_rows).withColumn(
         "_draw", F.pmod(F.xxhash64(F.col(key), F.lit("split")), F.lit(1 << 30)) / F.lit(float(1 << 30))).drop(
         "_bytes", "_at", "_share", "_row")
+
+
+def without_near_copies(rows: DataFrame, text: str = "text", key: str = "doc_id", marks: int = 6,
+                        shingle: int = 3) -> DataFrame:
+    """One row of each group of near copies, for fitting: a passage that is copied often says little.
+
+    A row goes if a row with a smaller key shares one of its ``marks``, each the smallest hash of the
+    text's word shingles in another order. Exact copies always share them, near copies almost always.
+    """
+    schema = T.StructType([rows.schema[key], T.StructField("_mark", T.IntegerType()), T.StructField("_hash", T.LongType())])
+
+    def run(batches):
+        powers, codes = Powers(), byte_codes()
+        for batch in text_slices(batches, text):
+            words = Words(*text_bytes(batch.column(text)), ALPHANUMERIC, powers, codes)
+            chain = words.hash
+            for _ in range(shingle - 1):
+                chain = chained(chain[:-1], words.hash[len(words) - len(chain) + 1:]) if len(chain) else chain
+            whole = words.border[1:] - words.border[:-1] >= shingle
+            smallest = np.zeros((marks, batch.num_rows), np.uint64)
+            for mark in range(marks):
+                values = mixed(chain + np.uint64(mark))
+                for i, (a, b) in enumerate(zip(words.border[:-1].tolist(), words.border[1:].tolist())):
+                    smallest[mark, i] = values[a:b - shingle + 1].min() if whole[i] else words.hash[a:b].sum(dtype=np.uint64)
+            keys = batch.column(key)
+            for mark in range(marks):
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(np.full(batch.num_rows, mark, np.int32)), pa.array(smallest[mark].view(np.int64))],
+                    names=[key, "_mark", "_hash"])
+
+    marked = rows.select(key, text).mapInArrow(run, schema)
+    first = marked.groupBy("_mark", "_hash").agg(F.min(key).alias("_first"))
+    later = marked.join(first, ["_mark", "_hash"]).filter(F.col(key) > F.col("_first")).select(key).distinct()
+    return rows.join(later, key, "left_anti")

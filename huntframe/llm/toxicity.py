@@ -1,10 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two word bigram models are counted, one on toxic and one on ordinary texts. Each backs off to the word
-frequencies of its own class, and these to continuation counts that both classes share, so an expression
-too rare to tell the classes apart scores alike in both. A text's score is the difference of its two
-log-likelihoods per word, turned into a probability by a logistic curve fitted on labelled texts that the
-models have not counted.
+frequencies of its own class, and these to backoff counts that both classes share. A class keeps of a
+count only what clearly exceeds the other class's count; as in Kneser-Ney smoothing, what is discounted
+makes up the shared backoff counts, so an expression too rare to tell the classes apart, or equally
+common in both, scores alike in both. A text's score is the difference of its two log-likelihoods per
+word, turned into a probability by a logistic curve fitted on labelled texts that the models have not
+counted.
 """
 
 from __future__ import annotations
@@ -15,20 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huntframe.llm.sampling import bounded_sample
+from huntframe.llm.sampling import bounded_sample, without_near_copies
 from huntframe.llm.share import Shared
 from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained, text_bytes, text_slices
 
 SAMPLE_ROWS = 12_000  # labelled rows of each class
 SAMPLE_BYTES = 16 << 20  # bytes of their texts, per class
 COUNTED = 0.7  # of the sample; the rest fits the logistic curve
-DISCOUNT = 4.0  # taken from every count of a class; what is seen no more often than that scores alike in both
-STRENGTH = 0.2  # weight of the shared frequencies, as a share of the words of a class
-SHARED_DISCOUNT = 0.75  # taken from the shared continuation counts
+DISCOUNT = 2.0  # texts taken from every count of a class,
+SPREADS = (2.0, 3.0, 4.0)  # and so many standard deviations of a chance difference; the best of these is used
 START = np.uint64(1)  # stands before the first word of a text
+ALONE = 0  # stands in place of the word before where words are counted by themselves
 
 
-def _pairs(words: Words) -> np.ndarray:
+def _before(words: Words) -> np.ndarray:
     """The word before each word."""
     before = np.empty(len(words), np.uint64)
     if len(words):
@@ -39,85 +41,96 @@ def _pairs(words: Words) -> np.ndarray:
 
 
 def _counted(sample: DataFrame) -> DataFrame:
-    """(toxic, before, word, n) of the sampled texts."""
+    """In how many sampled texts of either class a word stands, and stands after another: (before, word, n0, n1)."""
     def run(batches):
         powers, codes = Powers(), byte_codes()
         for batch in text_slices(batches):
             words = Words(*text_bytes(batch.column("text")), ALPHANUMERIC, powers, codes)
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[words.text]
-            table = pa.table({"toxic": toxic, "before": _pairs(words).view(np.int64), "word": words.hash.view(np.int64)})
-            counts = table.group_by(["toxic", "before", "word"]).aggregate([([], "count_all")])
-            yield from counts.rename_columns(["toxic", "before", "word", "n"]).to_batches()
+            n = len(words)
+            table = pa.table({
+                "text": np.concatenate([words.text, words.text]),
+                "before": np.concatenate([np.full(n, ALONE), _before(words).view(np.int64)]),
+                "word": np.concatenate([words.hash, words.hash]).view(np.int64)}).group_by(
+                    ["text", "before", "word"]).aggregate([])
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[table["text"].to_numpy()]
+            table = table.append_column("n0", pa.array(1 - toxic)).append_column("n1", pa.array(toxic))
+            counts = table.group_by(["before", "word"]).aggregate([("n0", "sum"), ("n1", "sum")])
+            yield from counts.rename_columns(["before", "word", "n0", "n1"]).to_batches()
 
-    rows = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, before long, word long, n long")
-    return rows.groupBy("toxic", "before", "word").agg(F.sum("n").alias("n"))
+    rows = sample.select("text", F.col("toxic").cast("long")).mapInArrow(
+        run, "before long, word long, n0 long, n1 long")
+    return rows.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _excess(own, other, ratio, spread):
+    """What a class keeps of a count: the part that the other class's count does not explain."""
+    expected = other * ratio
+    return F.greatest(own - expected - DISCOUNT - F.lit(spread) * F.sqrt(own + expected), F.lit(0.0))
 
 
 class KneserNey:
     """Both models as sorted arrays. Their size is bounded by that of the sample."""
 
-    def __init__(self, pairs: dict, words: dict, contexts: dict):
-        self.pairs, self.words, self.contexts = pairs, words, contexts
-        self.unknown = words["unknown"]
+    def __init__(self, words: dict, contexts: dict, pairs: dict):
+        self.words, self.contexts, self.pairs = words, contexts, pairs
 
     @staticmethod
-    def fit(sample: DataFrame) -> KneserNey:
-        counts = _counted(sample).withColumn("kept", F.col("n") > DISCOUNT).persist()
-        per_word = counts.groupBy("word").agg(
-            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"),
-            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"),
-            F.count_distinct("before").alias("follows"))
-        per_context = counts.groupBy("toxic", "before").agg(
-            F.sum("n").alias("n"), F.sum(F.when(F.col("kept"), F.col("n") - DISCOUNT).otherwise(0.0)).alias("mass"))
-        words = _numpy(per_word)
-        pairs = _numpy(counts.filter("kept").select("toxic", "before", "word", "n"))
-        contexts = _numpy(per_context.filter("mass > 0"))
-        counts.unpersist()
-
-        # Shared by both classes: pooled counts over continuation counts over one share for the unknown.
-        follows = words["follows"].astype(float)
-        everywhere = follows.sum() + 1.0
-        unseen = (SHARED_DISCOUNT * len(follows) + 1.0) / everywhere / (len(follows) + 1)
-        continued = np.maximum(follows - SHARED_DISCOUNT, 0) / everywhere + unseen
-        pooled = (words["n0"] + words["n1"]).astype(float)
-        back = (SHARED_DISCOUNT * len(pooled) + 1.0) / (pooled.sum() + 1.0)
+    def fit(counts: DataFrame, spread: float) -> KneserNey:
+        alone = F.col("before") == ALONE
+        total = counts.filter(alone).agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1))).first()
+        size = [float(total[0] or 0) + 1, float(total[1] or 0) + 1]
+        keeps = [_excess(F.col("n0"), F.col("n1"), F.lit(size[0] / size[1]), spread).alias("own0"),
+                 _excess(F.col("n1"), F.col("n0"), F.lit(size[1] / size[0]), spread).alias("own1")]
+        cut = counts.select("before", "word", "n0", "n1", *keeps)
+        left = F.col("n0") - F.col("own0") + F.col("n1") - F.col("own1")
+        shared = cut.filter(alone).agg(F.sum(left), F.sum("own0"), F.sum("own1")).first()
+        everywhere = float(shared[0] or 0) + 1
+
+        words = _numpy(cut.filter(alone & ((F.col("own0") > 0) | (F.col("own1") > 0))).select(
+            "word", "own0", "own1", left.alias("left")))
         order = np.argsort(words["word"].view(np.uint64))
-        shared = (np.maximum(pooled - SHARED_DISCOUNT, 0) / (pooled.sum() + 1.0) + back * continued)[order]
-        out = {"key": words["word"].view(np.uint64)[order], "unknown": np.empty(2), "p": np.empty((2, len(order)))}
-        for toxic in (0, 1):
-            n = words[f"n{toxic}"][order].astype(float)
-            strength = STRENGTH * n.sum() + 1.0
-            total = n.sum() + strength
-            from_shared = (np.minimum(n, DISCOUNT).sum() + strength) / total
-            out["p"][toxic] = np.maximum(n - DISCOUNT, 0) / total + from_shared * shared
-            out["unknown"][toxic] = from_shared * back * unseen
-
-        # Pairs and contexts of either class share one key list; a pair absent from a class has no own mass there.
-        key = np.unique(contexts["before"].view(np.uint64))
-        back = np.ones((2, len(key)))
-        size = np.ones((2, len(key)))
-        at = np.searchsorted(key, contexts["before"].view(np.uint64))
-        back[contexts["toxic"], at] = 1 - contexts["mass"] / contexts["n"]
-        size[contexts["toxic"], at] = contexts["n"]
-        pair = chained(pairs["before"].view(np.uint64), pairs["word"].view(np.uint64))
-        pair_key = np.unique(pair)
-        own = np.zeros((2, len(pair_key)))
+        back = [1 - float(shared[1 + k] or 0) / size[k] for k in (0, 1)]
+        p = np.array([words[f"own{k}"][order] / size[k] + back[k] * (words["left"][order] + 1) / everywhere for k in (0, 1)])
+        # A word that neither class keeps differs by the backoff weights alone, whatever its shared count.
+        table = {"key": words["word"].view(np.uint64)[order], "logs": np.log(p[1] / p[0]), "p": p,
+                 "other": float(np.log(back[1] / back[0]))}
+
+        kept = cut.filter(~alone & ((F.col("own0") > 0) | (F.col("own1") > 0)))
+        pairs = _numpy(kept.select("before", "word", "own0", "own1"))
+        held = kept.groupBy("before").agg(F.sum("own0").alias("held0"), F.sum("own1").alias("held1"))
+        of_contexts = _numpy(cut.filter(~alone).groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).join(
+            held, "before"))
+        order = np.argsort(of_contexts["before"].view(np.uint64))
+        key = of_contexts["before"].view(np.uint64)[order]
+        n = np.array([of_contexts[f"n{k}"][order] + 1.0 for k in (0, 1)])
+        weight = np.array([1 - of_contexts[f"held{k}"][order] / n[k] for k in (0, 1)])
         at = np.searchsorted(key, pairs["before"].view(np.uint64))
-        own[pairs["toxic"], np.searchsorted(pair_key, pair)] = (pairs["n"] - DISCOUNT) / size[pairs["toxic"], at]
-        return KneserNey({"key": pair_key, "own": own}, out, {"key": key, "back": back})
+        own = np.array([pairs[f"own{k}"] / n[k, at] for k in (0, 1)])
+        pair = chained(pairs["before"].view(np.uint64), pairs["word"].view(np.uint64))
+        order = np.argsort(pair)
+        least = back[0] / everywhere
+        return KneserNey({**table, "least": least}, {"key": key, "logs": np.log(weight[1] / weight[0]), "weight": weight},
+                         {"key": pair[order], "own": own[:, order]})
 
     def difference(self, words: Words) -> np.ndarray:
         """Per word: toxic minus ordinary log-probability."""
-        before = _pairs(words)
-        at, known = _found(self.words["key"], words.hash)
-        p = np.where(known, self.words["p"][:, at], self.unknown[:, None])
+        before = _before(words)
+        word_at, word_known = _found(self.words["key"], words.hash)
+        logs = np.where(word_known, self.words["logs"][word_at], self.words["other"]) if len(self.words["key"]) \
+            else np.full(len(words), self.words["other"])
         at, known = _found(self.contexts["key"], before)
-        p *= np.where(known, self.contexts["back"][:, at], 1.0)
         where = np.flatnonzero(known)
-        at, known = _found(self.pairs["key"], chained(before[where], words.hash[where]))
-        p[:, where[known]] += self.pairs["own"][:, at[known]]
-        logs = np.log(p)
-        return logs[1] - logs[0]
+        logs[where] += self.contexts["logs"][at[where]]
+        # Where the pair itself is kept, its own mass comes on top of the weighted word probability.
+        pair_at, pair_known = _found(self.pairs["key"], chained(before[where], words.hash[where]))
+        where, pair_at = where[pair_known], pair_at[pair_known]
+        if len(where):
+            least = np.array([[1.0], [np.exp(self.words["other"])]]) * self.words["least"]
+            p = np.where(word_known[where], self.words["p"][:, word_at[where]], least) if len(self.words["key"]) \
+                else np.repeat(least, len(where), axis=1)
+            p = self.pairs["own"][:, pair_at] + self.contexts["weight"][:, at[where]] * p
+            logs[where] = np.log(p[1] / p[0])
+        return logs
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +148,28 @@ def _numpy(df: DataFrame) -> dict[str, np.ndarray]:
 def _features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Difference per word, the same weighted by how much text speaks for it, and the length."""
     mean = total / np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), mean, mean * np.sqrt(n), np.log1p(n)], axis=1)
+    return np.stack([mean, mean * np.sqrt(n), np.log1p(n)], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weighted logistic regression by Newton steps."""
-    beta = np.zeros(x.shape[1])
-    keep = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + keep, x.T @ (weight * (y - p)) - keep @ beta)
-        beta += step
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> dict:
+    """Weighted logistic regression by Newton steps, on features brought to a common scale.
+
+    A feature enters as the hyperbolic tangent of its distance from the middle of ordinary texts, so a few
+    extreme texts do not flatten the curve for the rest.
+    """
+    middle = np.median(x[y == 0], axis=0)
+    scale = np.maximum(np.quantile(np.abs(x - middle)[y == 1], 0.75, axis=0), 1e-9)
+    z = np.column_stack([np.ones(len(x)), np.tanh((x - middle) / scale)])
+    beta, keep = np.zeros(z.shape[1]), np.diag([1e-6, *[ridge] * x.shape[1]])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + keep, z.T @ (weight * (y - p)) - keep @ beta)
+        beta += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
-    return beta
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ beta, -30, 30))), 1e-6, 1 - 1e-6)
+    loss = -float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+    return {"middle": middle.tolist(), "scale": scale.tolist(), "beta": beta.tolist(), "loss": loss}
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict:
@@ -167,22 +188,26 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     rate = share.get(1, 0) / max(1, sum(share.values()))
     if len(share) < 2:
         return {"rate": rate, "model": None}
-    different = labelled.groupBy(F.sha2("text", 256).alias("_copy")).agg(
-        F.min("doc_id").alias("doc_id")).drop("_copy")
-    labelled = labelled.join(different, "doc_id", "left_semi")
+    labelled = without_near_copies(labelled)
     sizes = labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     sample = bounded_sample(labelled, "toxic", min(sample_rows, *[r.n for r in sizes]),
                             min(sample_bytes, *[r.bytes for r in sizes])).persist()
-    model = KneserNey.fit(sample.filter(F.col("_draw") < COUNTED))
     spark = documents.sparkSession
-    rest = _numpy(_totals(sample.filter(F.col("_draw") >= COUNTED).select("toxic", "text"),
-                          Shared(spark, model), "text").select("toxic", "_total", "_n"))
+    counts = _counted(sample.filter(F.col("_draw") < COUNTED)).persist()
+    rest = sample.filter(F.col("_draw") >= COUNTED).select("toxic", "text")
+    best = {"rate": rate, "model": None, "loss": np.inf}
+    for spread in SPREADS:
+        model = KneserNey.fit(counts, spread)
+        found = _numpy(_totals(rest, Shared(spark, model), "text").select("toxic", "_total", "_n"))
+        y = found["toxic"].astype(float)
+        if 0 < y.sum() < len(y):
+            weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
+            curve = _curve(_features(found["_total"], found["_n"]), y, weight)
+            if curve["loss"] < best["loss"]:
+                best = {"rate": rate, "model": model, **curve}
+    counts.unpersist()
     sample.unpersist()
-    y = rest["toxic"].astype(float)
-    if not 0 < y.sum() < len(y):
-        return {"rate": rate, "model": None}
-    weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
-    return {"rate": rate, "model": model, "beta": _logistic(_features(rest["_total"], rest["_n"]), y, weight)}
+    return best
 
 
 def _totals(docs: DataFrame, model, text: str) -> DataFrame:
@@ -208,8 +233,10 @@ def score(docs: DataFrame, fitted: dict, text: str = "text", to: str = "score")
     if fitted["model"] is None:
         return docs.withColumn(to, F.lit(float(fitted["rate"])))
     model = Shared(docs.sparkSession, fitted["model"])
-    beta = [float(b) for b in fitted["beta"]]
     mean = F.col("_total") / F.greatest(F.col("_n"), F.lit(1))
-    curve = F.lit(beta[0]) + mean * beta[1] + mean * F.sqrt("_n") * beta[2] + F.log1p("_n") * beta[3]
+    features = [mean, mean * F.sqrt("_n"), F.log1p("_n")]
+    curve = F.lit(fitted["beta"][0])
+    for x, middle, scale, beta in zip(features, fitted["middle"], fitted["scale"], fitted["beta"][1:]):
+        curve += F.tanh((x - middle) / scale) * beta
     return _totals(docs, model, text).withColumn(
         to, F.lit(1.0) / (F.lit(1.0) + F.exp(-curve))).drop("_total", "_n")
