@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, decontaminate, toxicity
+from huntframe.llm import bpe, decontaminate, language, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -56,3 +56,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
     scored = toxicity.score(documents.select("doc_id", "text", held_out), fitted)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned outside the held-out third."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(documents.filter(_remainder(3) != 1))
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return language.predict(documents.select("doc_id", "text", held_out), model).drop("text")
