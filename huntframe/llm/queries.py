@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, decontaminate, language, toxicity
+from huntframe.llm import bpe, decontaminate, language, tokenfile, toxicity
+from huntframe.session import scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -65,3 +66,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(documents.filter(_remainder(3) != 1))
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
     return language.predict(documents.select("doc_id", "text", held_out), model).drop("text")
+
+
+@_query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as token files and read back from them."""
+    path = scratch_path(spark, "tokens")
+    tokenfile.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
