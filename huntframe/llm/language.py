@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huntframe.llm.sampling import bounded_sample
+from huntframe.llm.sampling import bounded_sample, with_texts
 from huntframe.llm.share import Shared
 from huntframe.llm.text import LETTERS, Powers, Words, byte_codes, mixed, text_bytes, text_slices
 
@@ -115,8 +115,9 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int
 
     Fitted on a sample of at most ``sample_rows`` rows and about ``sample_bytes`` bytes per language.
     """
-    labelled = documents.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    sample = bounded_sample(labelled, "lang", sample_rows, sample_bytes).persist()
+    labelled = documents.filter("text is not null and lang is not null")
+    sizes = labelled.select("doc_id", "lang", F.octet_length("text").alias("bytes"))
+    sample = with_texts(bounded_sample(sizes, "lang", sample_rows, sample_bytes), labelled.drop("lang")).persist()
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     if not languages:
         return None

@@ -13,57 +13,68 @@ from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained,
 LONGEST = 1 << 20  # bytes; longer texts are not fitted on
 
 
-def bounded_sample(rows: DataFrame, label: str, most_rows: int, most_bytes: int, text: str = "text",
+def bounded_sample(rows: DataFrame, label: str, most_rows: int, most_bytes: int, size: str = "bytes",
                    key: str = "doc_id") -> DataFrame:
-    """At most ``most_rows`` rows and about ``most_bytes`` bytes of text of each label, whatever the input.
+    """(key, label, draw): at most ``most_rows`` rows and about ``most_bytes`` bytes of each label.
 
-    Rows are drawn by a hash of their key, so a repeated task draws the same ones. Adds ``_draw``, a
-    number in [0, 1) that is spread evenly over the rows drawn, for splitting the sample.
+    ``rows`` holds key, label and the size of the text, not the text. Rows are drawn by a hash of their key,
+    so a repeated task draws the same ones. ``draw`` is a number in [0, 1) that is spread evenly over the
+    rows drawn, for splitting the sample.
     """
-    sized = rows.withColumns({
-        "_bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))),
-        "_at": F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30)),
-    }).filter(F.col(label).isNotNull() & (F.col("_bytes") <= LONGEST))
-    totals = sized.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_total"))
+    spread = F.lit(float(1 << 30))
+    at = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / spread
+    sized = rows.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.col(size) <= LONGEST)).select(
+        key, label, size, at.alias("_at"))
+    totals = sized.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_total"))
     share = F.least(F.lit(1.0), F.lit(float(most_rows)) / F.col("_n"),
                     F.lit(float(most_bytes)) / F.greatest(F.col("_total"), F.lit(1)))
-    shares = totals.select(label, share.alias("_share"))
-    drawn = sized.join(F.broadcast(shares), label).filter(F.col("_at") < F.col("_share"))
+    drawn = sized.join(totals.select(label, share.alias("_share")), label).filter(F.col("_at") < F.col("_share"))
     first = Window.partitionBy(label).orderBy("_at", key)
-    return drawn.withColumn("_row", F.row_number().over(first)).filter(F.col("_row") <= most_rows).withColumn(
-        "_draw", F.pmod(F.xxhash64(F.col(key), F.lit("split")), F.lit(1 << 30)) / F.lit(float(1 << 30))).drop(
-        "_bytes", "_at", "_share", "_row")
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("split")), F.lit(1 << 30)) / spread
+    return drawn.withColumn("_row", F.row_number().over(first)).filter(F.col("_row") <= most_rows).select(
+        key, label, draw.alias("draw"))
 
 
-def without_near_copies(rows: DataFrame, text: str = "text", key: str = "doc_id", marks: int = 6,
-                        shingle: int = 3) -> DataFrame:
-    """One row of each group of near copies, for fitting: a passage that is copied often says little.
+def with_texts(sample: DataFrame, documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The sample with its texts. The sample's rows are bounded, so they go to the documents."""
+    return documents.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key)
 
-    A row goes if a row with a smaller key shares one of its ``marks``, each the smallest hash of the
-    text's word shingles in another order. Exact copies always share them, near copies almost always.
+
+def near_copy_marks(documents: DataFrame, text: str = "text", key: str = "doc_id", marks: int = 6,
+                    shingle: int = 3) -> DataFrame:
+    """(key, bytes, marks): the smallest hash of each text's word shingles, in several orders.
+
+    Exact copies have the same marks, near copies almost always share one.
     """
-    schema = T.StructType([rows.schema[key], T.StructField("_mark", T.IntegerType()), T.StructField("_hash", T.LongType())])
+    schema = T.StructType([documents.schema[key], T.StructField("bytes", T.LongType()),
+                           T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def run(batches):
         powers, codes = Powers(), byte_codes()
         for batch in text_slices(batches, text):
-            words = Words(*text_bytes(batch.column(text)), ALPHANUMERIC, powers, codes)
+            data, offsets = text_bytes(batch.column(text))
+            words = Words(data, offsets, ALPHANUMERIC, powers, codes)
             chain = words.hash
             for _ in range(shingle - 1):
                 chain = chained(chain[:-1], words.hash[len(words) - len(chain) + 1:]) if len(chain) else chain
-            whole = words.border[1:] - words.border[:-1] >= shingle
-            smallest = np.zeros((marks, batch.num_rows), np.uint64)
+            smallest = np.empty((batch.num_rows, marks), np.uint64)
             for mark in range(marks):
                 values = mixed(chain + np.uint64(mark))
                 for i, (a, b) in enumerate(zip(words.border[:-1].tolist(), words.border[1:].tolist())):
-                    smallest[mark, i] = values[a:b - shingle + 1].min() if whole[i] else words.hash[a:b].sum(dtype=np.uint64)
-            keys = batch.column(key)
-            for mark in range(marks):
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(np.full(batch.num_rows, mark, np.int32)), pa.array(smallest[mark].view(np.int64))],
-                    names=[key, "_mark", "_hash"])
+                    smallest[i, mark] = values[a:b - shingle + 1].min() if b - a >= shingle \
+                        else words.hash[a:b].sum(dtype=np.uint64)
+            border = np.arange(batch.num_rows + 1, dtype=np.int32) * marks
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(border, smallest.ravel().view(np.int64))],
+                names=[key, "bytes", "marks"])
+
+    return documents.select(key, text).mapInArrow(run, schema)
+
 
-    marked = rows.select(key, text).mapInArrow(run, schema)
-    first = marked.groupBy("_mark", "_hash").agg(F.min(key).alias("_first"))
-    later = marked.join(first, ["_mark", "_hash"]).filter(F.col(key) > F.col("_first")).select(key).distinct()
+def without_near_copies(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Drops each row that shares a mark with a row of a smaller key, for fitting: a passage that is copied
+    often says little. ``rows`` has ``marks``."""
+    marked = rows.select(key, F.posexplode("marks").alias("mark", "hash"))
+    first = marked.groupBy("mark", "hash").agg(F.min(key).alias("first"))
+    later = marked.join(first, ["mark", "hash"]).filter(F.col(key) > F.col("first")).select(key).distinct()
     return rows.join(later, key, "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huntframe.llm.sampling import bounded_sample, without_near_copies
+from huntframe.llm.sampling import bounded_sample, near_copy_marks, with_texts, without_near_copies
 from huntframe.llm.share import Shared
 from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained, text_bytes, text_slices
 
@@ -182,19 +182,20 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """
     voted = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    labelled = documents.select("doc_id", "text").join(voted, "doc_id")
-    share = labelled.groupBy("toxic").count().collect()
-    share = {r.toxic: r["count"] for r in share}
+    # Only ids, sizes and marks are shuffled; the texts of the bounded sample are fetched at the end.
+    labelled = near_copy_marks(documents).join(voted, "doc_id").persist()
+    share = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     rate = share.get(1, 0) / max(1, sum(share.values()))
     if len(share) < 2:
         return {"rate": rate, "model": None}
-    labelled = without_near_copies(labelled)
-    sizes = labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
-    sample = bounded_sample(labelled, "toxic", min(sample_rows, *[r.n for r in sizes]),
-                            min(sample_bytes, *[r.bytes for r in sizes])).persist()
+    different = without_near_copies(labelled).persist()
+    sizes = different.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")).collect()
+    drawn = bounded_sample(different, "toxic", min(sample_rows, *[r.n for r in sizes]),
+                           min(sample_bytes, *[max(1, r.total) for r in sizes]))
+    sample = with_texts(drawn, documents).persist()
     spark = documents.sparkSession
-    counts = _counted(sample.filter(F.col("_draw") < COUNTED)).persist()
-    rest = sample.filter(F.col("_draw") >= COUNTED).select("toxic", "text")
+    counts = _counted(sample.filter(F.col("draw") < COUNTED)).persist()
+    rest = sample.filter(F.col("draw") >= COUNTED).select("toxic", "text")
     best = {"rate": rate, "model": None, "loss": np.inf}
     for spread in SPREADS:
         model = KneserNey.fit(counts, spread)
@@ -205,8 +206,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
             curve = _curve(_features(found["_total"], found["_n"]), y, weight)
             if curve["loss"] < best["loss"]:
                 best = {"rate": rate, "model": model, **curve}
-    counts.unpersist()
-    sample.unpersist()
+    for kept in (counts, sample, different, labelled):
+        kept.unpersist()
     return best
 
 
