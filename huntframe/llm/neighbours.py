@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from huntframe.llm.share import Shared
 
 SAMPLE_ROWS = 8192
-PARTS = 32  # a power of two
-PROBES = 8
+PARTS = 16  # a power of two
+MASS = 0.95  # a query visits its most probable parts until they hold this much of the probability
 GRAPH_NEIGHBOURS = 12
 BLOCK_ROWS = 4096  # stored rows, and queries, that meet in one task
 
@@ -76,7 +76,7 @@ class Router:
     """A softmax classifier from a vector's direction to the parts in which its neighbours lie."""
 
     def __init__(self, x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, rng: np.random.Generator,
-                 steps: int = 400, rate: float = 0.05):
+                 steps: int = 200, rate: float = 0.05):
         self.parts = parts
         z = self._input(x)
         wanted = np.zeros((len(x), parts))
@@ -101,9 +101,15 @@ class Router:
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def most_probable(self, x: np.ndarray, count: int) -> np.ndarray:
-        """The parts of each vector, the most probable first; ties go to the smaller number."""
-        return np.argsort(-(self._input(x) @ self.weight), axis=1, kind="stable")[:, :count]
+    def most_probable(self, x: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's parts, the most probable first, until they hold ``mass`` of the probability (at
+        mass 0 just the first); and how many these are. Ties go to the smaller number."""
+        p = self._softmax(self._input(x) @ self.weight)
+        order = np.argsort(-p, axis=1, kind="stable")
+        before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
+        wanted = before < mass
+        wanted[:, 0] = True
+        return order[wanted], wanted.sum(axis=1)
 
 
 def _matrix(column) -> np.ndarray:
@@ -145,7 +151,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, parts: int = PARTS) ->
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, name: str = "vec_id", vector: str = "embedding",
-           probes: int = PROBES, parts: int = PARTS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+           mass: float = MASS, parts: int = PARTS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` rows with the largest inner product found for each query: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on ``id``. Rows that ``usable`` leaves out take no part; rows of one id
@@ -159,14 +165,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, name: str = "vec_id", vect
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = Shared(rows.sparkSession, router)
 
-    def assigned(df: DataFrame, count: int) -> DataFrame:
+    def assigned(df: DataFrame, upto: float) -> DataFrame:
         def run(batches):
             known = shared.value
             for batch in batches:
                 if batch.num_rows:
-                    best = known.most_probable(_matrix(batch.column("v")), count).astype(np.int32)
-                    border = np.arange(batch.num_rows + 1, dtype=np.int32) * best.shape[1]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(border, best.ravel())],
+                    best, count = known.most_probable(_matrix(batch.column("v")), upto)
+                    border = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(border, best.astype(np.int32))],
                                                      names=[*batch.schema.names, "part"])
 
         kind = rows.schema["v"].dataType.simpleString()
@@ -174,7 +180,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, name: str = "vec_id", vect
 
     same = Window.partitionBy(F.xxhash64("v"), F.xxhash64("v", F.lit("again"))).orderBy("id")
     stored = rows.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k + 1).select("id", "v")
-    stored, asked = assigned(stored, 1), assigned(rows.filter(is_query), probes)
+    stored, asked = assigned(stored, 0.0), assigned(rows.filter(is_query), mass)
     # How many blocks each part has on either side: one row per part.
     sizes = stored.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.lit(0).alias("asked")).union(
         asked.groupBy("part").agg(F.lit(0), F.count(F.lit(1)))).groupBy("part").agg(F.sum("rows"), F.sum("asked")).collect()
