@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, decontaminate, language, neighbours, tokenfile, toxicity
+from huntframe.llm import bpe, decontaminate, language, neighbours, tokencounts, tokenfile, toxicity
 from huntframe.session import scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth vector."""
     return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@_query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under a unigram vocabulary."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencounts.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
