@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, decontaminate, language, neighbours, tokencounts, tokenfile, toxicity
+from huntframe.llm import bpe, decontaminate, language, neighbours, similarity, tokencounts, tokenfile, toxicity
 from huntframe.session import scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under a unigram vocabulary."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencounts.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@_query
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by nine tenths of their three-word shingles."""
+    return similarity.link(_table(spark, sf_dir, "documents"), size=3, percent=90)
