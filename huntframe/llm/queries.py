@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, decontaminate, language, neighbours, similarity, tokencounts, tokenfile, toxicity
+from huntframe.llm import bpe, decontaminate, language, neighbours, similarity, suffixes, tokencounts, tokenfile, toxicity
 from huntframe.session import scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by nine tenths of their three-word shingles."""
     return similarity.link(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@_query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in 50-byte strings that a document with a smaller id has as well."""
+    found = suffixes.repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                        removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
