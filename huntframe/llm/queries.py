@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, decontaminate, language, neighbours, similarity, suffixes, tokencounts, tokenfile, toxicity
+from huntframe.llm import (
+    bpe, decontaminate, language, neighbours, pitman_yor, similarity, suffixes, tokencounts, tokenfile, toxicity,
+)
 from huntframe.session import scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +105,12 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
                         removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a model of six sevenths of them."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
+    scored = pitman_yor.score(documents.withColumn("held_out", held_out), ~held_out)
+    return scored.drop("text")

@@ -39,13 +39,30 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of their place value: the high bytes are mostly zero."""
+    steps = np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys
+    return packed(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    planes = unpacked(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def by_shard(df: DataFrame, shards: int):
+    """Groups rows by shard on the same partitions as ``sharded`` texts, so these are not moved again."""
+    return df.repartition(shards, "shard").groupBy("shard")
+
+
 def runs(shard: int, buckets: int, keys: np.ndarray, **info: np.ndarray) -> pa.Table:
     """Sorted distinct keys of a shard, cut at the borders of the buckets, with arrays of the same length."""
     place = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     cuts = np.searchsorted(place, np.arange(buckets + 1))
     filled = np.flatnonzero(np.diff(cuts))
     columns = {"bucket": pa.array(filled.astype(np.int32)), "shard": pa.array(np.full(len(filled), shard, np.int32))}
-    for name, values in {"keys": keys, **info}.items():
+    columns["keys"] = pa.array([packed_keys(keys[cuts[b]:cuts[b + 1]]) for b in filled.tolist()], pa.binary())
+    for name, values in info.items():
         columns[name] = pa.array([packed(values[cuts[b]:cuts[b + 1]]) for b in filled.tolist()], pa.binary())
     return pa.table(columns)
 
@@ -57,7 +74,9 @@ def answered(asked: DataFrame, kinds: dict[str, np.dtype], merge: Callable) -> D
     returns an array of one value per key, or several in a dict.
     """
     def run(table: pa.Table) -> pa.Table:
-        lists = {c: [unpacked(x, k) for x in table[c].to_pylist()] for c, k in {"keys": np.uint64, **kinds}.items()}
+        table = table.sort_by("shard")  # the answer must not depend on the order of arrival
+        lists = {c: [unpacked(x, k) for x in table[c].to_pylist()] for c, k in kinds.items()}
+        lists["keys"] = [unpacked_keys(x) for x in table["keys"].to_pylist()]
         sizes = [len(x) for x in lists["keys"]]
         joined = {c: np.concatenate(x) for c, x in lists.items()}
         rows = np.repeat(np.arange(len(sizes)), sizes)

@@ -161,7 +161,7 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
             "tokens": pa.array([signed(x) for x in columns[5]], pa.list_(pa.int64())),
             "shingles": pa.array([signed(x) for x in columns[6]], pa.list_(pa.int64()))})
 
-    return texts.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(tell, _ROW)
+    return texts.groupBy("shard").cogroup(shards.by_shard(replies, count)).applyInArrow(tell, _ROW)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
