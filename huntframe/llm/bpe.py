@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huntframe.llm.text import text_slices
+from huntframe.llm.text import Remembered, text_slices
 
 VOCABULARY_BYTES = 64 << 20  # a larger tokenizer file is refused, for it is sent to every task
 KEPT_CHUNKS = 150_000  # of each of the two generations of chunks (and of pieces) that a task remembers
@@ -140,24 +140,6 @@ class BytePairs:
                 heapq.heappush(active, rank)
 
 
-class Remembered(dict):
-    """Encoded chunks in two generations: the older one is dropped when the newer one is full."""
-
-    older: dict = {}
-
-    def renew(self, most: int) -> None:
-        if len(self) > most:
-            self.older = dict(self)
-            self.clear()
-
-    def missing(self, wanted: set) -> list[str]:
-        """What is not known, in a fixed order; known entries of the older generation become new ones."""
-        wanted = wanted.difference(self)
-        again = wanted.intersection(self.older)
-        self.update({c: self.older[c] for c in again})
-        return sorted(wanted - again)
-
-
 class Encoder:
     """Encodes texts, remembering the chunks it has met.
 

@@ -28,6 +28,24 @@ def text_slices(batches, column: str = "text", most: int = SLICE_BYTES) -> Itera
             start, before = end, int(ends[end - 1])
 
 
+class Remembered(dict):
+    """Results by chunk of text, in two generations: the older one is dropped when the newer one is full."""
+
+    older: dict = {}
+
+    def renew(self, most: int) -> None:
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+
+    def missing(self, wanted: set) -> list[str]:
+        """What is not known, in a fixed order; known entries of the older generation become new ones."""
+        wanted = wanted.difference(self)
+        again = wanted.intersection(self.older)
+        self.update({c: self.older[c] for c in again})
+        return sorted(wanted - again)
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each begins (one more for the end). Null is empty."""
     if isinstance(array, pa.ChunkedArray):

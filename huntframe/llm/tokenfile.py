@@ -27,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huntframe.llm.text import text_slices
+from huntframe.llm.text import Remembered, text_slices
 
 PARTITION_BYTES = 16 << 20  # text that one task encodes
 FILE_BYTES = 8 << 20  # compressed size at which a file is closed
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 200_000  # of each of the two generations of chunks that a task remembers
 KEPT_LENGTH = 64
+MARKS = ".,;:!?"
+MOST_FILES_SENT = 1_000_000  # up to so many files their places are sent to all tasks (some 50 bytes each)
 
 # Fixed values of the file format.
 SKIPPABLE, SEEKABLE, LINE_END = 0x184D2A50, 0x184D2A5E, 0x184D2A53
@@ -103,7 +105,8 @@ class Reader:
 def word_encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts with the tokenizers library, each different chunk once.
 
-    For a tokenizer that drops white space, as the ids of a text are then those of its chunks in a row.
+    For a tokenizer that drops white space, as the ids of a text are then those of its chunks in a row. If it
+    also makes letters small and parts them from a mark that follows, "Word" and "word," need no look at their own.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -111,23 +114,51 @@ def word_encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
     library = Tokenizer.from_str(tokenizer)
     library.no_truncation()
     library.no_padding()
-    known: dict[str, bytes] = {"": b""}
+    suffix = getattr(library.model, "end_of_word_suffix", None)
+    last = np.zeros(library.get_vocab_size(), bool)
+    for token, number in library.get_vocab().items() if suffix else ():
+        last[number] = token.endswith(suffix)
+
+    def same(a: str, b: str) -> bool:
+        return library.encode(a, add_special_tokens=False).ids == library.encode(b, add_special_tokens=False).ids
+
+    parts_marks = all(same(f"{x}{m}", f"{x.lower()} {m}") for x in ("Word", "LL", "t", "No") for m in MARKS)
+    known = Remembered()
+
+    def looked_up(chunks: list[str]) -> dict[str, bytes]:
+        # Plain words are pieces, whose last tokens show where each ends: many of them go into one call.
+        words = [c for c in chunks if suffix and parts_marks and c.isascii() and c.isalpha()]
+        found = {}
+        lists = [words[i:i + 500] for i in range(0, len(words), 500)]
+        for part, encoding in zip(lists, library.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False)):
+            ids = np.array(encoding.ids, "<u4")
+            packed, cuts = ids.tobytes(), [0, *((np.flatnonzero(last[ids]) + 1) * 4).tolist()]
+            if len(cuts) == len(part) + 1:
+                found.update({c: packed[i:j] for c, i, j in zip(part, cuts, cuts[1:])})
+        rest = [c for c in chunks if c not in found]
+        for chunk, encoding in zip(rest, library.encode_batch_fast(rest, add_special_tokens=False)):
+            found[chunk] = np.array(encoding.ids, "<u4").tobytes()
+        return found
+
+    def learn(chunks: list[str]) -> dict[str, bytes]:
+        bodies = {c: c[:-1] for c in chunks if parts_marks and c[-1] in MARKS and c.isascii() and c[:-1].isalpha()}
+        plain = dict.fromkeys([c for c in chunks if c not in bodies] + [b for b in bodies.values() if b not in known])
+        ids, marks = looked_up(list(plain)), looked_up(list(MARKS))
+        return ids | {c: (ids[b] if b in ids else known[b]) + marks[c[-1]] for c, b in bodies.items()}
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > KEPT_CHUNKS:
-            known.clear()
-            known[""] = b""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        known.renew(KEPT_CHUNKS)
+        cut = [(t.lower() if parts_marks and t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         different = set()
         for chunks in cut:
             different.update(chunks)
-        new = sorted(different.difference(known))
-        for chunk, found in zip(new, library.encode_batch_fast(new, add_special_tokens=False)):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
+        different.discard("")
+        learnt = learn(known.missing(different))
+        known.update(learnt)
+        known[""] = b""
         out = [b"".join([known[c] for c in chunks]) for chunks in cut]
-        for chunk in new:
-            if len(chunk) > KEPT_LENGTH:
-                del known[chunk]
+        for chunk in [c for c in learnt if len(c) > KEPT_LENGTH]:
+            del known[chunk]
         return out
 
     return encode
@@ -209,6 +240,8 @@ def read(spark: SparkSession, path: str, wanted: set[int] | None = None) -> Data
     begins = of_files.join(of_partitions, "partition").select(
         "partition", "number", (F.col("before") + F.col("earlier")).alias("begin"))
     rows = files.mapInArrow(documents, "partition long, number long, doc_id long, inside long, n_tokens long, ids binary")
+    if len(files.inputFiles()) <= MOST_FILES_SENT:
+        begins = F.broadcast(begins)
     return rows.join(begins, ["partition", "number"]).select(
         "doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
