@@ -154,7 +154,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         order, first, number = _grouped(keys)
         return np.add.reduceat(arrays["n"][order].astype(np.uint64), first)[number]
 
-    words_asked = grouped.applyInArrow(ask_words, "bucket int, shard int, keys binary, n binary")
+    words_asked = grouped.applyInArrow(shards.releasing(ask_words), "bucket int, shard int, keys binary, n binary")
     words = shards.answered(words_asked, {"n": np.uint32}, count_words)
 
     def known_words(table: pa.Table) -> pa.Table:
@@ -163,7 +163,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         different = np.unique(keys)
         return pa.table({"v": pa.array([len(different) - int((different == START).sum())], pa.int64())})
 
-    vocabulary = words_asked.groupBy("bucket").applyInArrow(known_words, "v long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    vocabulary = words_asked.groupBy("bucket").applyInArrow(shards.releasing(known_words), "v long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
 
     # 2. pairs: counts, and draws of their tables
     def ask_pairs(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -194,7 +194,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         return np.column_stack([answer, speaks.astype(np.uint32)])
 
     pairs_asked = grouped.cogroup(shards.by_shard(words, count)).applyInArrow(
-        ask_pairs, "bucket int, shard int, keys binary, n binary, context binary, word binary")
+        shards.releasing(ask_pairs), "bucket int, shard int, keys binary, n binary, context binary, word binary")
     pairs = shards.answered(pairs_asked, {"n": np.uint32, "context": np.uint8, "word": np.uint8}, seat_pairs)
 
     # 3. restaurants: tables per context, customers and tables per word in the root
@@ -226,7 +226,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
 
     kinds = {"n": np.uint32, "contexts": np.uint32, "words": np.uint32}
     tables_asked = grouped.cogroup(shards.by_shard(pairs, count)).applyInArrow(
-        ask_tables, "bucket int, shard int, keys binary, n binary, contexts binary, words binary")
+        shards.releasing(ask_tables), "bucket int, shard int, keys binary, n binary, contexts binary, words binary")
     tables = shards.answered(tables_asked, kinds, seat_words)
 
     def root_totals(table: pa.Table) -> pa.Table:
@@ -239,7 +239,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         total = found.astype(np.int64).sum(axis=0)
         return pa.table({f"s{i}": pa.array([int(total[draws + i])], pa.int64()) for i in range(2 * draws)})
 
-    sums = tables_asked.groupBy("bucket").applyInArrow(root_totals, ", ".join(f"s{i} long" for i in range(2 * draws)))
+    sums = tables_asked.groupBy("bucket").applyInArrow(shards.releasing(root_totals), ", ".join(f"s{i} long" for i in range(2 * draws)))
     sums = sums.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0)).alias(f"s{i}") for i in range(2 * draws)])
 
     # 4. scores
@@ -282,7 +282,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
             tokens.size, np.add.reduceat((n[tokens.word] > 0).astype(np.int64), border), np.full(len(border), train)],
             [np.add.reduceat(base, border), np.add.reduceat(logs, border)])
 
-    return grouped.cogroup(shards.by_shard(replies, count)).applyInArrow(finish, schema)
+    return grouped.cogroup(shards.by_shard(replies, count)).applyInArrow(shards.releasing(finish), schema)
 
 
 def schema_table(table: pa.Table, carried: list[str], whole: list, real: list) -> pa.Table:

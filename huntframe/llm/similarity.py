@@ -139,7 +139,7 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
         out[order] = np.repeat((low != high) | many, np.diff(np.append(first, len(keys))))
         return out
 
-    asked = texts.groupBy("shard").applyInArrow(ask, "bucket int, shard int, keys binary, signature binary, several binary")
+    asked = texts.groupBy("shard").applyInArrow(shards.releasing(ask), "bucket int, shard int, keys binary, signature binary, several binary")
     replies = shards.answered(asked, {"signature": np.uint64, "several": np.uint8}, shared)
 
     def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -161,7 +161,7 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
             "tokens": pa.array([signed(x) for x in columns[5]], pa.list_(pa.int64())),
             "shingles": pa.array([signed(x) for x in columns[6]], pa.list_(pa.int64()))})
 
-    return texts.groupBy("shard").cogroup(shards.by_shard(replies, count)).applyInArrow(tell, _ROW)
+    return texts.groupBy("shard").cogroup(shards.by_shard(replies, count)).applyInArrow(shards.releasing(tell), _ROW)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
