@@ -13,11 +13,9 @@ large group of copies does not give rise to all its pairs, and no link between c
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntframe.llm import shards
@@ -28,7 +26,7 @@ from huntframe.llm.text import SPACED, Powers, Words, byte_codes, chained, mixed
 SKETCH_BITS = 17  # the table of shingle frequencies has 2**17 counts
 MOST_MATCHES = 4
 VERIFY = 1 / 16  # cost of comparing a shingle of two sets, in look-ups
-LEADERS = 3
+FIRST_LOOKS = 3
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, powers: Powers, codes: np.ndarray) -> list[np.ndarray]:
@@ -98,7 +96,36 @@ def _signature(shingles: np.ndarray) -> tuple[int, int]:
     return (int(mixed(shingles).sum(dtype=np.uint64)), int(mixed(shingles ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64)))
 
 
-_ROW = "id long, n long, sig_a long, sig_b long, matches int, tokens array<long>, shingles array<long>"
+def reach(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The size up to which another set can be similar if the first shared shingle stands at ``place``: what comes
+    before it is not shared, so at most ``n - place`` shingles are."""
+    return (n - place) * (100 + percent) // percent - n
+
+
+def _alike(tokens: np.ndarray, n: np.ndarray, upto: np.ndarray, signature: np.ndarray,
+           several: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by token and size: (order, first place of each token, whether an entry's chain has different sets).
+
+    A chain is a run of entries of a token in which each size is within the reach of an entry before; sets of
+    different chains cannot be similar with this as their first shared shingle."""
+    order = np.lexsort((n, tokens))
+    if not len(order):
+        return order, order, np.zeros(0, bool)
+    token, size = tokens[order], n[order]
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    offset = (np.cumsum(new) - 1) << 32
+    furthest = np.maximum.accumulate(np.maximum(upto[order], 0) + offset) - offset
+    chain = new.copy()
+    chain[1:] |= size[1:] > furthest[:-1]
+    begins = np.flatnonzero(chain)
+    found = signature[order]
+    many = np.minimum.reduceat(found, begins) != np.maximum.reduceat(found, begins)
+    if several is not None:
+        many |= np.maximum.reduceat(several[order], begins)
+    return order, np.flatnonzero(new), np.repeat(many, np.diff(np.append(begins, len(order))))
+
+
+_ROW = "id long, n long, sig_a long, sig_b long, matches int, tokens array<long>, places array<long>, prefix array<long>, shingles array<long>"
 
 
 def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> DataFrame:
@@ -115,64 +142,89 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
             for name, shingles in zip(batch.column("id").to_pylist(), sets):
                 yield name, shingles, *known.of(shingles)
 
-    def wanted(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct prefix shingles, the signature of a set that holds each, and whether several do."""
+    def wanted(found) -> dict[str, np.ndarray]:
+        """The distinct prefix shingles with the least size and the largest reach of their sets, the signature of
+        one, and whether sets that may be similar differ."""
+        lengths = [len(p) for _, _, p, _ in found]
         tokens = np.concatenate([np.zeros(0, np.uint64), *[p for _, _, p, _ in found]])
-        signature = np.repeat(np.array([_signature(s)[0] for _, s, _, _ in found], np.uint64), [len(p) for _, _, p, _ in found])
-        order = np.lexsort((signature, tokens))
-        tokens, signature = tokens[order], signature[order]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(tokens)) - 1
-        return tokens[first], signature[first], signature[first] != signature[last]
+        n = np.repeat(np.array([len(s) for _, s, _, _ in found], np.int64), lengths)
+        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(k) for k in lengths]])
+        signature = np.repeat(np.array([_signature(s)[0] for _, s, _, _ in found], np.uint64), lengths)
+        order, first, several = _alike(tokens, n, reach(n, place, percent), signature)
+        return {"keys": tokens[order][first], "n": np.minimum.reduceat(n[order], first) if len(first) else n,
+                "reach": np.maximum.reduceat(reach(n, place, percent)[order], first) if len(first) else n,
+                "signature": signature[order][first],
+                "several": np.maximum.reduceat(several, first).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)}
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, signature, several = wanted(list(documents(table, Powers())))
-        return shards.runs(table["shard"][0].as_py(), count, keys, signature=signature, several=several.astype(np.uint8))
+        return shards.runs(table["shard"][0].as_py(), count, **wanted(list(documents(table, Powers()))))
 
     def shared(keys, _, arrays):
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        low = np.minimum.reduceat(arrays["signature"][order], first)
-        high = np.maximum.reduceat(arrays["signature"][order], first)
-        many = np.maximum.reduceat(arrays["several"][order], first) > 0
+        order, _, many = _alike(keys, arrays["n"], arrays["reach"], arrays["signature"], arrays["several"] > 0)
         out = np.empty(len(keys), np.uint8)
-        out[order] = np.repeat((low != high) | many, np.diff(np.append(first, len(keys))))
+        out[order] = many
         return out
 
-    asked = texts.groupBy("shard").applyInArrow(shards.releasing(ask), "bucket int, shard int, keys binary, signature binary, several binary")
-    replies = shards.answered(asked, {"signature": np.uint64, "several": np.uint8}, shared)
+    asked = texts.groupBy("shard").applyInArrow(
+        shards.releasing(ask), "bucket int, shard int, keys binary, n binary, reach binary, signature binary, several binary")
+    replies = shards.answered(asked, {"n": np.int64, "reach": np.int64, "signature": np.uint64, "several": np.uint8}, shared)
 
     def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
         found = list(documents(table, Powers())) if table.num_rows else []
-        keys, _, _ = wanted(found)
+        keys = wanted(found)["keys"]
         keys = keys[shards.answers_of(answers, np.uint8) > 0]
         rows = []
         for name, shingles, prefix, matches in found:
             a, b = _signature(shingles)
-            tokens = prefix[np.isin(prefix, keys)] if len(keys) else prefix[:0]
-            rows.append((name, len(shingles), a, b, matches, tokens if len(tokens) else None, shingles if len(tokens) else None))
+            near = np.minimum(np.searchsorted(keys, prefix), len(keys) - 1)
+            places = np.flatnonzero(keys[near] == prefix) if len(keys) else np.zeros(0, np.int64)
+            some = len(places) > 0
+            rows.append((name, len(shingles), a, b, matches, *((prefix[places], places, prefix, shingles) if some else [None] * 4)))
+
         def signed(x):
             return None if x is None else np.array(x, np.uint64).view(np.int64)
-        columns = list(zip(*rows)) if rows else [[]] * 7
+        columns = list(zip(*rows)) if rows else [[]] * 9
         return pa.table({
             "id": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()),
             "sig_a": pa.array(signed(list(columns[2])), pa.int64()), "sig_b": pa.array(signed(list(columns[3])), pa.int64()),
             "matches": pa.array(columns[4], pa.int32()),
             "tokens": pa.array([signed(x) for x in columns[5]], pa.list_(pa.int64())),
-            "shingles": pa.array([signed(x) for x in columns[6]], pa.list_(pa.int64()))})
+            "places": pa.array(list(columns[6]), pa.list_(pa.int64())),
+            "prefix": pa.array([signed(x) for x in columns[7]], pa.list_(pa.int64())),
+            "shingles": pa.array([signed(x) for x in columns[8]], pa.list_(pa.int64()))})
 
     return texts.groupBy("shard").cogroup(shards.by_shard(replies, count)).applyInArrow(shards.releasing(tell), _ROW)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
+    def of(name: str) -> DataFrame:
+        return sets.select(F.col("id").alias(name), F.col("shingles").alias(f"shingles_{name}"))
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    union = F.size("shingles_a") + F.size("shingles_b") - common
     return both.filter(common * 100 >= union * percent).select("a", "b")
 
 
+def _may_link(percent: int) -> Column:
+    """Whether two sets that share ``token`` in their prefixes can be similar, asked at the first such shingle.
+
+    They share as many as both ask for; and what they share is that and, at most, what follows in both sets on the
+    shorter prefix (in the common order, in which a prefix is the beginning of a set).
+    """
+    shared = F.array_intersect("prefix_a", "prefix_b")
+    found = F.size(shared)
+    # What follows the last shared shingle in either set.
+    last = F.get(shared, found - 1)
+    rest = [F.col(f"n_{s}") - F.array_position(f"prefix_{s}", last) for s in "ab"]
+    # Behind the end of a prefix all may be shared, between the last shared one and that end nothing of it is.
+    inside = [F.size(f"prefix_{s}") - F.array_position(f"prefix_{s}", last) for s in "ab"]
+    most = found + F.least(rest[0], rest[1], F.greatest(rest[0] - inside[0], rest[1] - inside[1]))
+    return ((F.get(shared, F.lit(0)) == F.col("token")) & (found >= F.least("matches_a", "matches_b"))
+            & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
+
+
 def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id", text: str = "text",
          shard_bytes: int = shards.SHARD_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs``.
@@ -195,33 +247,41 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
     repeated = member.join(one, "id").select("a", F.col("vertex").alias("b")).filter("a != b")
 
     sets = rows.filter(F.col("tokens").isNotNull()).join(
-        vertices, ["sig_a", "sig_b"]).filter("id = vertex").dropDuplicates(["id", "sig_a", "sig_b"]).select(
-        "id", "n", "matches", "tokens", "shingles")
-    tokens = sets.select("id", "n", "matches", F.explode("tokens").alias("token"))
+        vertices, ["sig_a", "sig_b"]).filter("id = vertex").dropDuplicates(["id", "sig_a", "sig_b"])
+    columns = ["id", "n", "matches", "prefix"]
+    tokens = sets.select(*columns, F.explode("tokens").alias("token"))
+
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select("token", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    # First look: each document against a few leaders of those that share a shingle and are of like size.
+    # First looks: each document against a leader of those that share a shingle and are of like size. Leaders are
+    # picked by a hash of their id, so the shingles of one group of copies mostly agree on theirs.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    near = tokens.withColumn("band", band)
-    leaders = near.groupBy("token", "band").agg(
-        F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(LEADERS)])).alias("leaders"),
-        F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    star = near.join(leaders, ["token", "band"]).select("id", F.explode("leaders").alias("leader")).filter("id != leader")
-    star = star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    first = _stored(_verified(star, sets, percent), "links")
-    known = connected(first.union(repeated))
+    links = repeated
+    known = None
+    for look in range(FIRST_LOOKS):
+        near = tokens.withColumn("band", band)
+        near = near.withColumn("component", F.col("id")) if known is None else near.join(known, "id", "left").withColumn(
+            "component", F.coalesce("component", "id"))
+        leaders = near.groupBy("token", "band").agg(
+            F.min_by(F.struct(*columns, "component"), F.xxhash64("id", F.lit(look))).alias("l"),
+            F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+        star = side(near, "a", "band", "component").join(leaders.select(
+            "token", "band", F.col("l.component").alias("other"), *[F.col(f"l.{c}").alias(f"{c}_b") for c in columns]),
+            ["token", "band"]).filter((F.col("component") != F.col("other")) & _may_link(percent))
+        star = star.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+        links = links.union(_stored(_verified(star, sets, percent), "links"))
+        known = connected(links)
 
     # Second look: pairs of documents that are not connected yet.
     placed = tokens.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
         "low != high").select("token")
     left = placed.join(open_tokens, "token", "left_semi")
-    sides = [left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "matches", "component")]) for s in "ab"]
-    alike = reduce(lambda x, y: x & y, [
-        F.col("component_a") != F.col("component_b"), F.col("id_a") < F.col("id_b"),
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent])
-    pairs = sides[0].join(sides[1], "token").filter(alike).groupBy("id_a", "id_b").agg(
-        F.count(F.lit(1)).alias("found"), F.first(F.least("matches_a", "matches_b")).alias("wanted")).filter(
-        "found >= wanted").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    condition = (F.col("component") != F.col("other")) & (F.col("id_a") < F.col("id_b")) & (
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    pairs = side(left, "a", "component").join(side(left.withColumnRenamed("component", "other"), "b", "other"), "token").filter(
+        condition & _may_link(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     second = _stored(_verified(pairs, sets, percent), "links")
     components = connected(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))
 
