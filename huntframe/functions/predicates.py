@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from huntframe.functions.durations import time_literal
+from huntframe.functions.let import let
 
 Field = str | Column
 Value = str | int | float | bool | datetime | Column
@@ -42,9 +43,31 @@ def _present(field: Field, test: Column) -> Column:
 
 # --- equality and membership ---------------------------------------------------------------
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_FLOATING = ("float", "double")
+_TIMES = ("date", "timestamp", "timestamp_ntz")
+
+
+def _is(field: Field, kinds: tuple[str, ...], decimals: bool = False) -> Column:
+    """Whether a column is of one of these types; known to the planner, so only one branch remains."""
+    kind = F.typeof(col_of(field))
+    return kind.isin(*kinds) | kind.startswith("decimal") if decimals else kind.isin(*kinds)
+
+
+def _same(a: Field, b: Field) -> Column:
+    """Two columns are equal: as numbers or times if both are such, else as text with null as empty."""
+    numbers = _is(a, _WHOLE + _FLOATING, True) & _is(b, _WHOLE + _FLOATING, True)
+    whole = _is(a, _WHOLE) & _is(b, _WHOLE)
+    times = _is(a, _TIMES) & _is(b, _TIMES)
+    left, right = col_of(a).cast("string"), col_of(b).cast("string")
+    return (F.when(numbers & ~whole, left.try_cast("double").eqNullSafe(right.try_cast("double")))
+            .when(times, left.try_cast("timestamp_ntz").eqNullSafe(right.try_cast("timestamp_ntz")))
+            .otherwise(text(a) == text(b)))
+
+
 def eq(field: Field, value: Value) -> Column:
     if isinstance(value, Column):
-        return text(field) == text(value)
+        return _same(field, value)
     if value == "" and isinstance(value, str):
         return text(field) == ""
     return col_of(field).eqNullSafe(_literal(value))
@@ -65,9 +88,12 @@ def ne_ci(field: Field, value: Value) -> Column:
 
 
 def in_(field: Field, values: Iterable[Value]) -> Column:
-    values = list(values)
-    found = _present(field, col_of(field).isin(*[v for v in values if v != ""]))
-    return found | (text(field) == "") if "" in values else found
+    columns = [v for v in values if isinstance(v, Column)]
+    values = [v for v in values if not isinstance(v, Column)]
+    found = [_present(field, col_of(field).isin(*[v for v in values if v != ""]))]
+    if "" in values:
+        found.append(text(field) == "")
+    return any_of(*found, *[_same(field, c) for c in columns])
 
 
 def not_in(field: Field, values: Iterable[Value]) -> Column:
@@ -75,7 +101,7 @@ def not_in(field: Field, values: Iterable[Value]) -> Column:
 
 
 def in_ci(field: Field, values: Iterable[Value]) -> Column:
-    return F.lower(text(field)).isin(*[str(v).lower() for v in values])
+    return F.lower(text(field)).isin(*[F.lower(text(v)) if isinstance(v, Column) else str(v).lower() for v in values])
 
 
 def not_in_ci(field: Field, values: Iterable[Value]) -> Column:
@@ -117,8 +143,8 @@ not_endswith, not_endswith_cs = _negated(endswith), _negated(endswith_cs)
 
 # --- whole terms -----------------------------------------------------------------------------
 #
-# A boundary is only asked for on a side whose own edge character is part of a word: ``.ps1`` is
-# found in ``payload.ps1``.
+# A boundary is only asked for on a side whose own edge character is part of a word: ``.tmp`` is
+# found in ``cache.tmp``.
 
 _NO_WORD_BEFORE = "(?<![A-Za-z0-9_]{})"
 _NO_WORD_AFTER = "(?![A-Za-z0-9_])"
@@ -173,7 +199,9 @@ def not_has_cs(field: Field, value: Value) -> Column:
 
 
 def has_any(field: Field, values: Iterable[str]) -> Column:
-    return any_of(*[has(field, v) for v in values])
+    terms = [str(v).lower() for v in values]
+    return _present(field, let(F.lower(col_of(field).cast("string")), lambda subject: any_of(
+        *[_has_literal(subject, t) for t in terms if t])))
 
 
 def has_all(field: Field, values: Iterable[str]) -> Column:
@@ -204,9 +232,13 @@ def _ordered(compare: Callable[[Column, Column], Column]) -> Callable[[Field, Va
             return moment.isNotNull() & limit.isNotNull() & compare(moment, limit)
         if bound != bound:
             return F.lit(False)
-        number = col_of(field).try_cast("double")
+        own, number = col_of(field), col_of(field).try_cast("double")
+        exact = F.lit(int(bound)) if bound.is_integer() and abs(bound) < 1 << 53 else F.lit(bound)
         # NaN sorts above every number in Spark; a comparison with it must be false.
-        return number.isNotNull() & ~F.isnan(number) & compare(number, F.lit(bound))
+        typed = F.when(_is(field, _WHOLE, True), compare(own, exact)).when(
+            _is(field, _FLOATING), ~F.isnan(own) & compare(own, F.lit(bound))).otherwise(
+            number.isNotNull() & ~F.isnan(number) & compare(number, F.lit(bound)))
+        return own.isNotNull() & typed
 
     return build
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -55,11 +54,6 @@ def coalesce(*values: Field) -> Column:
     return F.coalesce(*[F.when(v.cast("string") != "", v) for v in map(col_of, values)])
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
 # --- arithmetic ------------------------------------------------------------------------------
 
 def divide(a: Field, b: Field) -> Column:

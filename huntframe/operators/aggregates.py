@@ -143,6 +143,8 @@ def listed_items(df: DataFrame, by: list[str], field: str, order: list[str], tim
     Same content and order as the array, for groups of any size: positions are counted per time
     slice, and ``order`` must start with the time column.
     """
+    if not order or order[0] != time:
+        raise ValueError("order must start with the time column")
     rows = df.filter(F.col(field).isNotNull()).select(*dict.fromkeys([*by, field, *order]))
     placed = rank_within(rows, by, [F.col(c) for c in order], time_bin(F.col(time), slice_width), "position")
     return placed.select(*by, "position", field)
@@ -164,12 +166,10 @@ def _collected(df: DataFrame, keys: list[str], alias: str, agg: Agg) -> DataFram
 def _first_rows(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     if not keys:
         return rows.orderBy("_at", "_item").limit(limit)
-    if limit > 1000:
-        # Beyond the limit up to which Spark trims before the shuffle, trim by salt first.
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_item", "_at"), F.lit(64)))
-        part = Window.partitionBy(*keys, "_salt").orderBy("_at", "_item")
-        rows = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= limit)
-        rows = rows.drop("_rn", "_salt")
+    # Each group is trimmed part by part first, so that no task sorts a whole group.
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_item", "_at"), F.lit(64)))
+    part = Window.partitionBy(*keys, "_salt").orderBy("_at", "_item")
+    rows = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= limit).drop("_rn", "_salt")
     group = Window.partitionBy(*keys).orderBy("_at", "_item")
     return rows.withColumn("_rn", F.row_number().over(group)).filter(F.col("_rn") <= limit).drop("_rn")
 

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntframe.functions.durations import duration_micros, floor_div, from_micros, micros_of
-from huntframe.operators.skew import null_safe_join, salted_join
+from huntframe.operators.skew import holds_map, null_safe_join, salted_join
 
 KINDS = ("inner", "innerunique", "leftouter", "rightouter", "fullouter",
          "leftanti", "leftsemi", "rightanti", "rightsemi")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the first along ``order``; combined on the map side, no sort of a group."""
-    row = F.min_by(F.struct(*df.columns), F.struct(*order))
+    """One row per key, the first along ``order``; combined on the map side, no sort of a group.
+
+    Columns that cannot be compared (maps) are left out of the order.
+    """
+    order = [c for c in order if not holds_map(df.schema[c].dataType)]
+    row = F.min_by(F.struct(*df.columns), F.struct(*order)) if order else F.any_value(F.struct(*df.columns))
     return df.groupBy(*keys).agg(row.alias("_row")).select("_row.*")
 
 
@@ -43,7 +47,9 @@ def join(left: DataFrame, right: DataFrame, on: list[str] | str, kind: str = "in
     right = right.withColumnsRenamed({c: f"{c}_right" for c in taken})
     if kind == "innerunique":
         left = first_per_key(left, keys, first or left.columns)
-        return _joined(left, right, keys, "inner", null_safe, salts)
+        order = [*left.columns, *[c for c in right.columns if c not in keys]]
+        # Only the right side can hold a key often.
+        return _joined(right, left, keys, "inner", null_safe, salts).select(*order)
     if kind == "rightouter":
         order = [c for c in left.columns] + [c for c in right.columns if c not in keys]
         return _joined(right, left, keys, "left", null_safe, salts).select(*order)
@@ -85,7 +91,7 @@ def within_span(events: DataFrame, spans: DataFrame, on: list[str], time: str, f
         (F.col(time) >= F.col(first)) & (F.col(time) <= F.col(last)))
 
 
-_SLICES = 64  # slices per window; a whole number of seconds is always divisible
+_SLICES = 64  # slices per window, at least that many microseconds
 
 
 def followed_by(events: DataFrame, keys: list[str], time: str, first: Column, then: Column,
@@ -94,11 +100,14 @@ def followed_by(events: DataFrame, keys: list[str], time: str, first: Column, th
 
     Adds how many such earlier events there are (``earlier``) and the time of the latest one
     (``latest_first``). Pairs are never built, and a busy entity is cut into time slices of a 64th
-    of the window. A running sum per slice gives the count: it starts with what the 64 slices before
-    hold, each ``first`` event adds one, and takes it back in the slice in which it leaves the window.
+    of the window. A running sum per slice gives the count: it starts with what has entered and not
+    yet left the window in the slices before, each ``first`` event adds one, and takes it back in the
+    slice in which it leaves. The windows of an entity's slices, a row per slice, meet in one task.
     """
     width = duration_micros(within)
-    step = width // _SLICES
+    if width < 1:
+        raise ValueError("the window must be at least a microsecond long")
+    step = -(-width // _SLICES)
     kind = events.schema[time].dataType.simpleString()
     marked = (events.withColumns({"_at": micros_of(F.col(time)), "_first": first, "_then": then})
               .filter(F.col("_at").isNotNull() & (F.col("_first") | F.col("_then")))
@@ -113,14 +122,13 @@ def followed_by(events: DataFrame, keys: list[str], time: str, first: Column, th
     entries = F.array_compact(F.array(
         F.when(F.col("_then"), entry(own, at, 0, unseen, True)),
         F.when(F.col("_first"), entry(own, at, 1, at, False)),
-        F.when(F.col("_first"), entry(own + _SLICES, at + width, -1, unseen, False))))
+        F.when(F.col("_first"), entry(floor_div(at + width, step), at + width, -1, unseen, False))))
     rest = [c for c in events.columns if c not in keys]
     placed = marked.withColumn("_entry", F.explode(entries)).select(
         *keys, "_entry.*", *[F.when(F.col("_entry._kept"), F.col(c)).alias(c) for c in rest])
 
-    before = Window.partitionBy(*keys).orderBy("_slice").rangeBetween(-_SLICES, -1)
-    per_slice = marked.groupBy(*keys, "_slice").agg(
-        F.count_if("_first").alias("_n"), F.max(F.when(F.col("_first"), at)).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = placed.groupBy(*keys, "_slice").agg(F.sum("_weight").alias("_n"), F.max("_seen").alias("_last"))
     heads = per_slice.select(
         *keys, "_slice", (F.col("_slice") * step - 1).alias("_at"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_weight"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from huntframe.functions.durations import (
     duration_micros, epoch_micros, floor_div, from_micros, micros_of,
 )
-from huntframe.functions.scalars import let
+from huntframe.functions.let import let
 from huntframe.operators.aggregates import Agg, summarize
 from huntframe.operators.stages import mv_expand
 

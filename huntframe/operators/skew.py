@@ -40,40 +40,48 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
     if share < 1 / 4096:
         raise ValueError("a smaller share would make the list of hot keys too long to send around")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = counts.agg(F.sum("_n").alias("_total"))
     return counts.filter(F.col("_n") >= F.lit(share) * total.scalar()).select(*keys)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, salts: int = 32,
                 share: float = HOT_SHARE, null_safe: bool = False) -> DataFrame:
-    """Join whose left side may hold a third of its rows under one key.
+    """Join whose left side (of an inner join, either side) may hold a third of its rows under one key.
 
-    Rows of a hot key are spread over ``salts`` groups and only the right rows of hot keys are
-    repeated. The hot-key table has at most ``1/share`` rows, so sending it to every task is safe.
+    Rows of a hot key are spread over ``salts`` groups and only their partners on the other side are
+    repeated. The hot-key table has at most ``2/share`` rows, so sending it to every task is safe.
     The group of a row is a hash of its columns, so project to the needed columns first. Valid for
     inner, left, left_semi and left_anti.
     """
     def on(a: DataFrame, b: DataFrame, names: list[str], kind: str) -> DataFrame:
         return null_safe_join(a, b, names, kind) if null_safe else a.join(b, names, kind)
 
-    hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
-    hashable = [f.name for f in left.schema.fields if not _holds_map(f.dataType)]
-    salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    many = F.col("_hot")
-    if not null_safe:
-        # Rows with a missing key meet no partner, so they may go anywhere.
-        many = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], many)
-    spread = on(left, hot, keys, "left").withColumn("_salt", F.when(many, salt).otherwise(F.lit(0))).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = on(right, hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return on(spread, repeated, [*keys, "_salt"], how).drop("_salt")
+    hot = hot_keys(left, keys, share).withColumn("_hot", F.lit("left"))
+    if how == "inner":
+        # A key may be frequent on the right alone: then the right rows are spread and the left ones repeated.
+        hot = hot.union(hot_keys(right, keys, share).withColumn("_hot", F.lit("right"))).groupBy(*keys).agg(
+            F.min("_hot").alias("_hot"))
+    hot = F.broadcast(hot)  # at most 2 / share rows
 
+    def salted(df: DataFrame, own: str) -> DataFrame:
+        hashable = [f.name for f in df.schema.fields if not holds_map(f.dataType)]
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
+        spread = F.col("_hot") == own
+        if own == "left" and not null_safe:
+            # Rows with a missing key meet no partner, so they may go anywhere.
+            spread = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], spread)
+        everywhere = F.sequence(F.lit(0), F.lit(salts - 1))
+        places = F.when(spread, F.array(salt)).when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(everywhere)
+        return on(df, hot, keys, "left").withColumn("_salt", F.explode(places)).drop("_hot")
 
-def _holds_map(kind: T.DataType) -> bool:
+    return on(salted(left, "left"), salted(right, "right"), [*keys, "_salt"], how).drop("_salt")
+
+
+def holds_map(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
-        return any(_holds_map(f.dataType) for f in kind.fields)
+        return any(holds_map(f.dataType) for f in kind.fields)
     if isinstance(kind, T.ArrayType):
-        return _holds_map(kind.elementType)
+        return holds_map(kind.elementType)
     return isinstance(kind, (T.MapType, T.VariantType))
 
 
@@ -124,12 +132,15 @@ def exact_percentiles(df: DataFrame, keys: list[str], field: Column, points: dic
     values = df.select(*keys, number.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     # As one folded text literal: a thousand separate literals would slow the planner down.
     shares = F.split(F.lit(",".join(str(i / _STEP**2) for i in range(1, _STEP**2))), ",").cast("array<double>")
-    sketch = values.agg(F.percentile_approx("_v", shares, 10_000).alias("all"))
+    counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # Cut points need only be roughly even, so a sketch of a few short sketches will do; none sees everything.
+    parts = counted.groupBy(F.pmod(F.xxhash64("_v", *keys), F.lit(64)).alias("_part")).agg(
+        F.percentile_approx("_v", shares, 2_000).alias("some"))
+    sketch = parts.select(F.explode("some").alias("_v")).agg(F.percentile_approx("_v", shares, 10_000).alias("all"))
     cuts = sketch.select(F.struct(
         F.filter("all", lambda _, i: F.pmod(i + 1, F.lit(_STEP)) == 0).alias("steps"),
         F.transform(F.sequence(F.lit(0), F.lit(_STEP - 1)), lambda k: F.slice(
             "all", k * _STEP + 1, F.lit(_STEP - 1))).alias("between")))
-    counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     counted = counted.withColumn("_cuts", cuts.scalar())
     counted = counted.withColumn("_b", _bucket_of(F.col("_cuts"), F.col("_v"))).drop("_cuts")
 

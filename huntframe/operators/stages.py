@@ -66,11 +66,12 @@ def mv_expand(df: DataFrame, *fields: str, to: str | None = None) -> DataFrame:
     """One row per array element.
 
     A single field keeps rows with an empty or missing array (value null) and may be cast with
-    ``to``. Several fields move in lockstep up to the shortest array; an empty one drops the row.
+    ``to``; one that is no array counts as an array of one. Several fields move in lockstep up to the shortest array; an empty one drops the row.
     """
     if len(fields) == 1:
         name = fields[0]
-        item = F.explode_outer(name)
+        single = not isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType))
+        item = F.explode_outer(F.array(name) if single else F.col(name))
         wide = df.select(*[item.alias(name) if c == name else F.col(c) for c in df.columns])
         return wide.withColumn(name, F.col(name).cast(to)) if to else wide
 

@@ -9,7 +9,6 @@ from huntframe.plans import evaluation as E
 from huntframe.plans import retrieval as R
 from huntframe.plans.conformance import conform, conformance_report, field_reference
 from huntframe.queries.registry import RULES_SQL, Tables, joined, query, rounded, rules
-from huntframe.session import scratch_path
 from huntframe.sources.schemas import event_schema
 
 # --- corpus ------------------------------------------------------------------------------------
@@ -106,9 +105,9 @@ def _(t: Tables):
     return C.verified_pairs(t.documents, verdicts, variants, "doc_id", "text")
 
 
-@query("B18_chunks", """SELECT doc_id, source || chr(10) || chr(10) || substr(body, 1, 4000) AS text FROM (
-    SELECT doc_id, source, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents)
-    WHERE length(trim(substr(body, 1, 4000), ' ' || chr(9) || chr(10) || chr(13))) >= 50""")
+@query("B18_chunks", """SELECT doc_id, piece, source || chr(10) || chr(10) || substr(body, (piece - 1) * 4000 + 1, 4000) AS text FROM (
+    SELECT doc_id, source, body, unnest(range(1, (length(body) + 3999) // 4000 + 1)) AS piece FROM (
+    SELECT doc_id, source, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents) WHERE length(body) >= 50)""")
 def _(t: Tables):
     page = F.concat(
         F.lit("---\nauthor: x\nms.topic: y\n---\n> [!INCLUDE applies to a]\n"),
@@ -350,7 +349,7 @@ def _terms_sql(table: str, key: str) -> str:
 
 _RETRIEVAL = f"""WITH dt AS ({_terms_sql('documents', 'doc_id')}), qt AS ({_terms_sql('benchmark', 'item_id')}),
     vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM dt GROUP BY term
-        ORDER BY sum(tf) DESC, term LIMIT 20000),
+        ),
     dw AS (SELECT k, term, tf * idf AS w FROM dt JOIN vocab USING (term)),
     qw AS (SELECT k, term, tf * idf AS w FROM qt JOIN vocab USING (term)),
     dn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM dw GROUP BY k), qn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM qw GROUP BY k),
@@ -361,11 +360,11 @@ _RETRIEVAL = f"""WITH dt AS ({_terms_sql('documents', 'doc_id')}), qt AS ({_term
 @query("B17_tfidf_search", _RETRIEVAL + """ SELECT item_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *,
     row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 3""")
 def _(t: Tables):
-    index = R.build_index(t.documents, "doc_id", "text", scratch_path(t.spark, "index"), STOP_WORDS)
+    index = R.build_index(t.documents, "doc_id", "text", STOP_WORDS)
     found = R.search(index, t.benchmark, "item_id", "text", 3)
     return rounded(found.withColumn("rank", F.col("rank").cast("long")), 6, "score")
 
 
 @query("B17_tfidf_vocabulary", _RETRIEVAL + " SELECT term, round(idf, 9) AS idf FROM vocab")
 def _(t: Tables):
-    return rounded(R.build_index(t.documents, "doc_id", "text", scratch_path(t.spark, "index"), STOP_WORDS).vocabulary, 9, "idf")
+    return rounded(R.build_index(t.documents, "doc_id", "text", STOP_WORDS).vocabulary, 9, "idf")

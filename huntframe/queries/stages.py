@@ -158,7 +158,7 @@ def _(t: Tables):
 def _(t: Tables):
     path = scratch_path(t.spark, "json")
     body = F.to_json(F.struct("item_id", "text", F.length("text").cast("long").alias("n")), {"pretty": "true"})
-    t.benchmark.select(F.col("item_id").alias("k"), body.alias("value")).write.partitionBy("k").text(path)
+    t.benchmark.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     schema = "item_id long, text string, n long"
     return scan_json_documents(t.spark, path, schema)
 
@@ -166,9 +166,11 @@ def _(t: Tables):
 @query("SRC4_whole_texts", "SELECT item_id, concat(text, chr(10)) AS text FROM benchmark")
 def _(t: Tables):
     path = scratch_path(t.spark, "texts")
-    t.benchmark.select(F.col("item_id").alias("k"), "text").write.partitionBy("k").text(path)
+    t.benchmark.select(F.concat(F.col("item_id").cast("string"), F.lit("\n"), "text")).write.option(
+        "maxRecordsPerFile", 1).text(path)
     files = scan_whole_texts(t.spark, path, "*.txt")
-    return files.select(F.regexp_extract("path", r"k=(\d+)", 1).cast("long").alias("item_id"), "text")
+    return files.select(F.regexp_extract("text", r"^(\d+)\n", 1).cast("long").alias("item_id"),
+                        F.regexp_replace("text", r"^\d+\n", "").alias("text"))
 
 
 @query("SRC5_field_rows", """SELECT 'Field' || cast(p_partkey AS string) AS field FROM part WHERE p_size > 5""")

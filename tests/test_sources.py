@@ -76,7 +76,8 @@ class FakeSession:
     """A session on a cluster, with or without the setting."""
 
     def __init__(self, named=None, master="spark://host"):
-        self.conf = SimpleNamespace(get=lambda key, default=None: named if key == "spark.checkpoint.dir" else default)
+        settings = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": "hdfs://warehouse"}
+        self.conf = SimpleNamespace(get=lambda key, default=None: settings.get(key) or default)
         self.sparkContext = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
 
 
@@ -84,9 +85,7 @@ def test_named_folder_is_used():
     named = FakeSession("hdfs://shared/work/")
     assert shared_dir(named) == "hdfs://shared/work"
     assert scratch_path(named, "x").startswith("hdfs://shared/work/x-") and scratch_path(named, "x") != scratch_path(named, "x")
-    with pytest.raises(RuntimeError):
-        shared_dir(FakeSession())
 
 
-def test_local_folder_only_without_setting(spark):
-    assert shared_dir(spark) == shared_dir(spark)
+def test_warehouse_without_setting():
+    assert shared_dir(FakeSession()).startswith("hdfs://warehouse/")
