@@ -141,20 +141,20 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     count = shards.shard_count(docs, text, shard_bytes)
     train = _train_tokens(source)
-    texts = shards.sharded(source, count, "_text")
+    texts = shards.sharded(source, count, "_text", shard_bytes)
     grouped = texts.groupBy("shard")
     stirling = [stirling_logs(d).tolist() for d in (PAIR_DISCOUNT, ROOT_DISCOUNT)]
 
     # 1. words: counts over all shards
     def ask_words(table: pa.Table) -> pa.Table:
-        tokens = Tokens(table, Powers())
+        tokens = Tokens(shards.opened(table), Powers())
         return shards.runs(table["shard"][0].as_py(), count, tokens.words, n=tokens.counts.astype(np.uint32))
 
     def count_words(keys, _, arrays):
         order, first, number = _grouped(keys)
         return np.add.reduceat(arrays["n"][order].astype(np.uint64), first)[number]
 
-    words_asked = grouped.applyInArrow(shards.releasing(ask_words), "bucket int, shard int, keys binary, n binary")
+    words_asked = grouped.applyInArrow(shards.releasing(ask_words), "bucket int, shard long, keys binary, n binary")
     words = shards.answered(words_asked, {"n": np.uint32}, count_words)
 
     def known_words(table: pa.Table) -> pa.Table:
@@ -167,9 +167,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
 
     # 2. pairs: counts, and draws of their tables
     def ask_pairs(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return shards.runs(0, count, np.zeros(0, np.uint64), n=np.zeros(0, np.uint32), context=np.zeros(0, np.uint8), word=np.zeros(0, np.uint8))
-        tokens = Tokens(table, Powers())
+        tokens = Tokens(shards.opened(table), Powers())
         tokens.find_pairs()
         steps = _steps(shards.answers_of(answers, np.uint64))
         return shards.runs(table["shard"][0].as_py(), count, tokens.pairs, n=tokens.pair_counts.astype(np.uint32),
@@ -194,15 +192,12 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         return np.column_stack([answer, speaks.astype(np.uint32)])
 
     pairs_asked = grouped.cogroup(shards.by_shard(words, count)).applyInArrow(
-        shards.releasing(ask_pairs), "bucket int, shard int, keys binary, n binary, context binary, word binary")
+        shards.releasing(ask_pairs), "bucket int, shard long, keys binary, n binary, context binary, word binary")
     pairs = shards.answered(pairs_asked, {"n": np.uint32, "context": np.uint8, "word": np.uint8}, seat_pairs)
 
     # 3. restaurants: tables per context, customers and tables per word in the root
     def ask_tables(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return shards.runs(0, count, np.zeros(0, np.uint64), n=np.zeros(0, np.uint32), contexts=np.zeros((0, draws), np.uint32),
-                               words=np.zeros((0, draws), np.uint32))
-        tokens = Tokens(table, Powers())
+        tokens = Tokens(shards.opened(table), Powers())
         tokens.find_pairs()
         found = shards.answers_of(answers, np.uint32).reshape(-1, draws + 2)
         own = found[:, -1] > 0
@@ -226,7 +221,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
 
     kinds = {"n": np.uint32, "contexts": np.uint32, "words": np.uint32}
     tables_asked = grouped.cogroup(shards.by_shard(pairs, count)).applyInArrow(
-        shards.releasing(ask_tables), "bucket int, shard int, keys binary, n binary, contexts binary, words binary")
+        shards.releasing(ask_tables), "bucket int, shard long, keys binary, n binary, contexts binary, words binary")
     tables = shards.answered(tables_asked, kinds, seat_words)
 
     def root_totals(table: pa.Table) -> pa.Table:
@@ -246,9 +241,12 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
     def told(answers: DataFrame, kind: int) -> DataFrame:
         return answers.select("shard", F.lit(kind).alias("kind"), "bucket", "answer", F.lit(None).cast("array<long>").alias("totals"))
 
+    shard_names = words.select("shard").distinct()
+
     def to_all(row: DataFrame, kind: int, *columns: str) -> DataFrame:
-        return row.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"), F.lit(kind).alias("kind"),
-                          F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("answer"), F.array(*columns).alias("totals"))
+        # one row next to every shard's number
+        return shard_names.join(F.broadcast(row.select(F.array(*columns).alias("totals")))).select(
+            "shard", F.lit(kind).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("answer"), "totals")
 
     replies = told(words, 1).union(told(pairs, 2)).union(told(tables, 3)).union(to_all(vocabulary, 4, "v")).union(
         to_all(sums, 5, *[f"s{i}" for i in range(2 * draws)]))
@@ -256,9 +254,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
                            *[T.StructField(c, T.LongType()) for c in new[:3]], *[T.StructField(c, T.DoubleType()) for c in new[3:]]])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return schema_table(table, carried, [np.zeros(0, np.int64)] * 3, [np.zeros(0)] * 2)
-        kind = answers["kind"].to_numpy()
+        table, kind = shards.opened(table), answers["kind"].to_numpy()
         rows = {k: answers.take(np.flatnonzero(kind == k)) for k in range(1, 6)}
         tokens = Tokens(table, Powers())
         tokens.find_pairs()

@@ -14,10 +14,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from huntframe.llm.text import SLICE_BYTES, text_slices
+
 SHARD_BYTES = 4 << 20
 
 
@@ -27,10 +31,39 @@ def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BY
     return max(1, -(-total // shard_bytes))
 
 
-def sharded(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
-    """Adds ``shard`` and brings each shard into one partition. Copies spread by their row's other columns."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("shard", F.pmod(F.xxhash64(*names), F.lit(shards)).cast("int")).repartition(shards, "shard")
+def sharded(docs: DataFrame, shards: int, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(shard, block): consecutive rows of an input split, up to about ``shard_bytes`` of text, as one compressed
+    block; a longer text is a shard of its own. ``shards`` is the number of partitions they are spread over.
+
+    A shard's number comes from its split and its place there, so a repeated task makes the same shards.
+    """
+    def run(batches):
+        first, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        for part in text_slices(batches, text, min(shard_bytes, SLICE_BYTES)):
+            length = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+            if held and size + length > shard_bytes:
+                yield _block(first + number, held)
+                number, held, size = number + 1, [], 0
+            held.append(part)
+            size += length
+        if held:
+            yield _block(first + number, held)
+
+    return docs.mapInArrow(run, "shard long, block binary").repartition(shards, "shard")
+
+
+def _block(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for part in parts:
+            out.write_batch(part)
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                      names=["shard", "block"])
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """The documents of a shard. The tasks of a shard get exactly one block."""
+    return pa.ipc.open_stream(table["block"][0].as_buffer()).read_all()
 
 
 def _release() -> None:
@@ -85,7 +118,7 @@ def runs(shard: int, buckets: int, keys: np.ndarray, **info: np.ndarray) -> pa.T
     place = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     cuts = np.searchsorted(place, np.arange(buckets + 1))
     filled = np.flatnonzero(np.diff(cuts))
-    columns = {"bucket": pa.array(filled.astype(np.int32)), "shard": pa.array(np.full(len(filled), shard, np.int32))}
+    columns = {"bucket": pa.array(filled.astype(np.int32)), "shard": pa.array(np.full(len(filled), shard, np.int64))}
     columns["keys"] = pa.array([packed_keys(keys[cuts[b]:cuts[b + 1]]) for b in filled.tolist()], pa.binary())
     for name, values in info.items():
         columns[name] = pa.array([packed(values[cuts[b]:cuts[b + 1]]) for b in filled.tolist()], pa.binary())
@@ -110,7 +143,7 @@ def answered(asked: DataFrame, kinds: dict[str, np.dtype], merge: Callable) -> D
         answers = [packed(found[a:b]) for a, b in zip(borders[:-1], borders[1:])]
         return pa.table({"shard": table["shard"], "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(releasing(run), "shard int, bucket int, answer binary")
+    return asked.groupBy("bucket").applyInArrow(releasing(run), "shard long, bucket int, answer binary")
 
 
 def answers_of(table: pa.Table, kind) -> np.ndarray:
