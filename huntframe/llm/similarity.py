@@ -133,14 +133,16 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
     with a different set, these shingles and the whole set."""
     prefixes = Shared(docs.sparkSession, Prefixes(shingle_frequencies(docs, "text", size), percent))
     count = shards.shard_count(docs, "text", shard_bytes)
-    texts = shards.sharded(docs, count)
+    texts = shards.sharded(docs, count, "text", shard_bytes)
 
     def documents(table: pa.Table, powers: Powers):
         codes, known = byte_codes(), prefixes.value
-        for batch in text_slices(table.combine_chunks().to_batches()):
+        for batch in text_slices(shards.opened(table).combine_chunks().to_batches()):
             sets = shingle_sets(*text_bytes(batch.column("text")), size, powers, codes)
             for name, shingles in zip(batch.column("id").to_pylist(), sets):
-                yield name, shingles, *known.of(shingles)
+                prefix, matches = known.of(shingles)
+                # Prefixes prefer small hashes; mixed, they are spread evenly over the buckets.
+                yield name, shingles, mixed(prefix), matches
 
     def wanted(found) -> dict[str, np.ndarray]:
         """The distinct prefix shingles with the least size and the largest reach of their sets, the signature of
@@ -166,11 +168,11 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
         return out
 
     asked = texts.groupBy("shard").applyInArrow(
-        shards.releasing(ask), "bucket int, shard int, keys binary, n binary, reach binary, signature binary, several binary")
+        shards.releasing(ask), "bucket int, shard long, keys binary, n binary, reach binary, signature binary, several binary")
     replies = shards.answered(asked, {"n": np.int64, "reach": np.int64, "signature": np.uint64, "several": np.uint8}, shared)
 
     def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found = list(documents(table, Powers())) if table.num_rows else []
+        found = list(documents(table, Powers()))
         keys = wanted(found)["keys"]
         keys = keys[shards.answers_of(answers, np.uint8) > 0]
         rows = []
