@@ -23,7 +23,8 @@ from huntframe.llm import shards
 from huntframe.llm.shards import unpacked
 from huntframe.llm.text import SPACED, Powers, Words, byte_codes, chained, text_bytes, text_slices
 
-DRAWS = 4
+DRAWS = 3
+SHARD_BYTES = 16 << 20  # of text; larger shards send fewer of their words and pairs twice
 PAIR_DISCOUNT, PAIR_STRENGTH = 0.85, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 EXACT_CUSTOMERS = 64  # beyond, the customers of a dish are seated in blocks of a 32nd of those that sit
@@ -93,8 +94,9 @@ class Tokens:
         learns = table["_learn"].to_numpy(zero_copy_only=False).astype(bool) if table.num_rows else np.zeros(0, bool)
         self.learns = np.repeat(learns, self.size)
         # START is one of the words, as a context
-        self.words, number = np.unique(np.append(self.token, START), return_inverse=True)
-        self.word, start = number[:-1], number[-1]
+        words = np.append(self.token, START)
+        order, first, number = _grouped(words)
+        self.words, self.word, start = words[order[first]], number[:-1], number[-1]
         self.context = np.empty(len(self.token), np.int64)
         if len(self.token):
             self.context[1:] = self.word[:-1]
@@ -103,8 +105,11 @@ class Tokens:
         self.counts[start] = int(learns.sum())
 
     def find_pairs(self) -> None:
-        keys = chained(self.words[self.context], self.token)
-        self.pairs, first, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+        # 48 bits tell pairs apart: two of 2**40 pairs fall together in one of 256 cases, which a score hardly feels.
+        keys = chained(self.words[self.context], self.token) & ~np.uint64(0xFFFF)
+        order, first, self.pair = _grouped(keys)
+        first = order[first]
+        self.pairs = keys[first]
         self.pair_context, self.pair_word = self.context[first], self.word[first]
         self.pair_counts = np.bincount(self.pair[self.learns], minlength=len(self.pairs))
 
@@ -115,7 +120,7 @@ def _steps(counts: np.ndarray) -> np.ndarray:
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first place of each different key in that order, number of the different key of each row)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
@@ -126,7 +131,7 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draws: int = DRAWS,
-          shard_bytes: int = shards.SHARD_BYTES) -> DataFrame:
+          shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score, learning from the rows where ``learn`` holds.
 
     Words are what stands between ASCII white space, in small ASCII letters; each text ends with one more token, so
@@ -229,8 +234,8 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         keys = np.concatenate([shards.unpacked_keys(x) for x in table["keys"].to_pylist()])
         arrays = {c: np.concatenate([unpacked(x, k) for x in table[c].to_pylist()]) for c, k in kinds.items()}
         found = seat_words(keys, None, arrays)
-        _, first, _ = _grouped(keys)
-        found = found[np.argsort(keys, kind="stable")[first]]
+        order, first, _ = _grouped(keys)
+        found = found[order[first]]
         total = found.astype(np.int64).sum(axis=0)
         return pa.table({f"s{i}": pa.array([int(total[draws + i])], pa.int64()) for i in range(2 * draws)})
 
