@@ -35,13 +35,14 @@ def merge_by_key(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return merged
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, counted: bool = False) -> DataFrame:
     """Keys that hold at least ``share`` of the rows; never more than ``1/share`` rows."""
     if share < 1 / 4096:
         raise ValueError("a smaller share would make the list of hot keys too long to send around")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.filter(F.col("_n") >= F.lit(share) * total.scalar()).select(*keys)
+    found = counts.filter(F.col("_n") >= F.lit(share) * total.scalar())
+    return found if counted else found.drop("_n")
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, salts: int = 32,
@@ -56,11 +57,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, sa
     def on(a: DataFrame, b: DataFrame, names: list[str], kind: str) -> DataFrame:
         return null_safe_join(a, b, names, kind) if null_safe else a.join(b, names, kind)
 
-    hot = hot_keys(left, keys, share).withColumn("_hot", F.lit("left"))
+    hot = hot_keys(left, keys, share, True).withColumn("_hot", F.lit("left"))
     if how == "inner":
-        # A key may be frequent on the right alone: then the right rows are spread and the left ones repeated.
-        hot = hot.union(hot_keys(right, keys, share).withColumn("_hot", F.lit("right"))).groupBy(*keys).agg(
-            F.min("_hot").alias("_hot"))
+        # A key may be frequent on the right: its rows are spread on the side that has more of them.
+        hot = hot.union(hot_keys(right, keys, share, True).withColumn("_hot", F.lit("right"))).groupBy(*keys).agg(
+            F.max_by("_hot", "_n").alias("_hot"))
+    else:
+        hot = hot.drop("_n")
     hot = F.broadcast(hot)  # at most 2 / share rows
 
     def salted(df: DataFrame, own: str) -> DataFrame:

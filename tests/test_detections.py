@@ -60,18 +60,18 @@ def test_regularity(spark):
 
 
 @pytest.mark.parametrize("spike, fire", [(40, True), (2, False)])
-def test_dga_spike(spark, spike, fire):
-    rows = [("10.0.0.5", NOW - timedelta(days=d), f"stable{i}") for d in range(2, 8) for i in range(2)]
-    rows += [("10.0.0.5", NOW - timedelta(days=1), f"dga{i:06d}.invalid") for i in range(spike)]
+def test_spike_of_names(spark, spike, fire):
+    rows = [("192.168.7.9", NOW - timedelta(days=d), f"usual{i}") for d in range(2, 8) for i in range(2)]
+    rows += [("192.168.7.9", NOW - timedelta(days=1), f"n{i}.test") for i in range(spike)]
     df = events(spark, rows, "SrcIpAddr string, TimeGenerated timestamp, DnsQuery string")
     got = D.outlier_buckets(df, ["SrcIpAddr"], NOW - timedelta(days=7), NOW, "P1D", dcount("DnsQuery"))
     assert fires(got.filter("AnomalyFlag = 1")) is fire
 
 
 def test_renamed_deletion_tool(spark):
-    df = events(spark, [(1, "svc_update.exe", "svc_update.exe -accepteula -s -r -q C:\\"), (2, "sdelete.exe", "sdelete.exe -accepteula -s -r -q C:\\"),
-                        (3, "other.exe", "other.exe -accepteula -s C:\\")], "id int, name string, cmd string")
-    assert [r.id for r in D.renamed_tool(df, "cmd", ["accepteula", "-s", "-r", "-q"], "name", "sdelete.exe").collect()] == [1]
+    df = events(spark, [(1, "notes.bin", "notes.bin --wipe --deep --mute D:\\"), (2, "eraser.bin", "eraser.bin --wipe --deep --mute D:\\"),
+                        (3, "third.bin", "third.bin --wipe --deep D:\\")], "id int, name string, cmd string")
+    assert [r.id for r in D.renamed_tool(df, "cmd", ["wipe", "--deep", "--mute"], "name", "eraser.bin").collect()] == [1]
 
 
 def test_port_mismatch(spark):
@@ -89,16 +89,16 @@ def test_first_seen(spark):
 
 @pytest.mark.parametrize("n, fire", [(8, True), (1, False)])
 def test_parse_then_count(spark, n, fire):
-    url = "http://x.example.com/jndi:ldap://evil-host.example.com/payload"
-    df = events(spark, [(url,)] * n + [("http://fine.example.com/",)] * 9, "Url string")
-    got = D.extract_and_count(df, "Url", (ANY, "jndi:ldap://", Capture("JndiHost"), "/", ANY), "JndiHost", 3).collect()
-    assert [(r.JndiHost, r.n) for r in got] == ([("evil-host.example.com", n)] if fire else [])
+    url = "https://shop.test/cart?next=ftp://mirror-9.test/list"
+    df = events(spark, [(url,)] * n + [("https://shop.test/",)] * 9, "Url string")
+    got = D.extract_and_count(df, "Url", (ANY, "next=ftp://", Capture("Mirror"), "/", ANY), "Mirror", 3).collect()
+    assert [(r.Mirror, r.n) for r in got] == ([("mirror-9.test", n)] if fire else [])
 
 
 def test_touched_items(spark):
-    df = events(spark, [("a", "http://x/login"), ("a", "http://x/payload.ps1"), ("a", "http://x/payload.ps1"), ("b", "http://x/report.pdf")],
+    df = events(spark, [("a", "http://x/login"), ("a", "http://x/setup.tmp"), ("a", "http://x/setup.tmp"), ("b", "http://x/report.pdf")],
                 "src string, Url string")
-    assert [(r.src, r.Url) for r in D.touched_items(df, ["src"], "Url", P.endswith("Url", ".PS1")).collect()] == [("a", "http://x/payload.ps1")]
+    assert [(r.src, r.Url) for r in D.touched_items(df, ["src"], "Url", P.endswith("Url", ".TMP")).collect()] == [("a", "http://x/setup.tmp")]
 
 
 def test_external_to_management_ports(spark):
@@ -107,10 +107,10 @@ def test_external_to_management_ports(spark):
 
 
 def test_two_term_sets_and_exact_fragment(spark):
-    df = events(spark, [(1, "net user /domain"), (2, "net user /add"), (3, "net group /do"), (4, "x -ENC UwB0AGE="), (5, "x -enc uwb0age=")],
+    df = events(spark, [(1, "net user /domain"), (2, "net user /add"), (3, "net group /do"), (4, "y -RAW Qk1NQQ=="), (5, "y -raw qk1nqq==")],
                 "id int, cmd string")
     assert sorted(r.id for r in D.two_term_sets(df, "cmd", ["user", "group"], ["/do", "/domain"]).collect()) == [1, 3]
-    assert [r.id for r in D.fragment_and_flag(df, "cmd", "UwB0AGE=", "-enc").collect()] == [4]
+    assert [r.id for r in D.fragment_and_flag(df, "cmd", "Qk1NQQ==", "-raw").collect()] == [4]
 
 
 def test_indicators_and_activity(spark):
@@ -130,9 +130,9 @@ def test_evidence_does_not_split_the_count(spark):
     assert [(r.src, r.Distinct, r.Values) for r in many] == [("a", 3, ["u0", "u1", "u2"])]
 
 
-def test_recycle_bin_process(spark):
-    df = events(spark, [(1, "C:\\RECYCLER\\$Recycle.Bin\\S-1-5-21\\svchost.exe"), (2, "C:\\Program Files\\Notepad++\\n.exe")], "id int, p string")
-    assert [r.id for r in where(df, P.contains("p", "\\recycler\\")).collect()] == [1]
+def test_fragment_of_a_path(spark):
+    df = events(spark, [(1, "D:\\Parcels\\Outbox\\item.bin"), (2, "D:\\Inbox\\item.bin")], "id int, p string")
+    assert [r.id for r in where(df, P.contains("p", "\\parcels\\")).collect()] == [1]
 
 
 def test_no_python_in_detection_plans(spark, folder):

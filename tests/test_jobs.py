@@ -9,7 +9,6 @@ from huntframe.plans import corpus as C
 from huntframe.plans import evaluation as E
 from huntframe.plans import retrieval as R
 from huntframe.plans.conformance import conform, conformance_report, field_reference
-from huntframe.session import scratch_path
 
 
 def one(spark, value, build):
@@ -204,7 +203,7 @@ def test_tfidf(spark):
                                   (3, "unrelated words entirely"), (4, "")], "id int, text string")
     asked = spark.createDataFrame([("q", "remote services"), ("none", "zzz"), ("blank", "")], "q string, text string")
     stop = ["the", "via"]
-    index = R.build_index(docs, "id", "text", scratch_path(spark, "idx"), stop)
+    index = R.build_index(docs, "id", "text", stop)
     got = [(r.q, r["rank"], r.id, r.score) for r in R.search(index, asked, "q", "text", 3).orderBy("rank").collect()]
 
     def grams(text):
@@ -226,7 +225,7 @@ def test_tfidf(spark):
 
 def test_vocabulary_limit(spark):
     docs = spark.createDataFrame([(1, "aa aa aa bb bb cc"), (2, "bb dd")], "id int, text string")
-    index = R.build_index(docs, "id", "text", scratch_path(spark, "idx"), [], max_terms=3)
+    index = R.build_index(docs, "id", "text", [], max_terms=3)
     assert {r.term for r in index.vocabulary.collect()} == {"aa", "bb", "aa aa"}
 
 
@@ -234,8 +233,43 @@ def test_clean_document(spark):
     raw = ("---\nauthor: x\n---\nTitle\n> [!INCLUDE applies]\n:::moniker range\nold\n:::moniker-end\n"
            "> [!div class]\n> <a href=\"u\">Run</a>\n:::image a.png\nBody  ")
     assert one(spark, raw, R.clean_document) == "Title\nBody"
-    df = spark.createDataFrame([("k", "short"), ("l", "x" * 5000)], "id string, t string")
-    assert [(r.id, len(r.text)) for r in R.chunks(df, "id", "t").collect()] == [("l", 4000)]
+    long = "".join(chr(97 + i % 26) for i in range(9001))
+    df = spark.createDataFrame([("k", "short"), ("l", long), ("m", "y" * 4000), ("n", None)], "id string, t string")
+    pieces = sorted((r.id, r.piece, r.text) for r in R.chunks(df, "id", "t").collect())
+    assert [(i, n) for i, n, _ in pieces] == [("l", 1), ("l", 2), ("l", 3), ("m", 1)]
+    assert "".join(t for i, _, t in pieces if i == "l") == long
+
+
+def test_a_term_in_every_document(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(["common"] * 3 + rng.choices(words, k=12)) for i in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "id int, text string")
+    asked = spark.createDataFrame([(0, texts[7]), (1, "common"), (2, "common w1 w2 w3"), (3, "w5")], "q int, text string")
+    index = R.build_index(docs, "id", "text", [])
+    got = {(r.q, r["rank"]): (r.id, r.score) for r in R.search(index, asked, "q", "text", 4).collect()}
+
+    def grams(text):
+        words_ = text.split()
+        return words_ + [" ".join(p) for p in zip(words_, words_[1:])]
+
+    seen = {}
+    for text in texts.values():
+        for term in set(grams(text)):
+            seen[term] = seen.get(term, 0) + 1
+
+    def vector(text):
+        weights = {t: grams(text).count(t) * (math.log(151 / (1 + seen[t])) + 1) for t in set(grams(text)) if t in seen}
+        size = math.sqrt(sum(x * x for x in weights.values()))
+        return {t: x / size for t, x in weights.items()}
+
+    vectors = {i: vector(t) for i, t in texts.items()}
+    for q, text in ((r.q, r.text) for r in asked.collect()):
+        wanted = vector(text)
+        scores = {i: sum(wanted.get(t, 0) * x for t, x in v.items()) for i, v in vectors.items()}
+        best = sorted((i for i in scores if scores[i] > 0), key=lambda i: (-round(scores[i], 9), i))[:4]
+        assert [got[(q, n + 1)][0] for n in range(len(best))] == best
+        assert [got[(q, n + 1)][1] for n in range(len(best))] == [pytest.approx(scores[i]) for i in best]
 
 
 def test_conformance(spark):

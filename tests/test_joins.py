@@ -66,6 +66,29 @@ def test_innerunique_keeps_first_left_row_and_all_right_rows(spark):
     assert got == [(1, "a", 10), (1, "a", 11), (2, "c", 20)]
 
 
+@pytest.mark.parametrize("salts", [0, 4])
+def test_innerunique_with_a_frequent_right_key_and_maps(spark, salts):
+    a = spark.createDataFrame([(1, 2, {"x": "1"}), (1, 1, {"y": "2"}), (2, 5, {})], "k int, o int, more map<string,string>")
+    b = spark.range(300).select(F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id")).cast("int").alias("k"), "id")
+    got = [(r.k, r.o, r.id) for r in join(a, b, "k", "innerunique", salts=salts).collect()]
+    assert sorted(got) == sorted([(1, 1, i) for i in range(300) if i % 3 < 2] + [(2, 5, 2)])
+    assert join(a, b, "k", "innerunique", salts=salts).columns == ["k", "o", "more", "id"]
+
+
+def test_salting_spreads_the_frequent_right_key(spark):
+    a = spark.range(50).select(F.col("id").alias("k"))
+    b = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("k"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = join(a, b, "k", "inner", salts=16).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 3000 and len(sizes) > 1
+
+
 def test_empty_right(spark):
     _, _, a, b = frames(spark, 1)
     none = b.filter("rid < 0")
@@ -108,12 +131,13 @@ def test_followed_by_against_brute_force(spark, seed):
     rows_ = [(i, rng.choice(["u", "u", "v"]), rng.choice(["A", "B", "C"]), start + timedelta(minutes=rng.randint(0, 600)))
              for i in range(200)]
     df = spark.createDataFrame(rows_, "id int, u string, kind string, t timestamp")
-    for then in ("B", "A"):
+    for then, width in (("B", timedelta(hours=1)), ("A", timedelta(hours=1)), ("B", timedelta(minutes=7, microseconds=13)),
+                        ("A", timedelta(days=14)), ("B", timedelta(microseconds=5))):
         got = {r.id: (r.earlier, r.latest_first) for r in
-               followed_by(df, ["u"], "t", eq("kind", "A"), eq("kind", then), "PT1H").collect()}
+               followed_by(df, ["u"], "t", eq("kind", "A"), eq("kind", then), width).collect()}
         expected = {}
         for i, u, kind, t in rows_:
-            before = [x[3] for x in rows_ if x[1] == u and x[2] == "A" and timedelta(0) < t - x[3] <= timedelta(hours=1)]
+            before = [x[3] for x in rows_ if x[1] == u and x[2] == "A" and timedelta(0) < t - x[3] <= width]
             if kind == then and before:
                 expected[i] = (len(before), max(before))
         assert got == expected

@@ -43,10 +43,23 @@ def test_only_bounded_broadcast_hints(spark, folder):
 
     hinted = [m.__name__ for m in (aggregates, joins, series, skew, stages, conformance, corpus, detections, evaluation, retrieval)
               if "F.broadcast" in inspect.getsource(m)]
-    assert hinted == ["huntframe.operators.skew", "huntframe.plans.retrieval"]
+    assert hinted == ["huntframe.operators.skew"]
 
 
 def test_no_single_task_rank(spark, folder):
     # Ranks inside strata are cut by hash prefix, so no window is partitioned by the stratum alone.
     text = plan(spark, folder, "B05_stratified_split")
     assert "row_number() windowspecdefinition(lang#" in text and "_bucket#" in text.split("row_number()", 1)[1][:60]
+
+
+@pytest.mark.parametrize("kind, bound", [("int", 100), ("bigint", 100.0), ("double", 2.5), ("smallint", "7")])
+def test_bounds_reach_the_scan(spark, tmp_path, kind, bound):
+    from pyspark.sql import functions as F
+
+    from huntframe.functions import predicates as P
+
+    path = str(tmp_path / kind)
+    spark.range(10).select(F.col("id").cast(kind).alias("x")).write.parquet(path)
+    df = spark.read.parquet(path)
+    for test, sign in ((P.gt, "GreaterThan(x"), (P.ge, "GreaterThanOrEqual(x"), (P.lt, "LessThan(x"), (P.le, "LessThanOrEqual(x")):
+        assert sign in plan_of(df.filter(test("x", bound))), (kind, sign)
