@@ -26,7 +26,7 @@ from huntframe.llm.text import SPACED, Powers, Words, byte_codes, chained, mixed
 SKETCH_BITS = 17  # the table of shingle frequencies has 2**17 counts
 MOST_MATCHES = 4
 VERIFY = 1 / 16  # cost of comparing a shingle of two sets, in look-ups
-FIRST_LOOKS = 3
+FIRST_LOOKS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, powers: Powers, codes: np.ndarray) -> list[np.ndarray]:
@@ -209,22 +209,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * 100 >= union * percent).select("a", "b")
 
 
-def _may_link(percent: int) -> Column:
-    """Whether two sets that share ``token`` in their prefixes can be similar, asked at the first such shingle.
+def _near(percent: int) -> Column:
+    """Two sets by one shared prefix shingle, if it is the first: nothing before it is shared, at most all that
+    follows in both is."""
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return left * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share as many prefix shingles as both ask for, and may share enough in all: those,
+    and at most what follows the last of them in both sets on the shorter prefix (in the common order, in
+    which a prefix is the beginning of a set)."""
+    def of(name: str) -> DataFrame:
+        return sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "matches", "prefix")])
 
-    They share as many as both ask for; and what they share is that and, at most, what follows in both sets on the
-    shorter prefix (in the common order, in which a prefix is the beginning of a set).
-    """
     shared = F.array_intersect("prefix_a", "prefix_b")
     found = F.size(shared)
-    # What follows the last shared shingle in either set.
     last = F.get(shared, found - 1)
     rest = [F.col(f"n_{s}") - F.array_position(f"prefix_{s}", last) for s in "ab"]
     # Behind the end of a prefix all may be shared, between the last shared one and that end nothing of it is.
     inside = [F.size(f"prefix_{s}") - F.array_position(f"prefix_{s}", last) for s in "ab"]
     most = found + F.least(rest[0], rest[1], F.greatest(rest[0] - inside[0], rest[1] - inside[1]))
-    return ((F.get(shared, F.lit(0)) == F.col("token")) & (found >= F.least("matches_a", "matches_b"))
-            & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(
+        (found >= F.least("matches_a", "matches_b")) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)).select(
+        "a", "b").distinct()
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id", text: str = "text",
@@ -250,8 +258,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
 
     sets = rows.filter(F.col("tokens").isNotNull()).join(
         vertices, ["sig_a", "sig_b"]).filter("id = vertex").dropDuplicates(["id", "sig_a", "sig_b"])
-    columns = ["id", "n", "matches", "prefix"]
-    tokens = sets.select(*columns, F.explode("tokens").alias("token"))
+    columns = ["id", "n", "place"]
+    tokens = sets.select("id", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         return df.select("token", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
@@ -270,9 +278,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
             F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
         star = side(near, "a", "band", "component").join(leaders.select(
             "token", "band", F.col("l.component").alias("other"), *[F.col(f"l.{c}").alias(f"{c}_b") for c in columns]),
-            ["token", "band"]).filter((F.col("component") != F.col("other")) & _may_link(percent))
+            ["token", "band"]).filter((F.col("component") != F.col("other")) & _near(percent))
         star = star.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-        links = links.union(_stored(_verified(star, sets, percent), "links"))
+        links = links.union(_stored(_verified(_may_link(star, sets, percent), sets, percent), "links"))
         known = connected(links)
 
     # Second look: pairs of documents that are not connected yet.
@@ -283,8 +291,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
     condition = (F.col("component") != F.col("other")) & (F.col("id_a") < F.col("id_b")) & (
         F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     pairs = side(left, "a", "component").join(side(left.withColumnRenamed("component", "other"), "b", "other"), "token").filter(
-        condition & _may_link(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    second = _stored(_verified(pairs, sets, percent), "links")
+        condition & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    second = _stored(_verified(_may_link(pairs, sets, percent), sets, percent), "links")
     components = connected(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))
 
     of_documents = member.join(components, F.col("vertex") == components["id"], "left").groupBy(member["id"]).agg(
