@@ -24,6 +24,7 @@ from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained,
 SAMPLE_ROWS = 12_000  # labelled rows of each class
 SAMPLE_BYTES = 16 << 20  # bytes of their texts, per class
 COUNTED = 0.7  # of the sample; the rest fits the logistic curve
+LEAST_TEXTS = 8  # of each class, for the curve; with fewer every text gets the share of toxic rows
 DISCOUNT = 2.0  # texts taken from every count of a class,
 SPREADS = (2.0, 3.0, 4.0)  # and so many standard deviations of a chance difference; the best of these is used
 START = np.uint64(1)  # stands before the first word of a text
@@ -177,8 +178,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     Fitted on a sample of at most ``sample_rows`` rows and about ``sample_bytes`` bytes of each class.
     Rows of one doc_id vote for its label, a tie counts as toxic; null labels and ids are left out. The
-    curve is weighted to the share of each class among all labelled rows. Without rows of both classes
-    every text gets the share of toxic rows, or 0 if there are none.
+    curve is weighted to the share of each class among all labelled rows. With fewer than LEAST_TEXTS different texts
+    of a class to fit it, every text gets the share of toxic rows, or 0 if there are none.
     """
     voted = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
@@ -201,7 +202,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         model = KneserNey.fit(counts, spread)
         found = _numpy(_totals(rest, Shared(spark, model), "text").select("toxic", "_total", "_n"))
         y = found["toxic"].astype(float)
-        if 0 < y.sum() < len(y):
+        if min(y.sum(), len(y) - y.sum()) >= LEAST_TEXTS:
             weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
             curve = _curve(_features(found["_total"], found["_n"]), y, weight)
             if curve["loss"] < best["loss"]:
