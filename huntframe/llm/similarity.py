@@ -256,10 +256,12 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
     one = member.groupBy("id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).filter("a != b").select("id", "a")
     repeated = member.join(one, "id").select("a", F.col("vertex").alias("b")).filter("a != b")
 
-    sets = rows.filter(F.col("tokens").isNotNull()).join(
-        vertices, ["sig_a", "sig_b"]).filter("id = vertex").dropDuplicates(["id", "sig_a", "sig_b"])
+    # Whole sets are looked up by id where pairs are verified; all else moves without them.
+    sets = rows.filter(F.col("tokens").isNotNull() & F.col("id").isNotNull()).select("id", "n", "matches", "prefix", "shingles")
     columns = ["id", "n", "place"]
-    tokens = sets.select("id", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
+    tokens = rows.filter(F.col("tokens").isNotNull()).select("id", "n", "sig_a", "sig_b", "tokens", "places").join(
+        vertices, ["sig_a", "sig_b"]).filter("id = vertex").select(
+        "id", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         return df.select("token", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
