@@ -24,7 +24,7 @@ from huntframe.llm.shards import unpacked
 from huntframe.llm.text import SPACED, Powers, Words, byte_codes, chained, text_bytes, text_slices
 
 DRAWS = 3
-SHARD_BYTES = 16 << 20  # of text; larger shards send fewer of their words and pairs twice
+SHARD_BYTES = 12 << 20  # of text; larger shards send fewer of their words and pairs twice
 PAIR_DISCOUNT, PAIR_STRENGTH = 0.85, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 EXACT_CUSTOMERS = 64  # beyond, the customers of a dish are seated in blocks of a 32nd of those that sit
