@@ -2,17 +2,21 @@
 
 Each word is the context restaurant of the words that follow it; all context restaurants share one parent, the
 root restaurant, whose base is uniform over the known words and one unknown word. Seatings are summed up by
-the number of tables per dish: it is drawn, several times, from its conditional distribution in a Gibbs step that
-takes in all seatings of that number (generalised Stirling numbers), given the tables of the rest of the
-restaurant and the parent's probability; dishes are drawn in parallel, with these two at their expected values.
-What sits at the tables of all contexts are the root's customers, whose seating is drawn likewise. The
-probability of a word is the average of its predictive probabilities over the draws.
-
-Shards of documents send their different words and pairs with local counts, and get counts and tables back.
+the number of tables per dish. Gibbs sweeps draw it for every pair from its conditional distribution, which takes
+in all seatings of that number (generalised Stirling numbers), given the tables that the sweep before left to the
+context's other pairs, and the root's predictive probability without the pair's own tables. What sits at the tables of
+all contexts are the root's customers, whose tables are drawn likewise in each sweep. The probability of a word is the
+average of its predictive probabilities over the sweeps after the burn-in.
+
+Shards of documents send their different pairs with local counts; one shard speaks for each pair and draws its tables.
+The tables of a sweep are stored in the shared folder. Ranges of words add them up and answer the shards.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,14 +26,18 @@ from pyspark.sql import types as T
 from huntframe.llm import shards
 from huntframe.llm.shards import unpacked
 from huntframe.llm.text import SPACED, Powers, Words, byte_codes, chained, text_bytes, text_slices
+from huntframe.session import scratch_path
 
-DRAWS = 3
+BURN_IN = 5  # sweeps that are not averaged
+DRAWS = 3  # sweeps after these, which are
 SHARD_BYTES = 12 << 20  # of text; larger shards send fewer of their words and pairs twice
 PAIR_DISCOUNT, PAIR_STRENGTH = 0.85, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
-EXACT_CUSTOMERS = 64  # beyond, the customers of a dish are seated in blocks of a 32nd of those that sit
+EXACT_CUSTOMERS = 256  # of a dish; beyond, its tables follow the limit for many customers
 END, START = np.uint64(3), np.uint64(5)  # the token after, and the context before, a text
-_SCALE = 8  # steps per doubling in which counts are told to the pairs' buckets
+_SPEAKS, _SHARED = 1, 2  # what a shard is told of a pair: it speaks for it, other shards have it as well
+_NAMES = ["kind", "bucket", "shard", "parts", "a", "b"]
+_ROW = "kind string, bucket int, shard long, parts array<binary>, a long, b long"
 
 
 # ---------------------------------------------------------------- seating
@@ -47,9 +55,13 @@ def stirling_logs(discount: float, most: int = EXACT_CUSTOMERS) -> np.ndarray:
 
 
 def drawn_tables(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, discount: float, strength: float,
-                 stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+                 stirling: np.ndarray, rng: np.random.Generator, limit: bool = False) -> np.ndarray:
     """The number of tables of each dish: one Gibbs draw given the customers, the parent's probability of the
-    dish and the tables of the restaurant's other dishes."""
+    dish and the tables of the restaurant's other dishes.
+
+    Beyond EXACT_CUSTOMERS a dish's customers are seated in blocks, without regard to how likely those that follow are to
+    sit there, which opens too many tables. With ``limit`` they follow the distribution's limit for many customers.
+    """
     tables = np.minimum(customers, 1).astype(np.int64)
     for c in np.unique(customers[(customers > 1) & (customers <= EXACT_CUSTOMERS)]).tolist():
         rows = np.flatnonzero(customers == c)
@@ -59,6 +71,11 @@ def drawn_tables(customers: np.ndarray, parent: np.ndarray, others: np.ndarray,
         p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
         tables[rows] = (p < rng.random(len(rows))[:, None] * p[:, -1:]).sum(axis=1) + 1
     rows = np.flatnonzero(customers > EXACT_CUSTOMERS)
+    if limit:
+        # the Stirling numbers go like 1 / (discount ** t * (t - 1)!), which leaves a negative binomial distribution
+        more = rng.negative_binomial(strength / discount + others[rows] + 1, 1 - np.minimum(parent[rows], 0.999))
+        tables[rows] = np.minimum(1 + more, customers[rows])
+        return tables
     seated = np.ones(len(rows), np.int64)
     while len(rows):
         t = tables[rows]
@@ -71,9 +88,10 @@ def drawn_tables(customers: np.ndarray, parent: np.ndarray, others: np.ndarray,
     return tables
 
 
-def expected_tables(customers: np.ndarray, discount: float, strength: float) -> np.ndarray:
-    """Tables of a whole restaurant under the process, as its customers come one by one."""
-    return strength / discount * ((1 + customers / strength) ** discount - 1)
+def root_probability(customers, tables, all_customers, all_tables, vocabulary_size: int) -> np.ndarray:
+    """The root's predictive probability of words, over the known words and one unknown."""
+    base = (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) / (vocabulary_size + 1)
+    return (np.maximum(customers - ROOT_DISCOUNT * tables, 0) + base) / (ROOT_STRENGTH + all_customers)
 
 
 # ---------------------------------------------------------------- tokens of a shard
@@ -114,10 +132,6 @@ class Tokens:
         self.pair_counts = np.bincount(self.pair[self.learns], minlength=len(self.pairs))
 
 
-def _steps(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.round(_SCALE * np.log2(counts + 1.0)), 255).astype(np.uint8)
-
-
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first place of each different key in that order, number of the different key of each row)."""
     order = np.argsort(keys)
@@ -131,7 +145,7 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draws: int = DRAWS,
-          shard_bytes: int = SHARD_BYTES) -> DataFrame:
+          shard_bytes: int = SHARD_BYTES, burn_in: int = BURN_IN) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score, learning from the rows where ``learn`` holds.
 
     Words are what stands between ASCII white space, in small ASCII letters; each text ends with one more token, so
@@ -150,132 +164,130 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
     grouped = texts.groupBy("shard")
     stirling = [stirling_logs(d).tolist() for d in (PAIR_DISCOUNT, ROOT_DISCOUNT)]
 
-    # 1. words: counts over all shards
-    def ask_words(table: pa.Table) -> pa.Table:
-        tokens = Tokens(shards.opened(table), Powers())
-        return shards.runs(table["shard"][0].as_py(), count, tokens.words, n=tokens.counts.astype(np.uint32))
-
-    def count_words(keys, _, arrays):
-        order, first, number = _grouped(keys)
-        return np.add.reduceat(arrays["n"][order].astype(np.uint64), first)[number]
-
-    words_asked = grouped.applyInArrow(shards.releasing(ask_words), "bucket int, shard long, keys binary, n binary")
-    words = shards.answered(words_asked, {"n": np.uint32}, count_words)
-
-    def known_words(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([shards.unpacked_keys(x)[unpacked(n, np.uint32) > 0]
-                               for x, n in zip(table["keys"].to_pylist(), table["n"].to_pylist())])
-        different = np.unique(keys)
-        return pa.table({"v": pa.array([len(different) - int((different == START).sum())], pa.int64())})
+    stored = _Stored(docs.sparkSession)
 
-    vocabulary = words_asked.groupBy("bucket").applyInArrow(shards.releasing(known_words), "v long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
-
-    # 2. pairs: counts, and draws of their tables
-    def ask_pairs(table: pa.Table, answers: pa.Table) -> pa.Table:
+    # 1. pairs: counts over all shards; one shard of those that have a pair speaks for it
+    def ask_pairs(table: pa.Table) -> pa.Table:
         tokens = Tokens(shards.opened(table), Powers())
         tokens.find_pairs()
-        steps = _steps(shards.answers_of(answers, np.uint64))
-        return shards.runs(table["shard"][0].as_py(), count, tokens.pairs, n=tokens.pair_counts.astype(np.uint32),
-                           context=steps[tokens.pair_context], word=steps[tokens.pair_word])
+        return shards.runs(table["shard"][0].as_py(), count, tokens.pairs, n=tokens.pair_counts.astype(np.uint32))
 
-    def seat_pairs(keys, rows, arrays):
+    def count_pairs(keys, rows, arrays):
         order, first, number = _grouped(keys)
         total = np.add.reduceat(arrays["n"][order].astype(np.int64), first)
-        context = 2.0 ** (arrays["context"][order][first] / _SCALE) - 1
-        parent = np.clip((2.0 ** (arrays["word"][order][first] / _SCALE) - 1) / max(train, 1), 1e-12, 1.0)
-        rest = np.maximum(expected_tables(context, PAIR_DISCOUNT, PAIR_STRENGTH) - 1, 0)
-        rng = np.random.default_rng(int(keys.min() % np.uint64(1 << 62)))
-        out = np.zeros((len(first), 1 + draws), np.uint32)
-        out[:, 0] = total
-        logs = np.array(stirling[0])
-        for draw in range(draws):
-            out[:, 1 + draw] = drawn_tables(total, parent, rest, PAIR_DISCOUNT, PAIR_STRENGTH, logs, rng)
-        answer = out[number]
-        # one shard of those that have a pair speaks for it
+        shared = np.diff(np.append(first, len(keys))) > 1
         speaks = np.zeros(len(keys), bool)
         speaks[order[first]] = True
-        return np.column_stack([answer, speaks.astype(np.uint32)])
+        return np.column_stack([total[number], _SPEAKS * speaks + _SHARED * shared[number]]).astype(np.uint32)
 
-    pairs_asked = grouped.cogroup(shards.by_shard(words, count)).applyInArrow(
-        shards.releasing(ask_pairs), "bucket int, shard long, keys binary, n binary, context binary, word binary")
-    pairs = shards.answered(pairs_asked, {"n": np.uint32, "context": np.uint8, "word": np.uint8}, seat_pairs)
+    pairs_asked = grouped.applyInArrow(shards.releasing(ask_pairs), "bucket int, shard long, keys binary, n binary")
+    pairs = shards.answered(pairs_asked, {"n": np.uint32}, count_pairs)
 
-    # 3. restaurants: tables per context, customers and tables per word in the root
-    def ask_tables(table: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens = Tokens(shards.opened(table), Powers())
+    # 2. what stays: pairs seen once have one table; those seen more often are kept to be drawn
+    def start(table: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens, shard = Tokens(shards.opened(table), Powers()), table["shard"][0].as_py()
         tokens.find_pairs()
-        found = shards.answers_of(answers, np.uint32).reshape(-1, draws + 2)
-        own = found[:, -1] > 0
-        sums = []
-        for side in (tokens.pair_context, tokens.pair_word):
-            sums.append(np.stack([np.bincount(side[own], found[own, 1 + d], minlength=len(tokens.words)) for d in range(draws)], axis=1))
-        return shards.runs(table["shard"][0].as_py(), count, tokens.words, n=tokens.counts.astype(np.uint32),
-                           contexts=sums[0].astype(np.uint32), words=sums[1].astype(np.uint32))
-
-    def seat_words(keys, rows, arrays):
-        order, first, number = _grouped(keys)
-        n = np.add.reduceat(arrays["n"][order].astype(np.int64), first)
-        contexts, words = [np.add.reduceat(arrays[c].reshape(-1, draws)[order].astype(np.int64), first, axis=0) for c in ("contexts", "words")]
-        # words are spread evenly over the buckets, so this one tells how many there are
-        vocabulary_size = max(1, int((n > 0).sum()) * count)
-        rng = np.random.default_rng(int(keys.min() % np.uint64(1 << 62)) + 1)
-        logs, uniform = np.array(stirling[1]), np.full(len(first), 1 / (vocabulary_size + 1))
-        tables = np.stack([drawn_tables(words[:, d], uniform, np.full(len(first), vocabulary_size - 1.0), ROOT_DISCOUNT,
-                                        ROOT_STRENGTH, logs, rng) for d in range(draws)], axis=1)
-        return np.concatenate([contexts, words, tables], axis=1).astype(np.uint32)[number]
-
-    kinds = {"n": np.uint32, "contexts": np.uint32, "words": np.uint32}
-    tables_asked = grouped.cogroup(shards.by_shard(pairs, count)).applyInArrow(
-        shards.releasing(ask_tables), "bucket int, shard long, keys binary, n binary, contexts binary, words binary")
-    tables = shards.answered(tables_asked, kinds, seat_words)
-
-    def root_totals(table: pa.Table) -> pa.Table:
-        table = table.sort_by("shard")
-        keys = np.concatenate([shards.unpacked_keys(x) for x in table["keys"].to_pylist()])
-        arrays = {c: np.concatenate([unpacked(x, k) for x in table[c].to_pylist()]) for c, k in kinds.items()}
-        found = seat_words(keys, None, arrays)
+        total, flags = shards.answers_of(answers, np.uint32).reshape(-1, 2).T
+        own, shared = flags & _SPEAKS > 0, (flags & _SHARED > 0) & (total > 1)
+        once, drawn = own & (total == 1), own & (total > 1)
+        contexts, words = (np.bincount(side[once], minlength=len(tokens.words)).astype(np.uint32)
+                           for side in (tokens.pair_context, tokens.pair_word))
+        said = shards.runs(shard, count, tokens.words, n=tokens.counts.astype(np.uint32), contexts=contexts, words=words)
+        sides = np.concatenate([tokens.pair_context[drawn], tokens.pair_word[drawn]])
+        active, place = np.unique(sides, return_inverse=True)
+        context, word = np.split(place.ravel().astype(np.uint32), 2)
+        return pa.concat_tables([
+            _messages("words", said),
+            _row("shard", -1, shard, shards.packed_keys(tokens.words[active]), *map(shards.packed, (context, word, total[drawn])),
+                 shards.packed_keys(tokens.pairs[shared]), shards.packed(own[shared]), shards.packed(shared[drawn])),
+            _row("pairs", -1, shard, shards.packed(total), shards.packed(flags.astype(np.uint8)))])
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys, arrays = _said(table, np.uint32, np.uint32, np.uint32)
         order, first, _ = _grouped(keys)
-        found = found[order[first]]
-        total = found.astype(np.int64).sum(axis=0)
-        return pa.table({f"s{i}": pa.array([int(total[draws + i])], pa.int64()) for i in range(2 * draws)})
-
-    sums = tables_asked.groupBy("bucket").applyInArrow(shards.releasing(root_totals), ", ".join(f"s{i} long" for i in range(2 * draws)))
-    sums = sums.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0)).alias(f"s{i}") for i in range(2 * draws)])
+        keys = keys[order[first]]
+        n, contexts, words = (np.add.reduceat(a[order].astype(np.uint64), first) for a in arrays)
+        return _row("bucket", table["bucket"][0].as_py(), -1, shards.packed_keys(keys), *map(shards.packed, (n, contexts, words)),
+                    a=int((n[keys != START] > 0).sum()))
+
+    started = stored(grouped.cogroup(shards.by_shard(pairs, count)).applyInArrow(shards.releasing(start), _ROW))
+    buckets = stored(started.filter("kind = 'words'").groupBy("bucket").applyInArrow(shards.releasing(gather), _ROW))
+    vocabulary_size = buckets.agg(F.sum("a")).first()[0] or 0
+
+    # 3. sweeps: tables per pair given all others and the root, then the root's tables per word
+    fixed, totals = started.filter("kind = 'shard'"), [(0, 0)]
+    last, seated, kept = fixed.limit(0), buckets.limit(0), []
+    for sweep in range(1 + burn_in + draws):
+        known = fixed.union(last.filter("kind = 'tables'")).union(seated.filter("kind = 'answer'"))
+        work = _seat_pairs(sweep, count, vocabulary_size, *totals[-1], stirling[0])
+        last = stored(shards.by_shard(known, count).applyInArrow(shards.releasing(work), _ROW))
+        known = buckets.union(last.filter("kind = 'said'")).union(seated.filter("kind = 'root'"))
+        work = _seat_words(sweep, vocabulary_size, totals[-1][1], stirling[1])
+        seated = stored(known.groupBy("bucket").applyInArrow(shards.releasing(work), _ROW))
+        totals.append(tuple(x or 0 for x in seated.agg(F.sum("a"), F.sum("b")).first()))
+        if sweep > burn_in:
+            kept.append((last.filter("kind = 'tables'"), seated.filter("kind = 'root'")))
+    totals = totals[-draws:]
+    kept_tables, kept_roots = (reduce(DataFrame.union, x) for x in zip(*kept))
 
     # 4. scores
-    def told(answers: DataFrame, kind: int) -> DataFrame:
-        return answers.select("shard", F.lit(kind).alias("kind"), "bucket", "answer", F.lit(None).cast("array<long>").alias("totals"))
-
-    shard_names = words.select("shard").distinct()
-
-    def to_all(row: DataFrame, kind: int, *columns: str) -> DataFrame:
-        # one row next to every shard's number
-        return shard_names.join(F.broadcast(row.select(F.array(*columns).alias("totals")))).select(
-            "shard", F.lit(kind).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("answer"), "totals")
-
-    replies = told(words, 1).union(told(pairs, 2)).union(told(tables, 3)).union(to_all(vocabulary, 4, "v")).union(
-        to_all(sums, 5, *[f"s{i}" for i in range(2 * draws)]))
+    def share(table: pa.Table) -> pa.Table:
+        rows = _by_kind(table)
+        parts = rows["shard"][0][2]
+        keys, own, of_drawn = shards.unpacked_keys(parts[4]), unpacked(parts[5], bool), unpacked(parts[6], bool)
+        tables = np.zeros((len(keys), draws), np.uint32)
+        for d, (_, _, (drawn,)) in enumerate(rows["tables"]):
+            tables[own, d] = unpacked(drawn, np.uint32)[of_drawn]
+        return shards.runs(table["shard"][0].as_py(), count, keys, tables=tables)
+
+    def told_tables(keys, rows, arrays):
+        order, first, number = _grouped(keys)
+        return np.maximum.reduceat(arrays["tables"].reshape(-1, draws)[order], first, axis=0)[number]
+
+    shared_asked = shards.by_shard(fixed.union(kept_tables), count).applyInArrow(
+        shards.releasing(share), "bucket int, shard long, keys binary, tables binary")
+    shared = shards.answered(shared_asked, {"tables": np.uint32}, told_tables)
+
+    def reply(table: pa.Table) -> pa.Table:
+        rows = _by_kind(table)
+        parts = rows["bucket"][0][2]
+        keys, n = shards.unpacked_keys(parts[0]), unpacked(parts[1], np.uint64)
+        seats = np.concatenate([unpacked(x, np.uint32).reshape(-1, 3) for _, _, (x,) in rows["root"]], axis=1)
+        out = []
+        for bucket, shard, asked in rows["words"]:
+            at = np.searchsorted(keys, shards.unpacked_keys(asked[0]))
+            out.append(_row("answer", bucket, shard, shards.packed(n[at]), shards.packed(seats[at])))
+        return pa.concat_tables(out)
+
+    replies = buckets.union(kept_roots).union(started.filter("kind = 'words'")).groupBy("bucket").applyInArrow(
+        shards.releasing(reply), _ROW)
+    of_shared = shared.select(F.lit("shared").alias("kind"), "bucket", "shard", F.array("answer").alias("parts"),
+                              F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    replies = replies.union(of_shared).union(kept_tables).union(started.filter("kind = 'pairs'"))
     schema = T.StructType([*[f for f in source.schema.fields if f.name in carried],
                            *[T.StructField(c, T.LongType()) for c in new[:3]], *[T.StructField(c, T.DoubleType()) for c in new[3:]]])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table, kind = shards.opened(table), answers["kind"].to_numpy()
-        rows = {k: answers.take(np.flatnonzero(kind == k)) for k in range(1, 6)}
+        table, rows = shards.opened(table), _by_kind(answers)
         tokens = Tokens(table, Powers())
         tokens.find_pairs()
-        n = shards.answers_of(rows[1], np.uint64).astype(np.int64)
-        pair = shards.answers_of(rows[2], np.uint32).reshape(-1, draws + 2).astype(np.int64)
-        seat = shards.answers_of(rows[3], np.uint32).reshape(-1, 3 * draws).astype(np.int64)
-        vocabulary_size = rows[4]["totals"][0].as_py()[0]
-        totals = np.array(rows[5]["totals"][0].as_py())
+        n = np.concatenate([unpacked(p[0], np.uint64) for _, _, p in rows["answer"]]).astype(np.int64)
+        seats = np.concatenate([unpacked(p[1], np.uint32).reshape(-1, 3 * draws) for _, _, p in rows["answer"]])
+        total, flags = (unpacked(x, k) for x, k in zip(rows["pairs"][0][2], (np.uint32, np.uint8)))
+        several = total > 1
+        drawn, others = (flags & _SPEAKS > 0) & several, flags[(flags & _SHARED > 0) & several] & _SPEAKS == 0
+        elsewhere = np.flatnonzero((flags & _SHARED > 0) & several)[others]
+        told = np.concatenate([unpacked(p[0], np.uint32).reshape(-1, draws) for _, _, p in rows["shared"]]
+                              or [np.zeros((0, draws), np.uint32)])[others]
         probability = np.zeros(len(tokens.pairs))
         context, word = tokens.pair_context, tokens.pair_word
+        tables = np.minimum(total, 1)
         for d in range(draws):
-            customers, root_tables = totals[d], totals[draws + d]
-            root = (np.maximum(seat[:, draws + d] - ROOT_DISCOUNT * seat[:, 2 * draws + d], 0)
-                    + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (vocabulary_size + 1)) / (ROOT_STRENGTH + customers)
-            own = np.maximum(pair[:, 0] - PAIR_DISCOUNT * pair[:, 1 + d], 0)
-            probability += (own + (PAIR_STRENGTH + PAIR_DISCOUNT * seat[context, d]) * root[word]) / (PAIR_STRENGTH + n[context])
+            contexts, customers, root_tables = seats[:, 3 * d:3 * d + 3].T
+            root = root_probability(customers, root_tables, *totals[d], vocabulary_size)
+            tables[drawn], tables[elsewhere] = unpacked(rows["tables"][d][2][0], np.uint32), told[:, d]
+            own = np.maximum(total - PAIR_DISCOUNT * tables, 0)
+            probability += (own + (PAIR_STRENGTH + PAIR_DISCOUNT * contexts[context]) * root[word]) / (PAIR_STRENGTH + n[context])
         logs = np.log10(probability / draws)[tokens.pair]
         base = np.log10((n + 1.0) / (train + vocabulary_size + 1))[tokens.word]
         border = tokens.border[:-1]
@@ -286,6 +298,99 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
     return grouped.cogroup(shards.by_shard(replies, count)).applyInArrow(shards.releasing(finish), schema)
 
 
+# ---------------------------------------------------------------- sweeps
+
+
+class _Stored:
+    """Tables in the shared folder: a sweep's draws are made once."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "seating")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def _row(kind: str, bucket: int, shard: int, *parts: bytes, a: int = 0, b: int = 0) -> pa.Table:
+    return pa.table([pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([shard], pa.int64()),
+                     pa.array([list(parts)], pa.list_(pa.binary())), pa.array([a], pa.int64()), pa.array([b], pa.int64())], names=_NAMES)
+
+
+def _messages(kind: str, said: pa.Table) -> pa.Table:
+    """Runs of keys with their arrays, as rows of ``_ROW``."""
+    n = said.num_rows
+    parts = [list(x) for x in zip(*[said[c].to_pylist() for c in said.column_names[2:]])]
+    zeros = pa.array(np.zeros(n, np.int64))
+    return pa.table([pa.array([kind] * n, pa.string()), said["bucket"], said["shard"], pa.array(parts, pa.list_(pa.binary())),
+                     zeros, zeros], names=_NAMES)
+
+
+def _by_kind(table: pa.Table) -> dict[str, list]:
+    """(bucket, shard, parts) of each kind of row, in an order that does not depend on their arrival."""
+    table = table.sort_by([("bucket", "ascending"), ("shard", "ascending")])
+    rows = defaultdict(list)
+    for kind, *row in zip(*[table[c].to_pylist() for c in _NAMES[:4]]):
+        rows[kind].append(row)
+    return rows
+
+
+def _said(table: pa.Table, *kinds) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys and arrays of a bucket's messages, concatenated."""
+    parts = [row[2] for rows in _by_kind(table).values() for row in rows]
+    return (np.concatenate([shards.unpacked_keys(p[0]) for p in parts]),
+            [np.concatenate([unpacked(p[1 + i], k) for p in parts]) for i, k in enumerate(kinds)])
+
+
+def _seat_pairs(sweep: int, count: int, vocabulary_size: int, customers: int, root_tables: int, stirling: list):
+    """Draws the tables of the pairs that a shard speaks for; the first sweep gives each pair one."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = _by_kind(table)
+        shard, parts = rows["shard"][0][1:]
+        keys, (context, word, total) = shards.unpacked_keys(parts[0]), [unpacked(x, np.uint32) for x in parts[1:4]]
+        tables = np.ones(len(total), np.uint32)
+        if sweep and len(total):
+            own = unpacked(rows["tables"][0][2][0], np.uint32).astype(np.int64)
+            seats = np.concatenate([unpacked(p[0], np.uint32) for _, _, p in rows["answer"]]).reshape(-1, 3).astype(np.int64)
+            # the root without this pair's customers
+            others = seats[word, 1] - own
+            left = np.minimum(seats[word, 2], others)
+            parent = root_probability(others, left, customers - own, root_tables - seats[word, 2] + left, vocabulary_size)
+            rng = np.random.default_rng([sweep, shard])
+            tables = drawn_tables(total.astype(np.int64), parent, (seats[context, 0] - own).astype(float), PAIR_DISCOUNT,
+                                  PAIR_STRENGTH, np.array(stirling), rng, limit=True).astype(np.uint32)
+        contexts, words = (np.bincount(side, tables, len(keys)).astype(np.uint32) for side in (context, word))
+        said = shards.runs(shard, count, keys, contexts=contexts, words=words)
+        return pa.concat_tables([_messages("said", said), _row("tables", sweep, shard, shards.packed(tables))])
+
+    return run
+
+
+def _seat_words(sweep: int, vocabulary_size: int, root_tables: int, stirling: list):
+    """Adds up a bucket's tables per context and per word, draws the root's tables and answers the shards."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = _by_kind(table)
+        bucket, _, parts = rows["bucket"][0]
+        keys, (contexts, words) = shards.unpacked_keys(parts[0]), [unpacked(x, np.uint64).astype(np.int64) for x in parts[2:]]
+        places = [np.searchsorted(keys, shards.unpacked_keys(p[0])) for _, _, p in rows["said"]]
+        for at, (_, _, p) in zip(places, rows["said"]):
+            contexts[at] += unpacked(p[1], np.uint32)
+            words[at] += unpacked(p[2], np.uint32)
+        tables = np.minimum(words, 1)
+        if sweep:
+            own = unpacked(rows["root"][0][2][0], np.uint32).reshape(-1, 3)[:, 2]
+            rng = np.random.default_rng([sweep, bucket, 1])
+            tables = drawn_tables(words, np.full(len(keys), 1 / (vocabulary_size + 1)), (root_tables - own.astype(np.int64)).astype(float),
+                                  ROOT_DISCOUNT, ROOT_STRENGTH, np.array(stirling), rng, limit=True)
+        seats = np.column_stack([contexts, words, tables]).astype(np.uint32)
+        return pa.concat_tables([
+            _row("root", bucket, sweep, shards.packed(seats), a=int(words.sum()), b=int(tables.sum())),
+            *[_row("answer", bucket, shard, shards.packed(seats[at])) for at, (_, shard, _) in zip(places, rows["said"])]])
+
+    return run
+
+
 def schema_table(table: pa.Table, carried: list[str], whole: list, real: list) -> pa.Table:
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return pa.table({**{c: table[c] for c in carried},

@@ -118,3 +118,91 @@ def test_table_draws_follow_their_distribution():
     assert np.bincount(drawn, minlength=c + 1)[1:] / n == pytest.approx(weights / weights.sum(), abs=0.01)
     large = pitman_yor.drawn_tables(np.full(2000, 5000), np.full(2000, 0.01), np.full(2000, 10.0), discount, strength, logs, rng)
     assert 1 <= large.min() and large.max() <= 5000 and 1.5 < large.mean() < 60
+
+
+def gibbs(texts, sweeps, burn_in, rng):
+    """Mean predictive probabilities of a sampler that seats one customer after another: p(context, word)."""
+    d, s, d0, s0 = pitman_yor.PAIR_DISCOUNT, pitman_yor.PAIR_STRENGTH, pitman_yor.ROOT_DISCOUNT, pitman_yor.ROOT_STRENGTH
+    pairs = [p for t in texts for p in zip(["start", *tokens_of(t)], tokens_of(t))]
+    vocabulary = len({w for _, w in pairs})
+    seats, customers, opened, root = {}, Counter(), Counter(), {}
+    sums = Counter()
+
+    def base_p(w):
+        tables = sum(map(len, root.values()))
+        return (max(sum(root.get(w, [])) - d0 * len(root.get(w, [])), 0) + (s0 + d0 * tables) / (vocabulary + 1)) / (
+            s0 + sum(opened.values()))
+
+    def sit(tables, new):
+        at = rng.choices(range(len(tables) + 1), [*tables, new])[0]
+        return at
+
+    def add(u, w):
+        mine = seats.setdefault((u, w), [])
+        total = sum(len(x) for (a, _), x in seats.items() if a == u)
+        at = sit([c - d for c in mine], (s + d * total) * base_p(w))
+        if at < len(mine):
+            mine[at] += 1
+        else:
+            mine.append(1)
+            top = root.setdefault(w, [])
+            up = sit([c - d0 for c in top], (s0 + d0 * sum(map(len, root.values()))) / (vocabulary + 1))
+            if up < len(top):
+                top[up] += 1
+            else:
+                top.append(1)
+            opened[w] += 1
+        customers[u] += 1
+
+    def remove(u, w):
+        mine, top = seats[u, w], root[w]
+        at = rng.choices(range(len(mine)), mine)[0]
+        mine[at] -= 1
+        customers[u] -= 1
+        if not mine[at]:
+            del mine[at]
+            up = rng.choices(range(len(top)), top)[0]
+            top[up] -= 1
+            opened[w] -= 1
+            if not top[up]:
+                del top[up]
+
+    for u, w in pairs:
+        add(u, w)
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            remove(u, w)
+            add(u, w)
+        if sweep >= burn_in:
+            for u, w in set(pairs):
+                total = sum(len(x) for (a, _), x in seats.items() if a == u)
+                sums[u, w] += (max(sum(seats[u, w]) - d * len(seats[u, w]), 0) + (s + d * total) * base_p(w)) / (s + customers[u])
+    return {p: x / (sweeps - burn_in) for p, x in sums.items()}
+
+
+def test_copied_passage_as_a_sampler_of_single_customers(documents):
+    rows = [(i, "a b c d e") for i in range(12)] + [(1000 + i, f"a {w} c x{i}") for i, w in enumerate(["b", "e", "y", "b"])]
+    p = gibbs([t for _, t in rows], 500, 100, random.Random(4))
+    found = pitman_yor.score(documents(rows), F.lit(True), draws=16).collect()
+    for r in found:
+        pairs = zip(["start", *tokens_of(r.text)], tokens_of(r.text))
+        assert r.score == pytest.approx(sum(math.log10(p[x]) for x in pairs), abs=0.08 + 0.2 * r.text.count("x")), r.text
+
+
+def test_sweeps_see_the_tables_of_the_whole_restaurant(documents):
+    """A context always followed by the same word has about one table, however often it stands there."""
+    rows = [(i, "a b c d e f g h") for i in range(1, 3000)]
+    found = pitman_yor.score(documents(rows), F.col("doc_id") > 1, shard_bytes=4000).filter("doc_id = 1").first()
+    assert found.score > -0.02
+
+
+def test_table_draws_of_many_customers_follow_their_distribution():
+    rng, (c, discount, strength, most) = np.random.default_rng(2), (400, 0.85, 1.0, 400)
+    logs, short = pitman_yor.stirling_logs(discount, most), pitman_yor.stirling_logs(discount)
+    for parent, others in ((0.05, 0.0), (0.01, 200.0), (0.3, 40.0)):
+        weights = logs[c, 1:] + np.cumsum(np.log(parent * (strength + discount * (others + np.arange(c)))))
+        p = np.exp(weights - weights.max())
+        mean = (p * np.arange(1, c + 1)).sum() / p.sum()
+        drawn = pitman_yor.drawn_tables(np.full(3000, c), np.full(3000, parent), np.full(3000, others), discount, strength, short, rng,
+                                        limit=True)
+        assert drawn.mean() == pytest.approx(mean, rel=0.04)
