@@ -29,7 +29,7 @@ from huntframe.llm.text import SPACED, Powers, Words, byte_codes, chained, text_
 from huntframe.session import scratch_path
 
 BURN_IN = 5  # sweeps that are not averaged
-DRAWS = 3  # sweeps after these, which are
+DRAWS = 4  # sweeps after these, which are
 SHARD_BYTES = 12 << 20  # of text; larger shards send fewer of their words and pairs twice
 PAIR_DISCOUNT, PAIR_STRENGTH = 0.85, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
@@ -123,8 +123,7 @@ class Tokens:
         self.counts[start] = int(learns.sum())
 
     def find_pairs(self) -> None:
-        # 48 bits tell pairs apart: two of 2**40 pairs fall together in one of 256 cases, which a score hardly feels.
-        keys = chained(self.words[self.context], self.token) & ~np.uint64(0xFFFF)
+        keys = chained(self.words[self.context], self.token)
         order, first, self.pair = _grouped(keys)
         first = order[first]
         self.pairs = keys[first]

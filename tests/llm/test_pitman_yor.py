@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from huntframe.llm import pitman_yor
+from huntframe.llm.text import Powers
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -206,3 +208,10 @@ def test_table_draws_of_many_customers_follow_their_distribution():
         drawn = pitman_yor.drawn_tables(np.full(3000, c), np.full(3000, parent), np.full(3000, others), discount, strength, short, rng,
                                         limit=True)
         assert drawn.mean() == pytest.approx(mean, rel=0.04)
+
+
+def test_pairs_keep_all_bits_and_four_sweeps_are_averaged():
+    text = " ".join(f"w{i}" for i in range(300))
+    tokens = pitman_yor.Tokens(pa.table({"_text": [text], "_learn": [True]}), Powers())
+    tokens.find_pairs()
+    assert pitman_yor.DRAWS == 4 and len(tokens.pairs) == 301 and (tokens.pairs & np.uint64(0xFFFF)).any()
