@@ -71,10 +71,13 @@ def near_copy_marks(documents: DataFrame, text: str = "text", key: str = "doc_id
     return documents.select(key, text).mapInArrow(run, schema)
 
 
-def without_near_copies(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Drops each row that shares a mark with a row of a smaller key, for fitting: a passage that is copied
-    often says little. ``rows`` has ``marks``."""
-    marked = rows.select(key, F.posexplode("marks").alias("mark", "hash"))
-    first = marked.groupBy("mark", "hash").agg(F.min(key).alias("first"))
-    later = marked.join(first, ["mark", "hash"]).filter(F.col(key) > F.col("first")).select(key).distinct()
+def without_near_copies(rows: DataFrame, key: str = "doc_id", within: str | None = None, least: int = 4) -> DataFrame:
+    """Drops each row that shares at least ``least`` marks, of which it has six, with a row of a smaller key and the same
+    value of ``within``, for fitting: a passage that is copied often says little. ``rows`` has ``marks``."""
+    same = [] if within is None else [within]
+    marked = rows.select(key, *same, F.posexplode("marks").alias("mark", "hash"))
+    first = marked.groupBy(*same, "mark", "hash").agg(F.min(key).alias("first"))
+    # Rows of a group share marks with its smallest key, so each row is compared with at most one row per mark.
+    shared = marked.join(first, [*same, "mark", "hash"]).filter(F.col(key) > F.col("first"))
+    later = shared.groupBy(key, "first").agg(F.countDistinct("mark").alias("n")).filter(F.col("n") >= least).select(key).distinct()
     return rows.join(later, key, "left_anti")

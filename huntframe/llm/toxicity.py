@@ -24,7 +24,10 @@ from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained,
 SAMPLE_ROWS = 12_000  # labelled rows of each class
 SAMPLE_BYTES = 16 << 20  # bytes of their texts, per class
 COUNTED = 0.7  # of the sample; the rest fits the logistic curve
-LEAST_TEXTS = 8  # of each class, for the curve; with fewer every text gets the share of toxic rows
+LEAST_TEXTS = 8  # of each class, for the curve; with fewer it is fitted on parts of the sample in turn, or else given
+PARTS = 4  # of a small sample: each part is judged by models that have counted the others
+SMALL_DISCOUNT, SMALL_SPREAD = 1.0, 0.5  # where so few texts are counted: a word has to stand in two at least
+GIVEN = {"middle": [0.0] * 3, "scale": [0.05, 1.0, 1.0], "beta": [-1.0, 4.0, 0.0, 0.0]}  # for fewer: by the difference per word
 DISCOUNT = 2.0  # texts taken from every count of a class,
 SPREADS = (2.0, 3.0, 4.0)  # and so many standard deviations of a chance difference; the best of these is used
 START = np.uint64(1)  # stands before the first word of a text
@@ -63,10 +66,10 @@ def _counted(sample: DataFrame) -> DataFrame:
     return rows.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _excess(own, other, ratio, spread):
+def _excess(own, other, ratio, spread, discount=DISCOUNT):
     """What a class keeps of a count: the part that the other class's count does not explain."""
     expected = other * ratio
-    return F.greatest(own - expected - DISCOUNT - F.lit(spread) * F.sqrt(own + expected), F.lit(0.0))
+    return F.greatest(own - expected - discount - F.lit(spread) * F.sqrt(own + expected), F.lit(0.0))
 
 
 class KneserNey:
@@ -76,12 +79,12 @@ class KneserNey:
         self.words, self.contexts, self.pairs = words, contexts, pairs
 
     @staticmethod
-    def fit(counts: DataFrame, spread: float) -> KneserNey:
+    def fit(counts: DataFrame, spread: float, discount: float = DISCOUNT) -> KneserNey:
         alone = F.col("before") == ALONE
         total = counts.filter(alone).agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1))).first()
         size = [float(total[0] or 0) + 1, float(total[1] or 0) + 1]
-        keeps = [_excess(F.col("n0"), F.col("n1"), F.lit(size[0] / size[1]), spread).alias("own0"),
-                 _excess(F.col("n1"), F.col("n0"), F.lit(size[1] / size[0]), spread).alias("own1")]
+        keeps = [_excess(F.col("n0"), F.col("n1"), F.lit(size[0] / size[1]), spread, discount).alias("own0"),
+                 _excess(F.col("n1"), F.col("n0"), F.lit(size[1] / size[0]), spread, discount).alias("own1")]
         cut = counts.select("before", "word", "n0", "n1", *keeps)
         left = F.col("n0") - F.col("own0") + F.col("n1") - F.col("own1")
         shared = cut.filter(alone).agg(F.sum(left), F.sum("own0"), F.sum("own1")).first()
@@ -179,7 +182,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     Fitted on a sample of at most ``sample_rows`` rows and about ``sample_bytes`` bytes of each class.
     Rows of one doc_id vote for its label, a tie counts as toxic; null labels and ids are left out. The
     curve is weighted to the share of each class among all labelled rows. With fewer than LEAST_TEXTS different texts
-    of a class to fit it, every text gets the share of toxic rows, or 0 if there are none.
+    of a class to fit it, models of all texts are used, with a curve fitted on parts of the sample in turn, or a
+    given one if there are too few for that as well. Without both classes there is no model, and every text gets the
+    share of toxic rows, or 0 if there are none.
     """
     voted = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
@@ -189,7 +194,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     rate = share.get(1, 0) / max(1, sum(share.values()))
     if len(share) < 2:
         return {"rate": rate, "model": None}
-    different = without_near_copies(labelled).persist()
+    # A text is only left out for one of its own class: what both classes share says something about neither.
+    different = without_near_copies(labelled, within="toxic").persist()
     sizes = different.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")).collect()
     drawn = bounded_sample(different, "toxic", min(sample_rows, *[r.n for r in sizes]),
                            min(sample_bytes, *[max(1, r.total) for r in sizes]))
@@ -207,11 +213,29 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
             curve = _curve(_features(found["_total"], found["_n"]), y, weight)
             if curve["loss"] < best["loss"]:
                 best = {"rate": rate, "model": model, **curve}
+    if best["model"] is None:
+        best = _fit_small(sample, rate)
     for kept in (counts, sample, different, labelled):
         kept.unpersist()
     return best
 
 
+def _fit_small(sample: DataFrame, rate: float) -> dict:
+    """A model of all texts of a small sample."""
+    spark = sample.sparkSession
+    whole, x, y = KneserNey.fit(_counted(sample), SMALL_SPREAD, SMALL_DISCOUNT), [], []
+    for part in range(PARTS):
+        judged = (F.col("draw") * PARTS).cast("int") == part
+        model = KneserNey.fit(_counted(sample.filter(~judged)), SMALL_SPREAD, SMALL_DISCOUNT)
+        found = _numpy(_totals(sample.filter(judged).select("toxic", "text"), Shared(spark, model), "text").select("toxic", "_total", "_n"))
+        x.append(_features(found["_total"], found["_n"]))
+        y.append(found["toxic"].astype(float))
+    x, y = np.concatenate(x), np.concatenate(y)
+    if min(y.sum(), len(y) - y.sum()) < LEAST_TEXTS:
+        return {"rate": rate, "model": whole, **GIVEN}
+    return {"rate": rate, "model": whole, **_curve(x, y, np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean())), ridge=1.0)}
+
+
 def _totals(docs: DataFrame, model, text: str) -> DataFrame:
     """Adds the summed difference (``_total``) and the words (``_n``)."""
     schema = T.StructType([*docs.schema.fields, T.StructField("_total", T.DoubleType()), T.StructField("_n", T.LongType())])

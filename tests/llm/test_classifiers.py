@@ -98,3 +98,32 @@ def test_a_tie_of_votes_is_toxic(spark):
     docs, labels = labelled(spark, toxic_rows(3, 40))
     voted = labels.withColumn("toxic", F.lit(0)).union(labels.withColumn("toxic", F.lit(1)))
     assert toxicity.fit(docs, voted) == {"rate": 1.0, "model": None}
+
+
+def test_few_texts_of_a_class_still_make_a_model(spark):
+    for n in (16, 60):
+        rows = [(i, t, y) for i, (_, t, y) in enumerate([r for r in toxic_rows(5, 400) if r[2]][:n // 2]
+                                                        + [r for r in toxic_rows(5, 400) if not r[2]][:n // 2])]
+        fitted = toxicity.fit(*labelled(spark, rows))
+        assert fitted["model"] is not None
+        held_out = toxic_rows(6, 100)
+        found = {r.doc_id: r.score for r in toxicity.score(labelled(spark, held_out)[0], fitted).collect()}
+        toxic, plain = ([found[i] for i, _, y in held_out if y == k] for k in (1, 0))
+        above = sum((a > b) + 0.5 * (a == b) for a in toxic for b in plain) / len(toxic) / len(plain)
+        assert above > 0.85 and sum(s >= 0.7 for s in plain) < 0.1 * len(plain)
+        assert any(s >= 0.7 for s in toxic)
+
+
+def test_texts_with_one_common_passage_are_not_near_copies(spark):
+    passage = " ".join(f"s{j}" for j in range(20))
+    docs = spark.createDataFrame([(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(30)],
+                                 "doc_id long, text string")
+    assert sampling.without_near_copies(sampling.near_copy_marks(docs)).count() > 25
+
+
+def test_stage_keeps_documents_without_a_model(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = labelled(spark, toxic_rows(7, 30))
+    labels.withColumn("toxic", F.lit(1)).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 30
