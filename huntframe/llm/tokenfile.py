@@ -148,7 +148,7 @@ def word_encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
 
     def encode(texts: list[str]) -> list[bytes]:
         known.renew(KEPT_CHUNKS)
-        cut = [(t.lower() if parts_marks and t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        cut = [(t.lower() if parts_marks and t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
         different = set()
         for chunks in cut:
             different.update(chunks)

@@ -85,3 +85,9 @@ def test_chunks_encode_as_whole_texts(library):
     texts = ["Don't  STOP\n\nnow", " é́ \x1c a\tb", "<|endoftext|> x", "", " ", "ΑΣ ΑΣ\xa0ß", "a\n b"]
     encode = tokenfile.word_encoder(open(PATH, encoding="utf-8").read())
     assert [ids_of(i) for i in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_in_other_case_are_ordinary_text(library):
+    texts = ["One <|EndOfText|> Two", "a<|STARTOFTEXT|>B", "<|endoftext|> X", "Plain Words"]
+    encoded = tokenfile.word_encoder(open(PATH).read())(texts)
+    assert [ids_of(b) for b in encoded] == [library.encode(t, add_special_tokens=False).ids for t in texts]
