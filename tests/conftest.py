@@ -25,7 +25,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def folder():
     return "/root/testdata/sf0.001"
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans import plan_of
 from huntframe.operators.aggregates import (
     arg_max, arg_min, avg, count, dcount, distinct_items, listed_items, make_list, make_set, maximum, minimum,
     percentile, stdev, summarize, total, variance,

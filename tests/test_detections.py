@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans import plan_of
 from huntframe.functions import predicates as P
 from huntframe.operators.aggregates import dcount
 from huntframe.operators.stages import ANY, Capture, fires, where

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans import plan_of
 from huntframe.functions.predicates import eq
 from huntframe.operators.joins import KINDS, attach, followed_by, join, within_span
 

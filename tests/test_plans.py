@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import plan_of
+from plans import plan_of
 from huntframe.queries.catalog import QUERIES
 
 

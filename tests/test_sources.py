@@ -2,7 +2,7 @@ from datetime import datetime
 from types import SimpleNamespace
 
 import pytest
-from conftest import plan_of
+from plans import plan_of
 from pyspark.sql import functions as F
 
 from huntframe.session import scratch_path, shared_dir
