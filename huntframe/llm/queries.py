@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.llm import (
-    bpe, decontaminate, language, neighbours, pitman_yor, similarity, suffixes, tokencounts, tokenfile, toxicity,
+    bpe, decontaminate, language, neighbours, pitman_yor, secrets, similarity, suffixes, tokencounts, tokenfile,
+    toxicity,
 )
 from huntframe.session import scratch_path
 
@@ -114,3 +115,20 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
     scored = pitman_yor.score(documents.withColumn("held_out", held_out), ~held_out)
     return scored.drop("text")
+
+
+@_query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the spans of the patterns as a digest, and all spans."""
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def counted(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", counted("assign"), counted("access"), counted("hex"),
+                        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.col("secrets")).alias("spans"))
