@@ -8,6 +8,7 @@ The sum is kept in whole numbers, so a window's verdict does not depend on where
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,9 @@ from huntframe.llm.text import text_bytes, text_slices
 
 #: Kinds with a pattern, in the order in which they are listed; the characters of a match that must be there at least.
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+ACCESS_WORDS = (b"AKIA",)
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 
 #: Known strings that look like secrets, searched in a candidate with up to CONTEXT bytes before it.
@@ -75,15 +78,29 @@ def costs(window: int) -> np.ndarray:
 
 def _runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the longest runs of at least ``least`` members; runs end with their text."""
-    if not inside.any():
+    if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    borders = np.union1d(np.concatenate([[0], change, [len(inside)]]), offsets)
-    starts, ends = borders[:-1], borders[1:]
-    kept = inside[starts] & (ends - starts >= least)
+    fresh = np.empty(len(inside), bool)  # no member of the same text comes before
+    fresh[0], fresh[1:] = True, ~inside[:-1]
+    fresh[offsets[:-1][offsets[:-1] < len(inside)]] = True
+    over = np.empty(len(inside), bool)
+    over[-1], over[:-1] = True, fresh[1:] | ~inside[1:]
+    starts, ends = np.flatnonzero(inside & fresh), np.flatnonzero(inside & over) + 1
+    kept = ends - starts >= least
     return starts[kept], ends[kept]
 
 
+def _places(whole: bytes, words: Iterable[bytes]) -> list[int]:
+    """Where one of the words begins, in order."""
+    found = []
+    for word in words:
+        at = whole.find(word)
+        while at >= 0:
+            found.append(at)
+            at = whole.find(word, at + 1)
+    return sorted(found)
+
+
 def suspect_windows(codes: np.ndarray, run: np.ndarray, window: int, most: int) -> np.ndarray:
     """Which positions end a window of small cost; ``run`` numbers the candidates, in order.
 
@@ -179,21 +196,25 @@ class Scanner:
         whole = data.tobytes()
         found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(array))]
         borders = offsets.tolist()
-        for i, (low, high) in enumerate(zip(borders, borders[1:])):
-            for m in ASSIGN.finditer(whole, low, high):
-                if m.end(1) - m.start(1) >= ASSIGN_LEAST:
-                    found[i].append((m.start(), 0, m.end()))
-            for m in ACCESS.finditer(whole, low, high):
-                if m.end() - m.start() >= ACCESS_LEAST:
-                    found[i].append((m.start(), 1, m.end()))
+        for kind, pattern, group, least, places in (
+                (0, ASSIGN, 1, ASSIGN_LEAST, _places(whole.lower(), ASSIGN_WORDS)),
+                (1, ACCESS, 0, ACCESS_LEAST, _places(whole, ACCESS_WORDS))):
+            over = 0
+            for at in places:
+                i = bisect_right(borders, at) - 1
+                m = pattern.match(whole, at, borders[i + 1]) if at >= over else None
+                if m:
+                    over = m.end()
+                    if m.end(group) - m.start(group) >= least:
+                        found[i].append((at, kind, over))
         for s, e in zip(*(x.tolist() for x in _runs(self.hex[data], offsets, HEX_LEAST))):
-            found[int(np.searchsorted(offsets, s, "right")) - 1].append((s, 2, e))
+            found[bisect_right(borders, s) - 1].append((s, 2, e))
         base = [list(f) for f in found]
         for number, (kind, member) in enumerate(zip(self.classes, self.member)):
             starts, ends = _runs(member[data], offsets, kind.window)
             allowed: dict[int, bool] = {}
             for c, s, e in _joined(_suspects(data, starts, ends, kind)):
-                i = int(np.searchsorted(offsets, s, "right")) - 1
+                i = bisect_right(borders, s) - 1
                 if c not in allowed:
                     allowed[c] = self._suppressed(whole, borders[i], int(starts[c]), int(ends[c]))
                 if not allowed[c] and not any(b <= s and e <= f for b, _, f in base[i]):

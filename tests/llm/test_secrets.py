@@ -114,8 +114,12 @@ def test_odd_rows_and_columns(spark, documents, odd_rows):
         secrets.scan(documents([]), classes=[secrets.CharacterClass("hex", b"ab", 2, 1.0)])
 
 
-def test_query(spark, folder, plain_rows):
-    got = {r.doc_id: r.asDict() for r in queries.op11_secrets(spark, folder).collect()}
+def test_query(spark, folder, plain_rows, tmp_path):
+    extra = [(i, t, "en", "s", 0) for i, t in enumerate([*random_texts(40, 8), None, ""], 100_000)]
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    documents.union(spark.createDataFrame(extra, documents.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    plain_rows = plain_rows + [(i, t) for i, t, *_ in extra]
+    got = {r.doc_id: r.asDict() for r in queries.op11_secrets(spark, str(tmp_path)).collect()}
     kinds = ["assign", "access", "hex", *[c.kind for c in secrets.CLASSES]]
     assert len(got) == len(plain_rows)
     for doc_id, text in plain_rows:
@@ -126,4 +130,4 @@ def test_query(spark, folder, plain_rows):
             "doc_id": doc_id, **{f"n_{name}": sum(k == i for _, k, _ in base) for i, name in enumerate(kinds[:3])},
             "base_sha256": hashlib.sha256(joined.encode()).hexdigest(),
             "spans": ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)}
-    assert any(r["n_assign"] or r["n_hex"] or r["n_access"] for r in got.values())
+    assert any(r["n_assign"] and r["n_hex"] for r in got.values()) and any(r["n_access"] for r in got.values())
