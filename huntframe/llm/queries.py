@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.llm import (
-    bpe, decontaminate, language, neighbours, pitman_yor, secrets, similarity, suffixes, tokencounts, tokenfile,
-    toxicity,
+    bpe, conversations, decontaminate, language, neighbours, pitman_yor, secrets, similarity, suffixes, tokencounts,
+    tokenfile, toxicity,
 )
 from huntframe.session import scratch_path
 
@@ -132,3 +132,12 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", counted("assign"), counted("access"), counted("hex"),
                         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
                         listed(F.col("secrets")).alias("spans"))
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, after some damage."""
+    damaged = conversations.damage(_table(spark, sf_dir, "conversations"))
+    found = conversations.repair(damaged, copies="copies", texts=False)
+    return found.filter("last").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                                       "repaired_sha256")
