@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from huntframe.llm import (
     bpe, conversations, decontaminate, language, neighbours, pitman_yor, secrets, similarity, suffixes, tokencounts,
-    tokenfile, toxicity,
+    tokenfile, toxicity, whitening,
 )
 from huntframe.session import scratch_path
 
@@ -141,3 +141,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversations.repair(damaged, copies="copies", texts=False)
     return found.filter("last").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
                                        "repaired_sha256")
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading principal directions of all, at unit variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
