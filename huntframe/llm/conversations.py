@@ -418,8 +418,8 @@ def repair(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     rows = rows.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
     name = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit(""))
     rows = rows.select("conv", "turn", "role", F.left("text", F.lit(32)).alias("head"),
-                       F.unhex(F.sha2(F.concat_ws(":", F.length(name), name, F.length("role"), "role", "text").cast("binary"), 256)).alias("mark"),
-                       "text", "copies")
+                       F.coalesce(F.unhex(F.sha2(F.concat_ws(":", F.length(name), name, F.length("role"), "role", "text").cast(
+                           "binary"), 256)), F.lit(b"")).alias("mark"), "text", "copies")
     # which rows have their role and text in an earlier turn: told by notes that are sorted to stand before them
     slim = rows.filter(there).select("conv", "turn", "role", "head", "mark")
     when = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
