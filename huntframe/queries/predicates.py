@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from huntframe.functions import predicates as P
 from huntframe.operators.stages import where
+from huntframe.session import scratch_path
+from huntframe.sources.term_index import rows_with_all, rows_with_any, write_term_index
 from huntframe.queries.registry import Tables, query
 
 # ``tag`` is missing for some rows, so every operator meets null.
@@ -106,3 +108,37 @@ for _name, (_test, _condition) in _ON_DOCUMENTS.items():
     _register_document_filter(_name, _test, _condition)
 for _name, (_test, _condition) in _ON_EVENTS.items():
     _register_event_filter(_name, _test, _condition)
+
+
+# --- whole terms by a stored index -------------------------------------------------------------
+
+def _indexed(t: Tables, pick, terms):
+    path = scratch_path(t.spark, "term-index")
+    documents = t.documents.select("doc_id", "text")
+    write_term_index(documents, "doc_id", "text", path, bands=32)
+    return pick(documents, "doc_id", "text", path, terms).select("doc_id")
+
+
+# Terms from a table: a word of some items, two neighbouring words of the others.
+_WORDS = "string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ')"
+_TERM_TABLE = f"""(SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN w[3] ELSE concat(w[1], ' ', w[2]) END AS term
+    FROM (SELECT item_id, {_WORDS} AS w FROM benchmark))"""
+
+
+@query("F23_has_any_indexed", f"""SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM {_TERM_TABLE}
+    WHERE term <> '' AND regexp_matches(lower(text), concat('(^|[^a-z0-9_])', term, '($|[^a-z0-9_])')))""")
+def _(t: Tables):
+    w = F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " ")
+    terms = t.benchmark.select(F.when(F.col("item_id") % 2 == 0, F.get(w, F.lit(2))).otherwise(
+        F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))).alias("term"))
+    return _indexed(t, rows_with_any, terms)
+
+
+@query("F24_has_all_indexed", f"SELECT doc_id FROM documents WHERE {_term('the')} AND {_term('of')} AND {_term('is')}")
+def _(t: Tables):
+    return _indexed(t, rows_with_all, t.spark.createDataFrame([("the",), ("OF",), ("is",)], "term string"))
+
+
+@query("F21_has_indexed", f"SELECT doc_id FROM documents WHERE {_term('that')}")
+def _(t: Tables):
+    return _indexed(t, rows_with_any, t.spark.createDataFrame([("THAT",)], "term string"))
