@@ -35,7 +35,7 @@ def write_term_index(df: DataFrame, key: str, text: str, path: str, bands: int =
     placed = entries.repartitionByRange(bands, "term", "key").withColumn("band", F.spark_partition_id())
     placed.sortWithinPartitions("band", "term").write.mode("overwrite").partitionBy("band").parquet(f"{path}/terms")
     stored = df.sparkSession.read.schema(f"term string, key {df.schema[key].dataType.simpleString()}, band int").parquet(f"{path}/terms")
-    stored.groupBy("band").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1).write.mode(
+    stored.groupBy("band").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.min("key").alias("key")).coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/bands")
 
 
@@ -57,7 +57,9 @@ def look_up(spark: SparkSession, path: str, probes: DataFrame, salts: int = 0) -
     hit = F.filter("_ranges", lambda r: (r["first"] <= F.col("term")) & (F.col("term") <= r["last"]))
     touched = probes.select("term", ranges.alias("_ranges")).select(F.explode(F.transform(hit, lambda r: r["band"])).alias("band")).distinct()
     bands = sorted(r.band for r in touched.collect())  # MOST_BANDS numbers at most
-    entries = spark.read.parquet(f"{path}/terms").filter(F.col("band").isin(bands)).drop("band")
+    kind = known.schema["key"].dataType.simpleString()  # also known where there are no terms
+    stored = spark.read.schema(f"term string, key {kind}, band int").parquet(f"{path}/terms")
+    entries = stored.filter(F.col("band").isin(bands)).drop("band")
     return join(entries, probes, "term", "inner", salts=salts)
 
 
