@@ -1,0 +1,148 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from huntframe.operators.sequences import Step, scan_steps, serialize, with_previous
+from huntframe.operators.windows import mark_sessions, sliding
+
+START = datetime(2024, 1, 1)
+SCHEMA = "id int, who string, at timestamp_ntz, kind string, x double"
+
+
+def _rows(rng, n, people=4, spread=4000):
+    return [(i, rng.choice([*"abcd"[:people], None]), None if rng.random() < 0.03 else START + timedelta(seconds=rng.randint(0, spread)),
+             rng.choice("pqrs"), rng.choice([None, 1.0, 2.0, 3.0])) for i in range(n)]
+
+
+def _table(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def _chains(rows, kinds, within):
+    """The latest begin of a sequence that each row ends, by trying all earlier rows."""
+    best = [{} for _ in kinds]
+    for k, kind in enumerate(kinds):
+        for i, who, at, own, _ in rows:
+            if own != kind or who is None or at is None:
+                continue
+            if k == 0:
+                best[0][i] = at
+            else:
+                begins = [best[k - 1][j] for j, w, t, _, _ in rows if j in best[k - 1] and w == who and t < at]
+                if begins:
+                    best[k][i] = max(begins)
+    times = {r[0]: r[2] for r in rows}
+    return {i: s for i, s in best[-1].items() if times[i] - s <= within}
+
+
+@pytest.mark.parametrize("kinds, seconds", [("pq", 100), ("pqr", 640), ("pqrs", 1000), ("pp", 77), ("ppp", 300), ("pqpq", 5000), ("pqr", 1)])
+def test_steps_against_all_rows(spark, kinds, seconds):
+    rows = _rows(random.Random(len(kinds) * seconds), 300)
+    found = scan_steps(_table(spark, rows), ["who"], "at", [F.col("kind") == k for k in kinds], f"PT{seconds}S")
+    assert found.columns == ["id", "who", "at", "kind", "x", "started"]
+    assert {r.id: r.started for r in found.collect()} == _chains(rows, kinds, timedelta(seconds=seconds))
+
+
+def test_steps_of_linked_entities_and_windows_of_microseconds(spark):
+    rows = [(1, "a", START, "p", 1.0), (2, "b", START + timedelta(microseconds=3), "q", 1.0), (3, "b", START + timedelta(microseconds=3), "p", 1.0)]
+    steps = [Step(F.col("kind") == "p", ["who"]), Step(F.col("kind") == "q", [F.lit("a")])]
+    table = spark.createDataFrame(rows, SCHEMA)
+    for text, n in (("PT1S", 1),):
+        assert len(scan_steps(table, ["who"], "at", steps, text).collect()) == n
+    assert scan_steps(table, ["who"], "at", steps, timedelta(microseconds=2)).collect() == []
+    assert [r.id for r in scan_steps(table, ["who"], "at", steps, timedelta(microseconds=3)).collect()] == [2]
+    assert scan_steps(table.limit(0), ["who"], "at", steps, "P1D").collect() == []
+    with pytest.raises(ValueError):
+        scan_steps(table, ["who"], "at", steps[:1], "P1D")
+    with pytest.raises(ValueError):
+        scan_steps(table, ["who"], "at", [steps[0], Step(F.lit(True), [])], "P1D")
+
+
+def _largest_task(df):
+    """Rows of the fullest partition of the windows' input, with a partition for every part of a key."""
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_a_busy_entity_lies_in_many_tasks(spark):
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    plain = {k: spark.conf.get(k) for k in settings}
+    n = 40_000
+    busy = spark.range(n).select(
+        F.col("id").cast("int"), F.when(F.col("id") % 3 > 0, "busy").otherwise(F.concat(F.lit("u"), (F.col("id") % 97).cast("string"))).alias("who"),
+        F.timestamp_seconds(1704067200 + F.col("id") * 2).alias("at"), F.element_at(F.array(*[F.lit(k) for k in "pqr"]), (F.col("id") * 7 % 3 + 1).cast("int")).alias("kind"))
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        steps = [F.col("kind").isin("p", "q"), F.col("kind").isin("q", "r"), F.col("kind") != "p"]
+        assert _largest_task(scan_steps(busy, ["who"], "at", steps, "PT1H")) < n / 4
+        assert _largest_task(mark_sessions(busy, ["who"], "at", "PT30M")) < n / 4
+        assert _largest_task(with_previous(busy, ["who"], "at", "PT30M", {"k": "kind"})) < n / 4
+        sessions = mark_sessions(busy, ["who"], "at", "PT30M").groupBy("who", "session_start").count().collect()
+        assert max(s["count"] for s in sessions) > n / 2
+        # one row per pane and group reaches the windows, however many events a pane has
+        assert sliding(busy, ["who"], "at", "PT1H", "PT6H", n="count", kinds=("dcount", "kind")).agg(F.sum("n")).first()[0] == 6 * n
+    finally:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+
+
+def test_numbers_and_previous_rows(spark):
+    rows = _rows(random.Random(9), 200)
+    table = _table(spark, rows)
+    first = datetime(1900, 1, 1)
+    along = sorted(rows, key=lambda r: (r[2] is not None, r[2] or first, r[0]))
+    numbered = serialize(table, ["at", "id"], F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(0)))
+    assert {r.id: r.row_number for r in numbered.collect()} == {r[0]: i + 1 for i, r in enumerate(along)}
+    in_groups = serialize(table, ["at", "id"], F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(0)), by=["who"], number="n")
+    seen, want, before = {}, {}, {}
+    for r in along:
+        seen[r[1]] = seen.get(r[1], 0) + 1
+        want[r[0]] = seen[r[1]]
+        before[r[0]] = seen.get((r[1], "x"))
+        seen[(r[1], "x")] = (r[4], r[3])
+    assert {r.id: r.n for r in in_groups.collect()} == want
+    found = with_previous(table, ["who"], "at", "PT2M", {"was": "x", "kind_before": "kind"}, ["id"])
+    assert {r.id: None if r.was is None and r.kind_before is None else (r.was, r.kind_before) for r in found.collect()} == before
+    assert serialize(table.limit(0), ["at"], F.lit(0)).collect() == []
+
+
+@pytest.mark.parametrize("gap, every", [(30, 30), (30, 7), (30, 1000), (200, 50)])
+def test_sessions(spark, gap, every):
+    rows = _rows(random.Random(gap + every), 250)
+    marked = mark_sessions(_table(spark, rows), ["who"], "at", f"PT{gap}S", f"PT{every}S")
+    want, last, opened = {}, {}, {}
+    for i, who, at, _, _ in sorted(rows, key=lambda r: r[2] or START):
+        if at is None:
+            want[i] = None
+            continue
+        if who not in last or at - last[who] > timedelta(seconds=gap):
+            opened[who] = at
+        last[who] = at
+        want[i] = opened[who]
+    assert {r.id: r.session_start for r in marked.collect()} == want
+    assert marked.columns == ["id", "who", "at", "kind", "x", "session_start"]
+
+
+@pytest.mark.parametrize("span", [60, 300])
+def test_sliding(spark, span):
+    rows = _rows(random.Random(span), 200)
+    got = sliding(_table(spark, rows), ["who"], "at", "PT1M", f"PT{span}S", n="count", there=("count", "x"), kinds=("dcount", "kind"),
+                  different=("dcount", "x"), total=("sum", "x"), low=("min", "x"), high=("max", "x"), mean=("avg", "x"))
+    assert got.columns == ["who", "at", "n", "there", "kinds", "different", "total", "low", "high", "mean"]
+    held = {}
+    for _, who, at, kind, x in rows:
+        if at is not None:
+            pane = at.replace(second=0)
+            for k in range(span // 60):
+                held.setdefault((who, pane - timedelta(minutes=k)), []).append((kind, x))
+    want = {}
+    for place, values in held.items():
+        xs = [x for _, x in values if x is not None]
+        want[place] = (len(values), len(xs), len({k for k, _ in values}), len(set(xs)), *((sum(xs), min(xs), max(xs), sum(xs) / len(xs)) if xs else (None,) * 4))
+    assert {(r.who, r.at): tuple(r)[2:] for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        sliding(_table(spark, rows), ["who"], "at", "PT7S", "PT60S", n="count")
+    with pytest.raises(ValueError):
+        sliding(_table(spark, rows), ["who"], "at", "PT1M", "PT2M", n=("median", "x"))
