@@ -8,6 +8,7 @@ from huntframe.plans import corpus as C
 from huntframe.plans import evaluation as E
 from huntframe.plans import retrieval as R
 from huntframe.plans.conformance import conform, conformance_report, field_reference
+from huntframe.session import scratch_path
 from huntframe.queries.registry import RULES_SQL, Tables, joined, query, rounded, rules
 from huntframe.sources.schemas import event_schema
 
@@ -360,7 +361,7 @@ _RETRIEVAL = f"""WITH dt AS ({_terms_sql('documents', 'doc_id')}), qt AS ({_term
 @query("B17_tfidf_search", _RETRIEVAL + """ SELECT item_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *,
     row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 3""")
 def _(t: Tables):
-    index = R.build_index(t.documents, "doc_id", "text", STOP_WORDS)
+    index = R.build_index(t.documents, "doc_id", "text", STOP_WORDS, path=scratch_path(t.spark, "tfidf"))
     found = R.search(index, t.benchmark, "item_id", "text", 3)
     return rounded(found.withColumn("rank", F.col("rank").cast("long")), 6, "score")
 
