@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntframe.functions.predicates import Field, col_of, text
-from huntframe.operators.skew import rank_within
+from huntframe.operators.skew import rank_within, salted_join
 
 # Fixed value: names of normalized event tables as they occur in rule text.
 NORMALIZED_TABLE = r"\b(im[A-Z]\w*|_Im_\w*|ASim\w*)\b"
@@ -255,6 +255,44 @@ def closest_names(df: DataFrame, field: str, names: list[str]) -> DataFrame:
     return df.select(field).distinct().withColumn("closest", closest_name(field, names))
 
 
+def _with_deletions(word: Column, most: int) -> Column:
+    """A word and all that is left of it when up to ``most`` of its characters are taken out."""
+    def shorter(words: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
+            F.filter(F.sequence(F.lit(0), F.length(w)), lambda i: i > 0),
+            lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w)))))))
+
+    found = F.array(word)
+    whole = found
+    for _ in range(most):
+        found = shorter(found)
+        whole = F.concat(whole, found)
+    return F.array_distinct(whole)
+
+
+def closest_within(df: DataFrame, field: str, names: DataFrame, name: str, most: int = 2, salts: int = 0) -> DataFrame:
+    """Each distinct value with the name of a table at the smallest edit distance of up to ``most``, case ignored, and that
+    distance (``closest``, ``distance``); of equally near names the first in alphabetical order. Nulls where there is none.
+
+    Two words at most ``most`` edits apart agree in something that is left of both after up to ``most`` deletions. Values
+    and names meet by equality of that, so only near pairs are compared, however long the table of names is. A word of n
+    letters has about n^most / most! such rests: meant for names, not for texts.
+    """
+    if not 0 <= most <= 3:
+        raise ValueError("a distance from 0 to 3")
+    # Names that differ in case only are one word, called by the first of them.
+    words = names.filter(F.col(name).isNotNull()).groupBy(F.lower(F.col(name).cast("string")).alias("_word")).agg(F.min(name).alias("_name"))
+    words = words.withColumn("_rest", F.explode(_with_deletions(F.col("_word"), most)))
+    values = df.select(F.col(field).alias("_value")).distinct()
+    asked = values.filter(F.col("_value").isNotNull()).withColumn("_asked", F.lower(F.col("_value").cast("string")))
+    asked = asked.withColumn("_rest", F.explode(_with_deletions(F.col("_asked"), most)))
+    met = salted_join(asked, words, ["_rest"], "inner", salts) if salts else asked.join(words, "_rest")
+    far = F.levenshtein("_asked", "_word", most)  # -1 beyond
+    near = met.withColumn("_d", far).filter("_d >= 0").groupBy("_value").agg(F.min(F.struct("_d", "_name")).alias("_best"))
+    return values.join(near, "_value", "left").select(
+        F.col("_value").alias(field), F.col("_best._name").alias("closest"), F.col("_best._d").cast("long").alias("distance"))
+
+
 def is_ungrounded(value: Field, description: Field) -> Column:
     """Whether a literal of a rule is found nowhere in its description.
 

@@ -154,6 +154,57 @@ def bootstrap_ci(df: DataFrame, value: Column, replicates: int = 10_000, ci: flo
     return merge_by_key([point, bounds], [])
 
 
+_PRIME = (1 << 31) - 1  # draws are numbers below it
+
+
+def _poisson_steps(most: int = 14) -> list[int]:
+    """From which draw on a Poisson number of mean 1 is at least 1, 2, ..."""
+    share, total, steps = math.exp(-1), 0.0, []
+    for k in range(most):
+        total += share
+        share /= k + 1
+        steps.append(math.floor(total * _PRIME))
+    return [s for s in steps if s < _PRIME]
+
+
+def poisson_weight(key: str, replicate: str, seed: int = 42) -> str:
+    """How often a resample holds a row: a Poisson number of mean 1, from a hash of a whole-number key and the replicate.
+
+    An expression that Spark and other SQL engines read alike; products stay below 2^63.
+    """
+    p = _PRIME
+    mixed = f"((({key} % {p} + {p}) % {p}) * 48271 + {replicate} * 1103515245 + {seed}) % {p}"
+    # squares of sums spread the bits; each step is used once
+    for factor in (16807, 69621):
+        mixed = f"(({mixed}) * {factor} + ((({mixed}) % 46341) * (({mixed}) % 46337)) + {replicate}) % {p}"
+    return mixed
+
+
+def weight_of_draw(draw: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN {draw} >= {s} THEN 1 ELSE 0 END" for s in _poisson_steps()) + ")"
+
+
+def bootstrap_by(df: DataFrame, by: list[str], value: str, key: str, replicates: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+    """Mean of a value per group with its percentile bootstrap interval, all groups in one pass over the rows.
+
+    In each resample a row counts as often as a Poisson number of mean 1 says that a hash of its ``key`` (a whole number
+    that names the row) and the resample give: the same on every run and in every task. Sums per group and resample are
+    made on the map side, so a group may hold most of the rows. Rows without a value or key take no part; resamples
+    without a row of a group do not count for it.
+    """
+    rows = df.select(*by, F.col(value).try_cast("double").alias("_v"), F.col(key).cast("long").alias("_k"))
+    rows = rows.filter("_v is not null and not isnan(_v) and _k is not null")
+    drawn = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<long>")))
+    drawn = drawn.withColumn("_u", F.expr(poisson_weight("_k", "_r", seed))).withColumn("_w", F.expr(weight_of_draw("_u")))
+    sums = drawn.groupBy(*by, "_r").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_v")).alias("_s"))
+    tail = (1 - ci) / 2
+    mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
+    # as many means as resamples per group: small enough for Spark's own exact percentile
+    bounds = sums.groupBy(*by).agg(F.percentile(mean, tail).alias("low"), F.percentile(mean, 1 - tail).alias("high"))
+    point = rows.groupBy(*by).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
+    return merge_by_key([point, bounds], list(by)).select(*by, "n", "mean", "low", "high")
+
+
 def scorecard(df: DataFrame, by: str, completed: Field, fire_ok: Field, nofire_ok: Field) -> DataFrame:
     """Completion, fire and no-fire shares per template; a share of no case is null."""
     fire, nofire = col_of(fire_ok), col_of(nofire_ok)

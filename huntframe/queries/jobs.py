@@ -369,3 +369,31 @@ def _(t: Tables):
 @query("B17_tfidf_vocabulary", _RETRIEVAL + " SELECT term, round(idf, 9) AS idf FROM vocab")
 def _(t: Tables):
     return rounded(R.build_index(t.documents, "doc_id", "text", STOP_WORDS).vocabulary, 9, "idf")
+
+
+# --- near names and intervals by group -----------------------------------------------------------
+
+# Values that are names with a letter left out, doubled or replaced, and names as they are.
+_VALUE_OF_NAME = """CASE p_partkey % 4 WHEN 0 THEN concat(substr(p_name, 1, 3), substr(p_name, 5)) WHEN 1 THEN concat(upper(p_name), 'xx')
+    WHEN 2 THEN concat('q', p_name, 'zz') ELSE p_name END"""
+
+
+@query("B21_closest_within", f"""SELECT v, arg_min(name, (d, name)) FILTER (d IS NOT NULL) AS closest, min(d) AS distance FROM (SELECT v, name, CASE WHEN d <= 2 THEN d END AS d
+    FROM (SELECT v, name, levenshtein(lower(v), lower(name)) AS d FROM (SELECT DISTINCT {_VALUE_OF_NAME} AS v FROM part),
+        (SELECT DISTINCT p_name AS name FROM part))) GROUP BY v""")
+def _(t: Tables):
+    values = t.part.selectExpr(f"{_VALUE_OF_NAME} AS v")
+    return C.closest_within(values, "v", t.part.select("p_name").distinct(), "p_name", 2)
+
+
+_DRAWS = 200
+
+
+@query("B11_bootstrap_by_group", f"""SELECT source, count(DISTINCT doc_id) AS n, round(any_value(mean), 6) AS mean, round(any_value(low), 6) AS low,
+    round(any_value(high), 6) AS high FROM documents JOIN (SELECT source, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (
+        SELECT source, r, sum(w * n_chars) / nullif(sum(w), 0) AS m FROM (SELECT *, {E.weight_of_draw('u')} AS w FROM (
+            SELECT source, n_chars, r, {E.poisson_weight('doc_id', 'r')} AS u FROM documents, (SELECT unnest(range({_DRAWS})) AS r)))
+        GROUP BY source, r) GROUP BY source) USING (source) JOIN (SELECT source, avg(n_chars) AS mean FROM documents GROUP BY source) USING (source)
+    GROUP BY source""")
+def _(t: Tables):
+    return rounded(E.bootstrap_by(t.documents, ["source"], "n_chars", "doc_id", _DRAWS), 6, "mean", "low", "high")

@@ -282,3 +282,60 @@ def test_conformance(spark):
     rows = spark.createDataFrame([("common.md", "T"), ("web.md", "Url"), ("net.md", "Port")], "document string, field string")
     got = {r.event_type: r.fields for r in field_reference(rows, {"Web": "web.md", "Net": "net.md"}, "common.md", {"Web": "Net"}).collect()}
     assert got == {"Web": ["Port", "T", "Url"], "Net": ["Port", "T"]}
+
+
+def test_closest_within_against_all_names(spark):
+    import random
+
+    rng = random.Random(3)
+    names = {"".join(rng.choices("abC", k=rng.randint(0, 6))) for _ in range(60)}
+    values = ["".join(rng.choices("Abcd", k=rng.randint(0, 7))) for _ in range(80)] + [None, ""]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for most in (0, 1, 2, 3):
+        got = C.closest_within(spark.createDataFrame([(v,) for v in values], "v string"), "v",
+                               spark.createDataFrame([(n,) for n in names] + [(None,)], "n string"), "n", most)
+        firsts = {}
+        for n in names:
+            firsts[n.lower()] = min(n, firsts.get(n.lower(), n))
+        want = {}
+        for v in set(values):
+            near = sorted((d, n) for w, n in firsts.items() if v is not None and (d := distance(v.lower(), w)) <= most)
+            want[v] = near[0][::-1] if near else (None, None)
+        assert {r.v: (r.closest, r.distance) for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        C.closest_within(got, "v", got, "v", 4)
+
+
+def test_a_hundred_thousand_names(spark):
+    names = spark.range(100_000).select(F.concat(F.lit("h"), F.lpad(F.conv(F.col("id") * 7919, 10, 36), 7, "0")).alias("n"))
+    asked = names.sample(0.001, 1).select(F.concat(F.col("n"), F.lit("x")).alias("v"))
+    got = C.closest_within(asked, "v", names, "n", 1).collect()
+    assert got and all(r.distance <= 1 for r in got) and sum(r.v == r.closest + "x" for r in got) > len(got) / 2
+
+
+def test_bootstrap_by_group(spark):
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, "most").otherwise("rest").alias("g"), (F.col("id") * 7919 % 1013).cast("double").alias("x"))
+    df = df.unionByName(spark.createDataFrame([(1, "rest", None), (None, "rest", 5.0), (7, "one", 2.0)], "id long, g string, x double"))
+    got = {r.g: r for r in E.bootstrap_by(df, ["g"], "x", "id", 300).collect()}
+    for g in ("most", "rest"):
+        rows = [r.x for r in df.filter((F.col("g") == g) & F.col("x").isNotNull() & F.col("id").isNotNull()).collect()]
+        mean = sum(rows) / len(rows)
+        half = 1.96 * (sum((x - mean) ** 2 for x in rows) / len(rows) / len(rows)) ** 0.5
+        assert got[g].n == len(rows) and got[g].mean == pytest.approx(mean)
+        assert mean - got[g].low == pytest.approx(half, rel=0.2) and got[g].high - mean == pytest.approx(half, rel=0.2)
+    assert tuple(got["one"]) == ("one", 1, 2.0, 2.0, 2.0)
+    # weights are Poisson numbers of mean 1, and those of two resamples have nothing to do with each other
+    weights = spark.range(2000).crossJoin(spark.range(20).withColumnRenamed("id", "r")).select(
+        "id", "r", F.expr(E.weight_of_draw("(" + E.poisson_weight("id", "r") + ")")).alias("w"))
+    moments = weights.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.avg((F.col("w") == 0).cast("int")).alias("z")).first()
+    assert moments.m == pytest.approx(1, abs=0.03) and moments.v == pytest.approx(1, abs=0.05) and moments.z == pytest.approx(math.exp(-1), abs=0.02)
+    table = weights.groupBy("id").pivot("r").agg(F.first("w"))
+    assert max(abs(table.stat.corr(str(a), str(b))) for a in (0, 3) for b in (1, 2, 7, 19)) < 0.09
