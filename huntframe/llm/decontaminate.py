@@ -156,11 +156,11 @@ def benchmark_words(benchmark: DataFrame, item: str = "item_id", text: str = "te
 def benchmark_parts(benchmark: DataFrame, window: int, item: str, text: str, part_words: int):
     """The benchmark as broadcast automata, each made of items with about ``part_words`` words."""
     spark = benchmark.sparkSession
-    words = benchmark_words(benchmark, item, text).filter(F.col("item").isNotNull())
+    words = benchmark_words(benchmark, item, text)
     total = words.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = max(1, -(-total // part_words))
     for part in range(parts):
-        rows = words.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()
+        rows = words.filter(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part).collect()
         items = [(r.item, [w % (1 << 64) for w in r.words]) for r in rows]
         yield Shared(spark, BenchmarkPart(items, window))
 
@@ -174,7 +174,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
 
     Words are runs of ASCII letters, digits and non-ASCII characters, in small letters; words are compared
     by 64-bit hashes. An item with fewer words than ``window`` is a window as a whole, one without words
-    or without an id has none. A null or empty text has no words and no hits. Every row is judged alone.
+    has none. Words of an item without an id are hit as well, only ``items`` does not name it. A null or empty text has no words and no hits. Every row is judged alone.
     Existing columns with the names of the new ones are replaced.
     """
     new = ["n_words", "n_hit", "items", "spans"]
@@ -201,7 +201,7 @@ def _marker(part, carried: list[str], text: str, merge: bool):
             for start, end, names in known.matches(words):
                 edges[start] += 1
                 edges[end] -= 1
-                items.setdefault(int(words.text[start]), set()).update(names)
+                items.setdefault(int(words.text[start]), set()).update(n for n in names if n is not None)
             hit = np.cumsum(edges[:-1]) > 0
             if merge:
                 for row, (spans, names) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):

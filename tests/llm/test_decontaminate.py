@@ -17,8 +17,8 @@ def brute(docs, items, window):
     for name, text in items:
         words = words_of(text)
         size = min(window, len(words))
-        for k in range(len(words) - size + 1 if words and name is not None else 0):
-            windows.setdefault(tuple(words[k:k + size]), set()).add(str(name))
+        for k in range(len(words) - size + 1 if words else 0):
+            windows.setdefault(tuple(words[k:k + size]), set()).update([str(name)] if name is not None else [])
     out = []
     for name, text in docs:
         words = words_of(text)
@@ -26,7 +26,7 @@ def brute(docs, items, window):
         for size in {len(w) for w in windows}:
             for k in range(len(words) - size + 1):
                 names = windows.get(tuple(words[k:k + size]))
-                if names:
+                if names is not None:
                     found |= names
                     hit[k:k + size] = [True] * size
         out.append((name, len(words), sum(hit), sorted(found)))
