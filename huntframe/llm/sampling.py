@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from huntframe.llm.shards import _release
 from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained, mixed, text_bytes, text_slices
 
+SLICE = 512 << 10  # bytes of text that a task looks at together
 LONGEST = 1 << 20  # bytes; longer texts are not fitted on
 
 
@@ -51,7 +53,7 @@ def near_copy_marks(documents: DataFrame, text: str = "text", key: str = "doc_id
 
     def run(batches):
         powers, codes = Powers(), byte_codes()
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, SLICE):
             data, offsets = text_bytes(batch.column(text))
             words = Words(data, offsets, ALPHANUMERIC, powers, codes)
             chain = words.hash
@@ -67,6 +69,7 @@ def near_copy_marks(documents: DataFrame, text: str = "text", key: str = "doc_id
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(border, smallest.ravel().view(np.int64))],
                 names=[key, "bytes", "marks"])
+        _release()
 
     return documents.select(key, text).mapInArrow(run, schema)
 

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huntframe.llm.sampling import bounded_sample, near_copy_marks, with_texts, without_near_copies
+from huntframe.llm.sampling import SLICE, bounded_sample, near_copy_marks, with_texts, without_near_copies
 from huntframe.llm.share import Shared
+from huntframe.llm.shards import _release
 from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained, text_bytes, text_slices
 
 SAMPLE_ROWS = 12_000  # labelled rows of each class
@@ -48,7 +50,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     """In how many sampled texts of either class a word stands, and stands after another: (before, word, n0, n1)."""
     def run(batches):
         powers, codes = Powers(), byte_codes()
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=SLICE):
             words = Words(*text_bytes(batch.column("text")), ALPHANUMERIC, powers, codes)
             n = len(words)
             table = pa.table({
@@ -60,6 +62,7 @@ def _counted(sample: DataFrame) -> DataFrame:
             table = table.append_column("n0", pa.array(1 - toxic)).append_column("n1", pa.array(toxic))
             counts = table.group_by(["before", "word"]).aggregate([("n0", "sum"), ("n1", "sum")])
             yield from counts.rename_columns(["before", "word", "n0", "n1"]).to_batches()
+        _release()
 
     rows = sample.select("text", F.col("toxic").cast("long")).mapInArrow(
         run, "before long, word long, n0 long, n1 long")
@@ -189,19 +192,19 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     voted = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     # Only ids, sizes and marks are shuffled; the texts of the bounded sample are fetched at the end.
-    labelled = near_copy_marks(documents).join(voted, "doc_id").persist()
+    labelled = near_copy_marks(documents).join(voted, "doc_id").persist(StorageLevel.DISK_ONLY)
     share = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     rate = share.get(1, 0) / max(1, sum(share.values()))
     if len(share) < 2:
         return {"rate": rate, "model": None}
     # A text is only left out for one of its own class: what both classes share says something about neither.
-    different = without_near_copies(labelled, within="toxic").persist()
+    different = without_near_copies(labelled, within="toxic").persist(StorageLevel.DISK_ONLY)
     sizes = different.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")).collect()
     drawn = bounded_sample(different, "toxic", min(sample_rows, *[r.n for r in sizes]),
                            min(sample_bytes, *[max(1, r.total) for r in sizes]))
-    sample = with_texts(drawn, documents).persist()
+    sample = with_texts(drawn, documents).persist(StorageLevel.DISK_ONLY)
     spark = documents.sparkSession
-    counts = _counted(sample.filter(F.col("draw") < COUNTED)).persist()
+    counts = _counted(sample.filter(F.col("draw") < COUNTED)).persist(StorageLevel.DISK_ONLY)
     rest = sample.filter(F.col("draw") >= COUNTED).select("toxic", "text")
     best = {"rate": rate, "model": None, "loss": np.inf}
     for spread in SPREADS:
@@ -242,12 +245,13 @@ def _totals(docs: DataFrame, model, text: str) -> DataFrame:
 
     def run(batches):
         powers, codes, known = Powers(), byte_codes(), model.value
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, SLICE):
             words = Words(*text_bytes(batch.column(text)), ALPHANUMERIC, powers, codes)
             sums = np.concatenate([[0.0], np.cumsum(known.difference(words))])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.diff(sums[words.border])), pa.array(np.diff(words.border))],
                 names=[*batch.schema.names, "_total", "_n"])
+        _release()
 
     return docs.mapInArrow(run, schema)
 
