@@ -42,3 +42,13 @@ def append_results(results: DataFrame, path: str, key: str) -> DataFrame:
             raise
     results.write.mode("append").parquet(path)
     return results.sparkSession.read.parquet(path)
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends what a stream yields from all input there is now to a parquet folder, and ends.
+
+    The position and the state lie in ``checkpoint``: the next call goes on from there, and one that was interrupted is
+    repeated without writing rows twice.
+    """
+    (stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
