@@ -123,6 +123,20 @@ def _bucket_of(cuts: Column, value: Column) -> Column:
     return coarse * _STEP + fine
 
 
+def _even_cuts(values: DataFrame, keys: list[str]) -> DataFrame:
+    """One row with 1023 cut points over a column ``_v`` of numbers, from bounded sketches."""
+    # As one folded text literal: a thousand separate literals would slow the planner down.
+    shares = F.split(F.lit(",".join(str(i / _STEP**2) for i in range(1, _STEP**2))), ",").cast("array<double>")
+    # Cut points need only be roughly even, so a sketch of a few short sketches will do; none sees everything.
+    parts = values.groupBy(F.pmod(F.xxhash64("_v", *keys), F.lit(64)).alias("_part")).agg(
+        F.percentile_approx("_v", shares, 2_000).alias("some"))
+    sketch = parts.select(F.explode("some").alias("_v")).agg(F.percentile_approx("_v", shares, 10_000).alias("all"))
+    return sketch.select(F.struct(
+        F.filter("all", lambda _, i: F.pmod(i + 1, F.lit(_STEP)) == 0).alias("steps"),
+        F.transform(F.sequence(F.lit(0), F.lit(_STEP - 1)), lambda k: F.slice(
+            "all", k * _STEP + 1, F.lit(_STEP - 1))).alias("between")))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], field: Column, points: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated percentiles per group, whatever the size of a group.
 
@@ -133,17 +147,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], field: Column, points: dic
     """
     number = field.try_cast("double")
     values = df.select(*keys, number.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    # As one folded text literal: a thousand separate literals would slow the planner down.
-    shares = F.split(F.lit(",".join(str(i / _STEP**2) for i in range(1, _STEP**2))), ",").cast("array<double>")
     counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    # Cut points need only be roughly even, so a sketch of a few short sketches will do; none sees everything.
-    parts = counted.groupBy(F.pmod(F.xxhash64("_v", *keys), F.lit(64)).alias("_part")).agg(
-        F.percentile_approx("_v", shares, 2_000).alias("some"))
-    sketch = parts.select(F.explode("some").alias("_v")).agg(F.percentile_approx("_v", shares, 10_000).alias("all"))
-    cuts = sketch.select(F.struct(
-        F.filter("all", lambda _, i: F.pmod(i + 1, F.lit(_STEP)) == 0).alias("steps"),
-        F.transform(F.sequence(F.lit(0), F.lit(_STEP - 1)), lambda k: F.slice(
-            "all", k * _STEP + 1, F.lit(_STEP - 1))).alias("between")))
+    cuts = _even_cuts(counted, keys)
     counted = counted.withColumn("_cuts", cuts.scalar())
     counted = counted.withColumn("_b", _bucket_of(F.col("_cuts"), F.col("_v"))).drop("_cuts")
 
@@ -180,3 +185,20 @@ def exact_percentiles(df: DataFrame, keys: list[str], field: Column, points: dic
         return low + (high - low) * (position(p) - F.floor(position(p)))
 
     return found.select(*keys, *[interpolated(a, p).alias(a) for a, p in points.items()])
+
+
+def running_totals(df: DataFrame, order: str, totals: dict[str, str]) -> DataFrame:
+    """Adds, under each alias, the sum of a column over all rows up to and with this one, along a numeric column.
+
+    Values of ``order`` must differ and be numbers. Rows are sorted only within 1024 ranges cut by a bounded
+    sketch; what comes before a range is known from the sums per range, at most 1024 rows. No task sees all rows.
+    """
+    rows = df.withColumn("_v", F.col(order).cast("double"))
+    cut = rows.withColumn("_cuts", _even_cuts(rows, [order]).scalar())
+    cut = cut.withColumn("_b", _bucket_of(F.col("_cuts"), F.col("_v"))).drop("_cuts", "_v")
+    upto = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("_b").agg(*[F.sum(c).alias(f"_sum_{a}") for a, c in totals.items()]).select(
+        "_b", *[F.coalesce(F.sum(f"_sum_{a}").over(upto), F.lit(0)).alias(f"_before_{a}") for a in totals])
+    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.withColumns({f"_own_{a}": F.sum(c).over(inside) for a, c in totals.items()}).join(sizes, "_b")
+    return placed.select(*df.columns, *[(F.col(f"_own_{a}") + F.col(f"_before_{a}")).alias(a) for a in totals])

@@ -25,11 +25,16 @@ def field_reference(rows: DataFrame, documents: dict[str, str], common: str,
     return typed.groupBy("event_type").agg(F.sort_array(F.collect_set("field")).alias("fields"))
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The table under a declared schema: columns cast, missing ones null, unknown ones dropped."""
-    return df.select(*[
-        F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns
-        else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+def conform(df: DataFrame, schema: T.StructType, keep_unknown: bool = False) -> DataFrame:
+    """The table under a declared schema: columns cast, missing ones null, unknown ones dropped.
+
+    With ``keep_unknown`` the columns that are not declared follow as they are.
+    """
+    declared = [
+        F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in df.columns
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    unknown = [F.col(f"`{c}`") for c in df.columns if c not in schema.fieldNames()] if keep_unknown else []
+    return df.select(*declared, *unknown)
 
 
 def conformance_report(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -6,13 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from huntframe.functions.predicates import Field, col_of
 from huntframe.operators.aggregates import avg, count, maximum, minimum, percentile, summarize
-from huntframe.operators.skew import merge_by_key
+from huntframe.operators.skew import merge_by_key, running_totals
 
 
 def _rate(hits: Column, of: Column) -> Column:
@@ -224,8 +224,8 @@ def cost_and_latency(df: DataFrame, by: str, tokens: str, seconds: str) -> DataF
 def rater_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Raw agreement and Cohen's kappa (unweighted, linear, quadratic) of two raters.
 
-    Everything is worked out from the counts per pair of scores and per score, so beyond one
-    grouped count the work depends only on the number of different scores.
+    Scores are numbers. Everything is worked out from the counts per pair of scores and per score, so beyond one
+    grouped count the work depends only on the number of different scores, and these are ranked in ranges.
     """
     cells = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
         F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -233,11 +233,9 @@ def rater_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
         F.struct(F.col("a").alias("score"), F.col("n").alias("r"), F.lit(0).cast("long").alias("c")),
         F.struct(F.col("b").alias("score"), F.lit(0).cast("long").alias("r"), F.col("n").alias("c")))
     by_score = cells.select(F.inline(sides)).groupBy("score").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("score")
-    levels = by_score.select(
-        "score", "r", "c", (F.row_number().over(upto) - 1).alias("i"),
-        F.sum("r").over(upto).alias("fr"), F.sum("c").over(upto).alias("fc"),
-        F.sum("r").over(Window.partitionBy(F.lit(0))).cast("double").alias("m"))
+    ranked = running_totals(by_score.withColumn("one", F.lit(1).cast("long")), "score", {"place": "one", "fr": "r", "fc": "c"})
+    total = by_score.agg(F.sum("r").cast("double").alias("m"))
+    levels = ranked.select("score", "r", "c", (F.col("place") - 1).alias("i"), "fr", "fc").withColumn("m", total.scalar())
 
     i, r, c, m = F.col("i"), F.col("r"), F.col("c"), F.col("m")
     expected = levels.agg(

@@ -10,7 +10,7 @@ from huntframe.plans import retrieval as R
 from huntframe.plans.conformance import conform, conformance_report, field_reference
 from huntframe.session import scratch_path
 from huntframe.queries.registry import RULES_SQL, Tables, joined, query, rounded, rules
-from huntframe.sources.schemas import event_schema
+from huntframe.sources.schemas import event_schema, schemas_of_reference
 
 # --- corpus ------------------------------------------------------------------------------------
 
@@ -183,6 +183,22 @@ def _(t: Tables):
     return out.select(F.col("TimeGenerated").cast("timestamp_ntz").alias("TimeGenerated"), "EventType", "DnsQuery", "EventCount")
 
 
+# The reference is derived from the events: a field per kind of event and ending, and common ones.
+@query("B23_conform_by_reference", """SELECT ts AS TimeGenerated, event_type AS EventType, CAST(event_id AS BIGINT) AS ErrorCount,
+    CAST(NULL AS TIMESTAMP) AS PurchaseTime, CAST(value AS VARCHAR) IS NOT NULL AS has_name, user_id FROM events""")
+def _(t: Tables):
+    kinds = t.events.select(F.initcap("event_type").alias("kind")).distinct()
+    own = kinds.select(F.lit("dns.md").alias("document"), F.explode(F.array(
+        F.concat("kind", F.lit("Count")), F.concat("kind", F.lit("Time")), F.concat("kind", F.lit("Name")))).alias("field"))
+    common = kinds.select(F.lit("common.md").alias("document"), F.explode(F.array(F.lit("TimeGenerated"), F.lit("EventType"))).alias("field"))
+    schema = schemas_of_reference(field_reference(own.union(common.distinct()), {"Dns": "dns.md"}, "common.md"))["Dns"]
+    rows = t.events.select(F.col("ts").alias("TimeGenerated"), F.col("event_type").alias("EventType"), F.col("event_id").cast("string").alias("ErrorCount"),
+                           F.col("value").alias("ClickName"), "user_id")
+    out = conform(rows, schema, keep_unknown=True)
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("TimeGenerated", "PurchaseTime")}
+    return out.withColumns(times).select("TimeGenerated", "EventType", "ErrorCount", "PurchaseTime", F.col("ClickName").isNotNull().alias("has_name"), "user_id")
+
+
 @query("B23_conformance_report", """SELECT * FROM (SELECT 'TimeGenerated' AS "column", 'ok' AS status, count(ts) AS filled FROM events
     UNION ALL SELECT 'EventType', 'ok', count(event_type) FROM events UNION ALL SELECT 'DnsQuery', 'ok', count(props) FROM events
     UNION ALL SELECT 'event_id', 'unknown', count(event_id) FROM events UNION ALL SELECT 'user_id', 'unknown', count(user_id) FROM events

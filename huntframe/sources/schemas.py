@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _COMMON = """
@@ -35,6 +36,27 @@ def event_schema(event_type: str) -> T.StructType:
     return T.StructType.fromDDL(f"{_COMMON}, {_EXTRA[event_type]}")
 
 
+# The type of a field by the end of its name, the first that fits; all other fields are texts. Fixed values.
+_TYPE_OF_ENDING = {
+    "Time": "timestamp", "TimeGenerated": "timestamp", "Count": "long", "Bytes": "long", "Packets": "long", "FileSize": "long",
+    "BodyBytes": "long", "PortNumber": "int", "VlanId": "string", "StatusCode": "string", "Duration": "long", "Latitude": "double",
+    "Longitude": "double", "RiskLevel": "int", "Confidence": "int", "IsActive": "boolean", "AdditionalFields": "map<string,string>",
+}
+
+
+def schema_of_fields(fields: list[str]) -> T.StructType:
+    """Columns for the names of a field reference, typed by how a name ends; each name once, in the order given."""
+    def kind(name: str) -> str:
+        return next((t for ending, t in _TYPE_OF_ENDING.items() if name.endswith(ending)), "string")
+
+    return T.StructType.fromDDL(", ".join(f"`{name}` {kind(name)}" for name in dict.fromkeys(fields)))
+
+
+def schemas_of_reference(reference: DataFrame, kind: str = "event_type", fields: str = "fields") -> dict[str, T.StructType]:
+    """A schema per event type from a field reference, as ``field_reference`` makes it: a row per type, some hundred names each."""
+    return {r[0]: schema_of_fields(list(r[1])) for r in reference.select(kind, fields).collect()}
+
+
 # DDL of the tables the batch jobs read.
 RULES = """rule_id string, source_file string, description_raw string, query string,
     tactics array<string>, techniques array<string>, complexity_tier string"""

@@ -277,6 +277,8 @@ def test_conformance(spark):
     schema = T.StructType.fromDDL("a int, b string, c timestamp")
     df = spark.createDataFrame([("1", "x"), ("z", None)], "a string, extra string")
     assert [tuple(r) for r in conform(df, schema).collect()] == [(1, None, None), (None, None, None)]
+    kept = conform(df, schema, keep_unknown=True)
+    assert kept.columns == ["a", "b", "c", "extra"] and [tuple(r) for r in kept.collect()] == [(1, None, None, "x"), (None, None, None, None)]
     got = {r["column"]: (r.status, r.filled) for r in conformance_report(df, schema).collect()}
     assert got == {"a": ("ok", 2), "extra": ("unknown", 1), "b": ("missing", 0), "c": ("missing", 0)}
     rows = spark.createDataFrame([("common.md", "T"), ("web.md", "Url"), ("net.md", "Port")], "document string, field string")
@@ -284,6 +286,17 @@ def test_conformance(spark):
     assert got == {"Web": ["Port", "T", "Url"], "Net": ["Port", "T"]}
 
 
+def test_schemas_of_a_whole_reference(spark):
+    from huntframe.sources.schemas import schemas_of_reference
+
+    names = [f"Field{i}{end}" for i in range(60) for end in ("", "Time", "Count", "PortNumber", "IsActive")]
+    rows = spark.createDataFrame([("c.md", "TimeGenerated"), *[("d.md", n) for n in names], ("d.md", names[0])], "document string, field string")
+    schema = schemas_of_reference(field_reference(rows, {"Dns": "d.md"}, "c.md"))["Dns"]
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    assert len(kinds) == 301 and kinds["TimeGenerated"] == kinds["Field3Time"] == "timestamp" and kinds["Field3"] == "string"
+    assert (kinds["Field3Count"], kinds["Field3PortNumber"], kinds["Field3IsActive"]) == ("bigint", "int", "boolean")
+
+
 def test_closest_within_against_all_names(spark):
     import random
 

@@ -52,3 +52,20 @@ def test_ordered_events(events, con):
     assert compare(got.select("event_id", "earlier", "latest_first"), con, f"""SELECT b.event_id, count(*) AS earlier,
         max(a.ts) AS latest_first FROM {SKEWED} a JOIN {SKEWED} b ON a.k = b.k AND a.ts < b.ts AND a.ts >= b.ts - INTERVAL '3 hours'
         WHERE a.event_type = 'error' AND b.event_type = 'view' GROUP BY b.event_id""") is None
+
+
+def test_running_totals(spark):
+    import random
+
+    from huntframe.operators.skew import running_totals
+
+    rng = random.Random(4)
+    rows = [(float(v) if v % 3 else v + 0.5, rng.randint(0, 9), 1) for v in rng.sample(range(-5000, 5000), 3000)]
+    got = running_totals(spark.createDataFrame(rows, "v double, a long, b int"), "v", {"sa": "a", "place": "b"})
+    assert got.columns == ["v", "a", "b", "sa", "place"]
+    total, expected = 0, {}
+    for place, (v, a, _) in enumerate(sorted(rows), 1):
+        total += a
+        expected[v] = (total, place)
+    assert {r.v: (r.sa, r.place) for r in got.collect()} == expected
+    assert running_totals(spark.createDataFrame([], "v int, a long"), "v", {"s": "a"}).count() == 0
