@@ -3,6 +3,7 @@
 On a bounded sample a neighbour graph is built and cut into parts of equal size that keep neighbours
 together; a small softmax classifier learns in which parts a vector's neighbours lie. Every row is then
 stored in its most probable part, and a query is compared with all rows of its several most probable parts.
+How many these are follows from the recall that sampled rows reach which the classifier has not learned from.
 """
 
 from __future__ import annotations
@@ -15,20 +16,25 @@ from pyspark.sql import functions as F
 from huntframe.llm.share import Shared
 
 SAMPLE_ROWS = 8192
-PARTS = 16  # a power of two
-MASS = 0.95  # a query visits its most probable parts until they hold this much of the probability
-GRAPH_NEIGHBOURS = 12
+PART_ROWS = 2048  # parts are as many as make about this many rows each, a power of two
+LEAST_SAMPLED = 32  # but have this many rows of the sample at least
+RECALL = 0.97  # aimed at on the rows held out
+HELD_OUT = 512  # rows of the sample, an eighth at most
+# A query visits its most probable parts until they hold so much of the probability: the least that reaches the recall.
+MASSES = (0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
 BLOCK_ROWS = 4096  # stored rows, and queries, that meet in one task
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """For each row the k rows with the largest inner product, itself left out."""
+def neighbour_graph(x: np.ndarray, k: int, which: np.ndarray | None = None) -> np.ndarray:
+    """For each row (or each of ``which``) the k rows with the largest inner product, itself left out."""
+    which = np.arange(len(x)) if which is None else which
     k = min(k, len(x) - 1)
-    out = np.empty((len(x), k), np.int64)
-    for start in range(0, len(x), 1024):
-        scores = x[start:start + 1024] @ x.T
-        scores[np.arange(len(scores)), np.arange(start, start + len(scores))] = -np.inf
-        out[start:start + 1024] = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    out = np.empty((len(which), k), np.int64)
+    for start in range(0, len(which), 512):
+        own = which[start:start + 512]
+        scores = x[own] @ x.T
+        scores[np.arange(len(own)), own] = -np.inf
+        out[start:start + 512] = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -75,14 +81,16 @@ def balanced_parts(graph: np.ndarray, parts: int, rng: np.random.Generator) -> n
 class Router:
     """A softmax classifier from a vector's direction to the parts in which its neighbours lie."""
 
-    def __init__(self, x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, rng: np.random.Generator,
+    def __init__(self, x: np.ndarray, near: np.ndarray, label: np.ndarray, parts: int, rng: np.random.Generator,
                  steps: int = 200, rate: float = 0.05):
+        """``near`` holds the parts of each row's neighbours, ``label`` its own."""
         self.parts = parts
+        self.mass, self.recall, self.visited = 1.1, 1.0, 1.0
         z = self._input(x)
         wanted = np.zeros((len(x), parts))
         np.add.at(wanted, (np.arange(len(x)), label), 1.0)
-        for column in graph.T:
-            np.add.at(wanted, (np.arange(len(x)), label[column]), 1.0)
+        for column in near.T:
+            np.add.at(wanted, (np.arange(len(x)), column), 1.0)
         wanted /= wanted.sum(axis=1, keepdims=True)
         self.weight = 0.01 * rng.standard_normal((z.shape[1], parts))
         first, second = np.zeros_like(self.weight), np.zeros_like(self.weight)
@@ -101,16 +109,36 @@ class Router:
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def most_probable(self, x: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
+    def most_probable(self, x: np.ndarray, mass: float, held: np.ndarray | None = None,
+                      least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Each vector's parts, the most probable first, until they hold ``mass`` of the probability (at
-        mass 0 just the first); and how many these are. Ties go to the smaller number."""
+        mass 0 just the first) and, where ``held`` gives the rows of each part, ``least`` rows; and how many
+        these are. Ties go to the smaller number."""
         p = self._softmax(self._input(x) @ self.weight)
         order = np.argsort(-p, axis=1, kind="stable")
         before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
         wanted = before < mass
         wanted[:, 0] = True
+        if held is not None:
+            wanted |= np.cumsum(held[order], axis=1) - held[order] < least[:, None]
         return order[wanted], wanted.sum(axis=1)
 
+    def measure(self, x: np.ndarray, held_out: np.ndarray, k: int, recall: float) -> None:
+        """Sets ``mass`` to the least that reaches ``recall`` of the ``k`` nearest of the held-out rows, or to all
+        parts, and ``recall`` to what it reaches. The whole table's nearest are nearer than those of the sample, and
+        so more often in the parts visited."""
+        near = self.most_probable(x, 0.0)[0][neighbour_graph(x, k, held_out)]
+        rows = np.arange(len(held_out))
+        for mass in MASSES:
+            best, count = self.most_probable(x[held_out], mass)
+            visited = np.zeros((len(held_out), self.parts), bool)
+            visited[np.repeat(rows, count), best] = True
+            self.mass, self.recall = mass, float(visited[rows[:, None], near].mean())
+            self.visited = float(visited.mean())
+            if self.recall >= recall:
+                return
+        self.mass, self.recall, self.visited = 1.1, 1.0, 1.0
+
 
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -131,8 +159,12 @@ def usable(vectors: DataFrame, name: str, vector: str) -> DataFrame:
     return rows.filter(F.size("v") == (length.n if length else 0))
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, parts: int = PARTS) -> Router | None:
-    """Learns from at most ``sample_rows`` rows, drawn by a hash of their id; small tables get fewer parts."""
+def fit(rows: DataFrame, k: int = 20, sample_rows: int = SAMPLE_ROWS, parts: int | None = None, recall: float = RECALL) -> Router | None:
+    """Learns from at most ``sample_rows`` rows, drawn by a hash of their id.
+
+    Without ``parts`` there are as many as make about PART_ROWS rows each, as far as the sample has LEAST_SAMPLED rows for
+    each: a larger table asks for a larger ``sample_rows``. One part is an exact search.
+    """
     total = rows.count()
     if not total:
         return None
@@ -141,54 +173,76 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, parts: int = PARTS) ->
     x = _matrix(drawn.select("v").toArrow().column("v"))
     if not len(x):
         x = _matrix(rows.select("v").limit(1).toArrow().column("v"))
-    while parts > 1 and len(x) < 32 * parts:
+    if parts is None:
+        parts = 1 << int(np.log2(max(1, total // PART_ROWS)))
+    while parts > 1 and len(x) < LEAST_SAMPLED * parts:
         parts //= 2
     rng = np.random.default_rng(7)
     if parts == 1:
         return Router(x, np.zeros((len(x), 0), np.int64), np.zeros(len(x), np.int64), 1, rng, steps=1)
-    graph = neighbour_graph(x, GRAPH_NEIGHBOURS)
-    return Router(x, graph, balanced_parts(graph, parts, rng), parts, rng)
+    graph = neighbour_graph(x, k)
+    label = balanced_parts(graph, parts, rng)
+    held_out = rng.permutation(len(x))[:min(HELD_OUT, len(x) // 8)]
+    learned = np.setdiff1d(np.arange(len(x)), held_out)
+    router = Router(x[learned], label[graph[learned]], label[learned], parts, rng)
+    router.measure(x, held_out, k, recall)
+    return router
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, name: str = "vec_id", vector: str = "embedding",
-           mass: float = MASS, parts: int = PARTS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+           mass: float | None = None, parts: int | None = None, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS,
+           recall: float = RECALL) -> DataFrame:
     """The ``k`` rows with the largest inner product found for each query: query_id, rank, vec_id, score.
 
-    ``is_query`` is a condition on ``id``. Rows that ``usable`` leaves out take no part; rows of one id
-    are one candidate each, but never for a query of that id. Ties go to the smaller id. Of equal vectors
-    only the k + 1 smallest ids are stored, as no other can be among the nearest; so a vector that a third of
-    the rows share costs no more than one. Parts and their queries are compared in blocks.
+    ``is_query`` is a condition on ``id``. Rows that ``usable`` leaves out take no part. Rows of one id are one
+    candidate, which counts with its best row, and one query, which asks with all its rows; never for itself. Ties go to
+    the smaller id. A query visits its most probable parts until they hold ``mass`` of the probability (by default what
+    reaches ``recall`` on sampled rows, see ``fit``) and k rows of other ids, or all rows. Of equal vectors only the k + 1 smallest ids are stored, as no other
+    can be among the nearest; so a vector that a third of the rows share costs no more than one. Parts and their
+    queries are compared in blocks.
     """
     rows = usable(vectors, name, vector)
-    router = fit(rows, sample_rows, parts)
+    router = fit(rows, k, sample_rows, parts, recall)
     if router is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    mass = router.mass if mass is None else mass
     shared = Shared(rows.sparkSession, router)
+    kind = rows.schema["v"].dataType.simpleString()
 
-    def assigned(df: DataFrame, upto: float) -> DataFrame:
+    def assigned(df: DataFrame, upto: float, held: np.ndarray | None = None) -> DataFrame:
         def run(batches):
             known = shared.value
             for batch in batches:
                 if batch.num_rows:
-                    best, count = known.most_probable(_matrix(batch.column("v")), upto)
+                    least = None if held is None else batch.column("own").to_numpy() + k
+                    best, count = known.most_probable(_matrix(batch.column("v")), upto, held, least)
                     border = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(border, best.astype(np.int32))],
-                                                     names=[*batch.schema.names, "part"])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id"), batch.column("v"), pa.ListArray.from_arrays(border, best.astype(np.int32))], names=["id", "v", "part"])
 
-        kind = rows.schema["v"].dataType.simpleString()
         return df.mapInArrow(run, f"id long, v {kind}, part array<int>").withColumn("part", F.explode("part"))
 
-    same = Window.partitionBy(F.xxhash64("v"), F.xxhash64("v", F.lit("again"))).orderBy("id")
-    stored = rows.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k + 1).select("id", "v")
-    stored, asked = assigned(stored, 0.0), assigned(rows.filter(is_query), mass)
-    # How many blocks each part has on either side: one row per part.
-    sizes = stored.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.lit(0).alias("asked")).union(
-        asked.groupBy("part").agg(F.lit(0), F.count(F.lit(1)))).groupBy("part").agg(F.sum("rows"), F.sum("asked")).collect()
-    blocks = {r[0]: (max(1, -(-r[1] // block_rows)), max(1, -(-r[2] // block_rows))) for r in sizes}
+    # One row for equal rows of one id; then the smallest ids of each vector.
+    digest = [F.xxhash64("v").alias("_h"), F.xxhash64("v", F.lit("again")).alias("_g")]
+    different = rows.groupBy("id", *digest).agg(F.first("v").alias("v"))
+    same = Window.partitionBy("_h", "_g").orderBy("id")
+    stored = different.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k + 1).select("id", "v")
+    queries = different.filter(is_query)
+    own = queries.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    stored = assigned(stored, 0.0)
+
+    def by_part(df: DataFrame) -> dict[int, int]:  # one row per part
+        return {r.part: r["count"] for r in df.groupBy("part").count().collect()}
+
+    held = by_part(stored)
+    asked = assigned(queries.join(own, "id").select("id", "v", "own"), mass, np.array([held.get(p, 0) for p in range(router.parts)]))
+    wanted = by_part(asked)
+    # How many blocks each part has on either side.
+    blocks = {p: (max(1, -(-held.get(p, 0) // block_rows)), max(1, -(-wanted.get(p, 0) // block_rows))) for p in range(router.parts)}
     ways = [F.create_map(*[F.lit(x) for p, b in sorted(blocks.items()) for x in (p, b[i])])[F.col("part")] for i in (0, 1)]
 
     def spread(df: DataFrame, own: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id", F.lit("block")), ways[own]).cast("int")
+        block = F.pmod(F.xxhash64("id", "v", F.lit("block")), ways[own]).cast("int")
         copies = F.explode(F.sequence(F.lit(0), ways[1 - own] - 1))
         mine, other = ("block", "query_block") if own == 0 else ("query_block", "block")
         return df.withColumn(mine, block).withColumn(other, copies)
@@ -198,17 +252,21 @@ def search(vectors: DataFrame, is_query, k: int = 20, name: str = "vec_id", vect
         if candidates.num_rows and queries.num_rows:
             ids, x = candidates["id"].to_numpy(), _matrix(candidates["v"])
             names, q = queries["id"].to_numpy(), _matrix(queries["v"])
+            repeated = len(np.unique(ids)) < len(ids)
             for start in range(0, len(q), 256):
                 rough = q[start:start + 256] @ x.T
                 for row, scores in enumerate(rough, start):
                     scores[ids == names[row]] = -np.inf
                     keep = np.flatnonzero(np.isfinite(scores))
-                    if len(keep) > k:
+                    if len(keep) > k and not repeated:
                         least = np.partition(scores, -k)[-k]
                         keep = np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(least)))
                     # Summed in one fixed order, so that equal vectors tie.
                     exact = (q[row] * x[keep]).sum(axis=1)
-                    best = np.lexsort((ids[keep], -exact))[:k]
+                    best = np.lexsort((ids[keep], -exact))
+                    if repeated:  # each id's best row
+                        best = best[np.sort(np.unique(ids[keep][best], return_index=True)[1])]
+                    best = best[:k]
                     found["query_id"].append(np.full(len(best), names[row]))
                     found["vec_id"].append(ids[keep][best])
                     found["score"].append(exact[best])
@@ -219,5 +277,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, name: str = "vec_id", vect
     near = spread(stored, 0).groupBy(*keys).cogroup(spread(asked, 1).groupBy(*keys)).applyInArrow(
         compare, "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return near.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -15,12 +15,14 @@ def table(spark, rows):
 def brute(rows, asked, k):
     sound = [(i, np.float32(v).astype(float)) for i, v in rows if i is not None and v and None not in v
              and np.isfinite(np.float32(v)).all() and np.any(np.float32(v))]
-    out = {}
+    best = {}
     for i, q in sound:
         if asked(i):
-            scored = sorted((-float((q * x).sum()), j) for j, x in sound if j != i)
-            out[i] = [(j, -s) for s, j in scored[:k]]
-    return out
+            mine = best.setdefault(i, {})
+            for j, x in sound:
+                if j != i:
+                    mine[j] = max(mine.get(j, -np.inf), float((q * x).sum()))
+    return {i: [(j, -s) for s, j in sorted((-s, j) for j, s in mine.items())[:k]] for i, mine in best.items()}
 
 
 def got(df, k, **options):
@@ -62,6 +64,43 @@ def test_odd_vectors_ties_and_copies(spark):
     assert got(table(spark, rows), 4, mass=1.1) == brute(flat, lambda i: i % 10 == 0, 4)
 
 
+def test_equal_vectors_of_repeated_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(30) for _ in range(2)]
+    found = got(table(spark, rows), 20)
+    assert found == brute(rows, lambda i: i % 10 == 0, 20) and [j for j, _ in found[0]] == list(range(1, 21))
+    rows += [(10, [2.0, 0.0]), (10, [0.0, 1.0]), (3, [5.0, 5.0]), (40, [-1.0, 0.0])]
+    assert got(table(spark, rows), 6) == brute(rows, lambda i: i % 10 == 0, 6)
+
+
+def test_a_query_finds_k_rows_where_its_part_is_small(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, ([4.0, 0.0] if i % 50 else [0.0, 4.0]) + 0.1 * rng.standard_normal(2)) for i in range(400)]
+    rows = [(i, v.tolist()) for i, v in rows]
+    found = got(table(spark, rows), 12, mass=0.0, parts=8)
+    assert all(len(v) == 12 for v in found.values())
+
+
+def recall(found, expected):
+    return np.mean([len({j for j, _ in found[q]} & {j for j, _ in v}) / len(v) for q, v in expected.items()])
+
+
+def test_recall_on_tight_groups_and_on_noise(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((100, 32))
+    tight = [(i, (centres[i % 100] + 0.05 * rng.standard_normal(32)).tolist()) for i in range(1500)]
+    noise = [(i, rng.standard_normal(32).tolist()) for i in range(1500)]
+    for rows in (tight, noise):
+        assert recall(got(table(spark, rows), 20, parts=16), brute(rows, lambda i: i % 10 == 0, 20)) >= 0.9
+
+
+def test_the_measured_recall_sets_what_is_visited(spark):
+    x = np.array([v for _, v in clusters(6, 4000, dim=16, groups=64)])
+    rows = table(spark, list(enumerate(x.tolist()))).selectExpr("vec_id as id", "embedding as v")
+    router = neighbours.fit(rows, 10, parts=32, sample_rows=3000)
+    assert router.recall >= neighbours.RECALL and router.visited < 0.5
+    assert neighbours.fit(rows, 10).parts == 1 and neighbours.fit(rows, 10, parts=64, sample_rows=500).parts == 8
+
+
 def test_few_rows_and_empty_table(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0])]
     assert got(table(spark, rows), 20) == brute(rows, lambda i: i % 10 == 0, 20)
