@@ -1,8 +1,8 @@
 """Language by words first, then by progressively shorter character n-grams.
 
 A known word adds its log frequency in each language. A word that no language has is looked up by its
-n-grams of five characters (bytes, padded with blanks), and where none of them is known, by those of four,
-three, two and one.
+n-grams of five characters (padded with a blank on either side), and where none of them is known, by those of four,
+three, two and one. Words are runs of letters and of marks on letters of any script, in small letters.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huntframe.llm.sampling import bounded_sample, with_texts
+from huntframe.llm.sampling import LONGEST, bounded_sample, with_texts
 from huntframe.llm.share import Shared
-from huntframe.llm.text import LETTERS, Powers, Words, byte_codes, mixed, text_bytes, text_slices
+from huntframe.llm.text import Powers, Words, letters, mixed, text_points, text_slices
 
 SAMPLE_ROWS = 4_000  # labelled rows of each language
 SAMPLE_BYTES = 4 << 20  # bytes of their texts, per language
@@ -27,7 +27,7 @@ def _grams(data: np.ndarray, words: Words, which: np.ndarray, size: int, codes:
     """Hashes of the n-grams of some words, and the position in ``which`` of the word of each."""
     length = (words.end - words.start)[which] + 2
     border = np.concatenate([[0], np.cumsum(length)])
-    padded = np.full(border[-1], 0x20, np.uint8)
+    padded = np.full(border[-1], 0x20, np.uint32)
     inside = np.arange(border[-1]) - np.repeat(border[:-1], length)
     body = (inside > 0) & (inside < np.repeat(length, length) - 1)
     padded[body] = data[(np.repeat(words.start[which], length) + inside - 1)[body]]
@@ -45,10 +45,10 @@ def _grams(data: np.ndarray, words: Words, which: np.ndarray, size: int, codes:
 def _counts(sample: DataFrame, languages: list[str]) -> DataFrame:
     """(size, hash, lang, n) of words (size 0) and character n-grams of the sampled texts."""
     def run(batches):
-        powers, codes = Powers(), byte_codes()
+        powers, (member, codes) = Powers(), letters()
         for batch in text_slices(batches):
-            data, offsets = text_bytes(batch.column("text"))
-            words = Words(data, offsets, LETTERS, powers, codes)
+            data, offsets = text_points(batch.column("text"))
+            words = Words(data, offsets, member, powers, codes)
             lang = batch.column("_lang").to_numpy(zero_copy_only=False)[words.text]
             everyone = np.arange(len(words))
             found = [(0, words.hash, lang)]
@@ -110,14 +110,16 @@ class LanguageModel:
         return (sums[words.border[1:]] - sums[words.border[:-1]]) / np.maximum(np.diff(words.border), 1)[:, None]
 
 
-def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel | None:
+def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
+        longest: int = LONGEST) -> LanguageModel | None:
     """A model from ``documents`` (doc_id, text, lang); None if no row has both text and lang.
 
-    Fitted on a sample of at most ``sample_rows`` rows and about ``sample_bytes`` bytes per language.
+    Fitted on a sample of at most ``sample_rows`` rows and about ``sample_bytes`` bytes per language, of texts of at
+    most ``longest`` bytes.
     """
     labelled = documents.filter("text is not null and lang is not null")
     sizes = labelled.select("doc_id", "lang", F.octet_length("text").alias("bytes"))
-    sample = with_texts(bounded_sample(sizes, "lang", sample_rows, sample_bytes), labelled.drop("lang")).persist()
+    sample = with_texts(bounded_sample(sizes, "lang", sample_rows, sample_bytes, longest=longest), labelled.drop("lang")).persist()
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     if not languages:
         return None
@@ -139,11 +141,11 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
     shared = Shared(docs.sparkSession, model)
 
     def run(batches):
-        powers, codes, known = Powers(), byte_codes(), shared.value
+        powers, (member, codes), known = Powers(), letters(), shared.value
         names = np.array(known.languages, object)
         for batch in text_slices(batches, text):
-            data, offsets = text_bytes(batch.column(text))
-            words = Words(data, offsets, LETTERS, powers, codes)
+            data, offsets = text_points(batch.column(text))
+            words = Words(data, offsets, member, powers, codes)
             scores = known.scores(data, words, batch.num_rows, codes)
             # A text of many words says no more than a dozen of them, lest every score be 0 or 1.
             belief = scores * np.minimum(np.diff(words.border), 12)[:, None]

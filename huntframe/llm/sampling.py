@@ -12,12 +12,13 @@ from huntframe.llm.shards import _release
 from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained, mixed, text_bytes, text_slices
 
 SLICE = 512 << 10  # bytes of text that a task looks at together
-LONGEST = 1 << 20  # bytes; longer texts are not fitted on
+LONGEST = 1 << 20  # bytes of the longest text that is fitted on, unless another bound is given
 
 
 def bounded_sample(rows: DataFrame, label: str, most_rows: int, most_bytes: int, size: str = "bytes",
-                   key: str = "doc_id") -> DataFrame:
-    """(key, label, draw): at most ``most_rows`` rows and about ``most_bytes`` bytes of each label.
+                   key: str = "doc_id", longest: int = LONGEST) -> DataFrame:
+    """(key, label, draw): at most ``most_rows`` rows and about ``most_bytes`` bytes of each label, no text of more than
+    ``longest`` bytes.
 
     ``rows`` holds key, label and the size of the text, not the text. Rows are drawn by a hash of their key,
     so a repeated task draws the same ones. ``draw`` is a number in [0, 1) that is spread evenly over the
@@ -25,7 +26,7 @@ def bounded_sample(rows: DataFrame, label: str, most_rows: int, most_bytes: int,
     """
     spread = F.lit(float(1 << 30))
     at = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / spread
-    sized = rows.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.col(size) <= LONGEST)).select(
+    sized = rows.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.col(size) <= longest)).select(
         key, label, size, at.alias("_at"))
     totals = sized.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_total"))
     share = F.least(F.lit(1.0), F.lit(float(most_rows)) / F.col("_n"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +84,35 @@ def byte_codes() -> np.ndarray:
     return codes[_LOWER]
 
 
+@functools.cache
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is part of a word, a letter or a mark on one, and a fixed random number, the
+    same for a capital and its small letter. Made once in each worker."""
+    points = range(sys.maxunicode + 1)
+    member = np.array([unicodedata.category(chr(p))[0] in "LM" for p in points], bool)
+    small = np.arange(len(points), dtype=np.uint64)
+    for p in np.flatnonzero(member).tolist():
+        low = chr(p).lower()
+        if len(low) == 1:
+            small[p] = ord(low)
+    return member, mixed((small + np.uint64(1)) * np.uint64(_BASE)) | np.uint64(1)
+
+
+def text_points(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts one after the other, and where each begins (one more for the end). Null is empty;
+    bytes that are no UTF-8 count as the replacement character."""
+    data, offsets = text_bytes(array)
+    try:
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        return points, np.cumsum([0, *map(len, texts)])
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return points, before[offsets]
+
+
 class Powers:
     """Powers of the hash base and of its inverse, as far as they have been needed."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huntframe.llm.sampling import SLICE, bounded_sample, near_copy_marks, with_texts, without_near_copies
+from huntframe.llm.sampling import LONGEST, SLICE, bounded_sample, near_copy_marks, with_texts, without_near_copies
 from huntframe.llm.share import Shared
 from huntframe.llm.shards import _release
 from huntframe.llm.text import ALPHANUMERIC, Powers, Words, byte_codes, chained, text_bytes, text_slices
@@ -179,10 +179,12 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01
     return {"middle": middle.tolist(), "scale": scale.tolist(), "beta": beta.tolist(), "loss": loss}
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict:
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
+        longest: int = LONGEST, near_copies: bool = False) -> dict:
     """A model from ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1).
 
-    Fitted on a sample of at most ``sample_rows`` rows and about ``sample_bytes`` bytes of each class.
+    Fitted on a sample of at most ``sample_rows`` rows and about ``sample_bytes`` bytes of each class, of texts of at most
+    ``longest`` bytes; near copies within a class are left out of it unless ``near_copies`` is set.
     Rows of one doc_id vote for its label, a tie counts as toxic; null labels and ids are left out. The
     curve is weighted to the share of each class among all labelled rows. With fewer than LEAST_TEXTS different texts
     of a class to fit it, models of all texts are used, with a curve fitted on parts of the sample in turn, or a
@@ -198,10 +200,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     if len(share) < 2:
         return {"rate": rate, "model": None}
     # A text is only left out for one of its own class: what both classes share says something about neither.
-    different = without_near_copies(labelled, within="toxic").persist(StorageLevel.DISK_ONLY)
+    different = (labelled if near_copies else without_near_copies(labelled, within="toxic")).persist(StorageLevel.DISK_ONLY)
     sizes = different.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")).collect()
     drawn = bounded_sample(different, "toxic", min(sample_rows, *[r.n for r in sizes]),
-                           min(sample_bytes, *[max(1, r.total) for r in sizes]))
+                           min(sample_bytes, *[max(1, r.total) for r in sizes]), longest=longest)
     sample = with_texts(drawn, documents).persist(StorageLevel.DISK_ONLY)
     spark = documents.sparkSession
     counts = _counted(sample.filter(F.col("draw") < COUNTED)).persist(StorageLevel.DISK_ONLY)

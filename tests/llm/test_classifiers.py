@@ -28,6 +28,73 @@ def test_language_of_known_and_unseen_words(spark):
     assert found[0].__fields__ == ["doc_id", "text", "lang", "n_chars", "lang_pred", "score"]
 
 
+def plain_language(train, texts):
+    """The documented formula with dictionaries, word by word: (language, score) of each text."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def words(text):
+        out, word = [], ""
+        for ch in (text or "") + " ":
+            if unicodedata.category(ch)[0] in "LM":
+                word += ch.lower() if len(ch.lower()) == 1 else ch
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    def grams(word, size):
+        padded = f" {word} "
+        return [padded[i:i + size] for i in range(len(padded) - size + 1)] if size else [word]
+
+    langs = sorted({lang for _, _, lang in train})
+    tables = []
+    for size in range(6):
+        counts = {lang: Counter(g for _, t, own in train if own == lang for w in words(t) for g in grams(w, size)) for lang in langs}
+        keys = set().union(*counts.values())
+        total = {lang: sum(counts[lang].values()) + 0.5 * len(keys) for lang in langs}
+        tables.append({g: [math.log((counts[lang][g] + 0.5) / total[lang]) for lang in langs] for g in keys})
+
+    def value(word):
+        for size in (0, 5, 4, 3, 2, 1):
+            hits = [tables[size][g] for g in grams(word, size) if g in tables[size]]
+            if hits:
+                return [sum(h[k] for h in hits) / len(hits) for k in range(len(langs))]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        found = [value(w) for w in words(text)]
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(v[k] for v in found) / len(found) for k in range(len(langs))]
+        belief = [math.exp((m - max(mean)) * min(len(found), 12)) for m in mean]
+        best = mean.index(max(mean))
+        out.append((langs[best], belief[best] / sum(belief)))
+    return out
+
+
+def test_language_equals_the_plain_formula(spark):
+    rng = random.Random(9)
+    WORDS["dd"] = ["привет", "ёлка", "дом", "улица", "и"]
+    try:
+        train, more = language_rows(3, 80), language_rows(4, 40)
+    finally:
+        del WORDS["dd"]
+    letters = "ÉéàßΣςİ漢字дЁéхx–’ 9"
+    texts = [t.upper() if i % 2 else t for i, (_, t, _) in enumerate(more)]
+    texts += ["".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(40)]
+    texts += [None, "", " 12 – ’", "Été été", "ПРИВЕТ—мир", "the–house’s", "x" * 50_000]
+    model = language.fit(with_lang(spark, train))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, model).collect()}
+    for i, (lang, score) in enumerate(plain_language(train, texts)):
+        assert found[i][1] == pytest.approx(score, abs=1e-3), texts[i]
+        assert found[i][0] == lang or score < 0.51
+
+
 def test_language_of_odd_rows(spark, documents, odd_rows):
     docs = documents(odd_rows)
     model = language.fit(with_lang(spark, language_rows(1, 60) + [(900, None, "dd"), (901, "x", None)]))
