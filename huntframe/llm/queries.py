@@ -17,6 +17,36 @@ from huntframe.session import scratch_path
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
 
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Every pair that shares a shingle is compared; a component is what links reach, step by step.
+LLM_SQL["op4_jaccard_components"] = f"""WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all({_SMALL}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    linked AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b)
+    SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id
+    FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+# Windows of every length that occurs are met with the documents' word runs of that length.
+_WORDS = f"regexp_extract_all({_SMALL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+LLM_SQL["op7_decontamination"] = f"""WITH items AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+    win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, unnest(list_transform(range(1, len(ws) - least(len(ws), 10) + 2),
+        lambda i: array_to_string(ws[i:i + least(len(ws), 10) - 1], ' '))) AS run FROM items WHERE len(ws) > 0),
+    d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    runs AS (SELECT doc_id, k.n, unnest(list_transform(range(1, len(ws) - k.n + 2), lambda i: {{'place': i, 'run': array_to_string(ws[i:i + k.n - 1], ' ')}})) AS r
+        FROM d, (SELECT DISTINCT n FROM win) k WHERE len(ws) >= k.n),
+    found AS (SELECT doc_id, runs.n, r.place AS place, item_id FROM runs JOIN win ON win.n = runs.n AND win.run = r.run),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + n)) AS p FROM found) GROUP BY 1),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+        SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY 1)
+    SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
 
 def _query(build):
     LLM_QUERIES[build.__name__] = build

@@ -111,3 +111,24 @@ def test_every_operator_is_registered():
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
     assert len(names) == 14 and {n.split("_")[0] for n in names} == {"pipeline", *[f"op{i}" for i in range(1, 14)]}
+
+
+def test_one_id_with_several_texts(spark, documents):
+    def prose(start, n=40):
+        return " ".join(f"w{k}" for k in range(start, start + n))
+
+    rows = [(1, prose(0)), (2, prose(0) + " end"), (2, prose(500)), (3, prose(900)), (3, prose(900)), (3, prose(900) + " end"), (4, prose(500) + " end"),
+            (5, None), (5, ""), (None, prose(0)), (None, prose(0))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(rows), "").collect()
+    by_id = sorted((r.doc_id or 0, r.text or "") for r in kept)
+    assert [i for i, _ in by_id] == [0, 0, 1, 2, 3, 5, 5]
+    assert (1, prose(0)) in by_id and (2, prose(500)) in by_id
+    assert corpus_pipeline.drop_near_duplicates(spark, documents([]), "").count() == 0
+
+
+def test_rows_of_one_id_and_text_leave_a_fixed_one(spark):
+    rows = [(1, "same words here", lang, source, 15) for lang, source in (("fr", "b"), ("de", "c"), ("de", "a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 3):
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), "").collect()
+        assert [(r.lang, r.source) for r in kept] == [("de", "a")]
