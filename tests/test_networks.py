@@ -6,7 +6,9 @@ from plans import plan_of
 from pyspark.sql import functions as F
 
 from huntframe.functions import addresses as A
+from huntframe.operators import networks, skew
 from huntframe.operators.networks import in_networks, most_specific_network, within_intervals
+from huntframe.operators.skew import balanced_join
 
 
 def _number(text):
@@ -127,3 +129,26 @@ def test_intervals_of_all_lengths(spark, seed):
     assert sorted((r.id, r.span) for r in found.collect()) == want
     assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
     assert within_intervals(left, right.limit(0), "at", "low", "high").collect() == []
+
+
+def test_points_are_dealt_out_once_and_intervals_by_what_they_hold(spark, monkeypatch):
+    sides = []
+    monkeypatch.setattr(networks, "RANGE", 16)
+    monkeypatch.setattr(networks, "balanced_join", lambda a, b, keys: sides.append((a, b)) or balanced_join(a, b, keys))
+    points = spark.range(400).select("id", F.when(F.col("id") < 100, 7).otherwise(F.col("id") * 37 % 5003).alias("at"))
+    spans = spark.range(60).selectExpr("id AS span", "id * 83 AS low", "id * 83 + pmod(id, 6) * pmod(id, 6) * pmod(id, 6) * 9 AS high")
+    found = within_intervals(points, spans, "at", "low", "high")
+    at = [r.at for r in points.collect()]
+    assert found.count() == sum(r.low <= v <= r.high for r in spans.collect() for v in at)
+    (left, right), = sides
+    assert left.count() == 400  # not once for each length of interval
+    assert right.count() <= found.count() + 2 * 60
+
+
+def test_a_key_of_many_pairs_is_split(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PAIRS", 100)
+    left = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 0), (3, 0), (None, 5)], "k int, a int")
+    right = spark.createDataFrame([(1, i) for i in range(9)] + [(2, i) for i in range(300)] + [(4, 0), (None, 1)], "k int, b int")
+    out = balanced_join(left, right, ["k"])
+    assert sorted(map(tuple, out.collect())) == sorted([(1, i, j) for i in range(200) for j in range(9)] + [(2, 0, j) for j in range(300)])
+    assert balanced_join(left, right.limit(0), ["k"]).count() == 0
