@@ -18,20 +18,23 @@ _OTHER = "[^a-z0-9_]"
 
 def _entries(subject: Column) -> Column:
     """What a text in small letters is found by: its words of ASCII letters, digits and ``_``, and each other character."""
-    return F.array_distinct(F.filter(F.concat(F.split(subject, f"{_OTHER}+"), F.split(F.regexp_replace(
-        subject, "[a-z0-9_]+", ""), "")), lambda e: e != ""))
+    return F.array_remove(F.array_distinct(F.concat(F.split(subject, f"{_OTHER}+"), F.split(F.regexp_replace(
+        subject, "[a-z0-9_]+", ""), ""))), "")
 
 
 def write_term_index(df: DataFrame, key: str, text: str, path: str, bands: int = 256) -> None:
     """Store which terms the text of each row holds. ``key`` names a row; rows of one key count as one.
 
     Rows without a key or text are not found later. The entries are sorted by term over all files; the rows of a very
-    frequent term lie in several bands.
+    frequent term lie in several bands. The entries are stored unsorted first: the ranges are cut by a look at all of them,
+    and the texts are taken apart only once.
     """
     if not 1 <= bands <= MOST_BANDS:
         raise ValueError(f"between 1 and {MOST_BANDS} bands")
     entries = df.filter(F.col(key).isNotNull()).select(
         F.explode(_entries(F.lower(F.col(text).cast("string")))).alias("term"), F.col(key).alias("key"))
+    entries.write.mode("overwrite").parquet(f"{path}/entries")
+    entries = df.sparkSession.read.schema(entries.schema).parquet(f"{path}/entries")
     placed = entries.repartitionByRange(bands, "term", "key").withColumn("band", F.spark_partition_id())
     placed.sortWithinPartitions("band", "term").write.mode("overwrite").partitionBy("band").parquet(f"{path}/terms")
     stored = df.sparkSession.read.schema(f"term string, key {df.schema[key].dataType.simpleString()}, band int").parquet(f"{path}/terms")
@@ -63,22 +66,38 @@ def look_up(spark: SparkSession, path: str, probes: DataFrame, salts: int = 0) -
     return join(entries, probes, "term", "inner", salts=salts)
 
 
+def _checked(df: DataFrame, key: str, text: str, open_: DataFrame, salts: int) -> DataFrame:
+    """(key, term) of ``open_`` whose term stands in the row's text. A text meets all its terms at once, and most that it
+    does not hold are left out by the plain substring test."""
+    wanted = open_.groupBy(key).agg(F.collect_set("wanted").alias("_wanted"))
+    texts = df.select(key, F.lower(F.col(text).cast("string")).alias("_subject"))
+    held = join(texts, wanted, key, "inner", salts=salts).withColumn("wanted", F.explode(F.filter(
+        "_wanted", lambda w: F.contains(F.col("_subject"), w)))).drop("_wanted")
+    return held.filter(has("_subject", F.col("wanted"))).select(key, "wanted")
+
+
+def _found(df: DataFrame, key: str, path: str, terms: DataFrame, term: str, salts: int) -> DataFrame:
+    return look_up(df.sparkSession, path, _probed(terms, term), salts).select(F.col("key").alias(key), "wanted", "whole")
+
+
 def _matches(df: DataFrame, key: str, text: str, path: str, terms: DataFrame, term: str, salts: int) -> DataFrame:
     """(key, term) of every row that has a term, whole words from the index alone, others after a look at the text."""
-    found = look_up(df.sparkSession, path, _probed(terms, term), salts).select(F.col("key").alias(key), "wanted", "whole")
-    open_ = found.filter(~F.col("whole"))
-    texts = df.select(key, F.col(text).alias("_subject"))
-    checked = join(texts, open_, key, "inner", salts=salts).filter(has("_subject", F.col("wanted")))
-    return found.filter("whole").select(key, "wanted").unionByName(checked.select(key, "wanted"))
+    found = _found(df, key, path, terms, term, salts)
+    checked = _checked(df, key, text, found.filter(~F.col("whole")), salts)
+    return found.filter("whole").select(key, "wanted").unionByName(checked)
 
 
 def rows_with_any(df: DataFrame, key: str, text: str, path: str, terms: DataFrame, term: str = "term", salts: int = 0) -> DataFrame:
     """Rows whose text has at least one term of a table, as ``has_any`` finds them, by an index of the same rows.
 
-    Empty and null terms are never found. An empty table of terms finds nothing.
+    Empty and null terms are never found. An empty table of terms finds nothing. Only rows without one of the terms that
+    are whole words are looked at for the others.
     """
-    found = _matches(df, key, text, path, terms, term, salts)
-    return join(df, found.select(key), key, "leftsemi", salts=salts)
+    found = _found(df, key, path, terms, term, salts)
+    sure = found.filter("whole").select(key).distinct()
+    open_ = join(found.filter(~F.col("whole")), sure, key, "leftanti", salts=salts)
+    checked = _checked(df, key, text, open_, salts).select(key)
+    return join(df, sure.unionByName(checked), key, "leftsemi", salts=salts)
 
 
 def rows_with_all(df: DataFrame, key: str, text: str, path: str, terms: DataFrame, term: str = "term", salts: int = 0) -> DataFrame:

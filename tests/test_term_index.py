@@ -84,3 +84,23 @@ def test_empty_table_and_bad_bands(spark, tmp_path):
     assert rows_with_any(rows, "id", "body", str(tmp_path / "a"), _terms(spark, ["x"])).collect() == []
     with pytest.raises(ValueError):
         write_term_index(rows, "id", "body", str(tmp_path / "b"), bands=5000)
+
+
+def test_a_text_meets_all_its_open_terms_at_once(spark, tmp_path, monkeypatch):
+    from huntframe.sources import term_index
+
+    path, texts = str(tmp_path), ["a b c d", "b c", "c d e", "e f", "x y", "A  B", "b-c"]
+    rows = spark.createDataFrame([*enumerate(texts), (1, "b c"), (1, "x b c")], "id long, body string")
+    write_term_index(rows, "id", "body", path, bands=3)
+    table = _terms(spark, ["a b", "b c", "c d", "d e", "x"])
+    met, plain = [], term_index.join
+
+    def seen(left, right, key, kind, **rest):
+        met.append((left, right, kind))
+        return plain(left, right, key, kind, **rest)
+
+    monkeypatch.setattr(term_index, "join", seen)
+    assert sorted((r.id, r.body) for r in rows_with_any(rows, "id", "body", path, table).collect()) == [
+        (0, "a b c d"), (1, "b c"), (1, "b c"), (1, "x b c"), (2, "c d e"), (4, "x y")]
+    wanted = next(right for left, right, kind in met if "_subject" in left.columns)
+    assert sorted(r.id for r in wanted.select("id").collect()) == [0, 2, 3, 5, 6]  # no row twice, and none that has the word x
