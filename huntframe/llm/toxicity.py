@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from huntframe.llm.components import _stored
 from huntframe.llm.sampling import LONGEST, SLICE, bounded_sample, near_copy_marks, with_texts, without_near_copies
 from huntframe.llm.share import Shared
 from huntframe.llm.shards import _release
@@ -193,20 +193,21 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """
     voted = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    # Only ids, sizes and marks are shuffled; the texts of the bounded sample are fetched at the end.
-    labelled = near_copy_marks(documents).join(voted, "doc_id").persist(StorageLevel.DISK_ONLY)
+    # Only ids, sizes and marks are shuffled; the texts of the bounded sample are fetched at the end. Each step is stored in
+    # the shared folder: the plan of a cached table holds those of all before it, and the driver keeps every plan that has run.
+    labelled = _stored(near_copy_marks(documents).join(voted, "doc_id"), "labelled")
     share = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     rate = share.get(1, 0) / max(1, sum(share.values()))
     if len(share) < 2:
         return {"rate": rate, "model": None}
     # A text is only left out for one of its own class: what both classes share says something about neither.
-    different = (labelled if near_copies else without_near_copies(labelled, within="toxic")).persist(StorageLevel.DISK_ONLY)
+    different = labelled if near_copies else _stored(without_near_copies(labelled, within="toxic"), "different")
     sizes = different.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")).collect()
     drawn = bounded_sample(different, "toxic", min(sample_rows, *[r.n for r in sizes]),
                            min(sample_bytes, *[max(1, r.total) for r in sizes]), longest=longest)
-    sample = with_texts(drawn, documents).persist(StorageLevel.DISK_ONLY)
+    sample = _stored(with_texts(drawn, documents), "sample")
     spark = documents.sparkSession
-    counts = _counted(sample.filter(F.col("draw") < COUNTED)).persist(StorageLevel.DISK_ONLY)
+    counts = _stored(_counted(sample.filter(F.col("draw") < COUNTED)), "counts")
     rest = sample.filter(F.col("draw") >= COUNTED).select("toxic", "text")
     best = {"rate": rate, "model": None, "loss": np.inf}
     for spread in SPREADS:
@@ -220,18 +221,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
                 best = {"rate": rate, "model": model, **curve}
     if best["model"] is None:
         best = _fit_small(sample, rate)
-    for kept in (counts, sample, different, labelled):
-        kept.unpersist()
     return best
 
 
 def _fit_small(sample: DataFrame, rate: float) -> dict:
     """A model of all texts of a small sample."""
     spark = sample.sparkSession
-    whole, x, y = KneserNey.fit(_counted(sample), SMALL_SPREAD, SMALL_DISCOUNT), [], []
+    whole, x, y = KneserNey.fit(_stored(_counted(sample), "counts"), SMALL_SPREAD, SMALL_DISCOUNT), [], []
     for part in range(PARTS):
         judged = (F.col("draw") * PARTS).cast("int") == part
-        model = KneserNey.fit(_counted(sample.filter(~judged)), SMALL_SPREAD, SMALL_DISCOUNT)
+        model = KneserNey.fit(_stored(_counted(sample.filter(~judged)), "counts"), SMALL_SPREAD, SMALL_DISCOUNT)
         found = _numpy(_totals(sample.filter(judged).select("toxic", "text"), Shared(spark, model), "text").select("toxic", "_total", "_n"))
         x.append(_features(found["_total"], found["_n"]))
         y.append(found["toxic"].astype(float))

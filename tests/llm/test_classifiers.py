@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from huntframe.llm import language, sampling, toxicity
+from plans import plan_of
 
 WORDS = {"aa": ["der", "und", "nicht", "haus", "straße", "zeit"], "bb": ["the", "and", "house", "street", "time", "not"],
          "cc": ["la", "et", "maison", "été", "rue", "temps"]}
@@ -194,3 +195,17 @@ def test_stage_keeps_documents_without_a_model(spark, tmp_path):
     docs, labels = labelled(spark, toxic_rows(7, 30))
     labels.withColumn("toxic", F.lit(1)).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 30
+
+
+def test_models_are_fitted_without_the_plans_of_earlier_steps(spark, monkeypatch):
+    totals, plans = toxicity._totals, []
+
+    def seen(docs, *args):
+        plans.append(plan_of(docs))
+        return totals(docs, *args)
+
+    monkeypatch.setattr(toxicity, "_totals", seen)
+    for n in (40, 400):
+        toxicity.fit(*labelled(spark, toxic_rows(8, n)))
+    assert len(plans) > len(toxicity.SPREADS)
+    assert [p for p in plans if "parquet" not in p or "Exchange" in p or "InMemoryTableScan" in p] == []
