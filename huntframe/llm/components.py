@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.session import scratch_path
+from huntframe.session import scratch_path, store
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    store(df, path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from huntframe.llm import shards
 from huntframe.llm.shards import unpacked
 from huntframe.llm.text import SPACED, Powers, Words, byte_codes, chained, text_bytes, text_slices
-from huntframe.session import scratch_path
+from huntframe.session import scratch_path, store
 
 BURN_IN = 5  # sweeps that are not averaged
 DRAWS = 4  # sweeps after these, which are
@@ -100,10 +100,10 @@ def root_probability(customers, tables, all_customers, all_tables, vocabulary_si
 class Tokens:
     """The tokens of a shard's texts, each text closed by an end token, and their different words and pairs."""
 
-    def __init__(self, table: pa.Table, powers: Powers):
+    def __init__(self, table: pa.Table, powers: Powers, text: str = "_text"):
         codes, words, sizes = byte_codes(), [], []
-        for batch in text_slices(table.combine_chunks().to_batches(), "_text"):
-            found = Words(*text_bytes(batch.column("_text")), SPACED, powers, codes)
+        for batch in text_slices(table.combine_chunks().to_batches(), text):
+            found = Words(*text_bytes(batch.column(text)), SPACED, powers, codes)
             words.append(np.insert(found.hash, found.border[1:], END))
             sizes.append(np.diff(found.border) + 1)
         self.token = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -140,6 +140,17 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), number
 
 
+def _ranked(keys: np.ndarray, buckets: int, steps: np.ndarray) -> np.ndarray:
+    """Numbers that stand for a shard's sorted keys in what is sent later: they fall into the same buckets and hold the
+    rank there, so that their differences are small. ``steps`` are those of the ranks, anew in each bucket."""
+    place = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    begins, steps = np.flatnonzero(np.diff(place.astype(np.int64), prepend=-1)), steps.astype(np.uint64)
+    upto = np.cumsum(steps, dtype=np.uint64)
+    rank = upto - np.repeat(upto[begins] - steps[begins], np.diff(np.append(begins, len(keys))))
+    low = ((place << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets)
+    return (low << np.uint64(32)) | rank
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -155,11 +166,10 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     carried = [c for c in docs.columns if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(learn, F.lit(False)).alias("_learn"),
-                         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, text])], F.coalesce(learn, F.lit(False)).alias("_learn"))
     count = shards.shard_count(docs, text, shard_bytes)
-    train = _train_tokens(source)
-    texts = shards.sharded(source, count, "_text", shard_bytes)
+    train = _train_tokens(source, text)
+    texts = shards.sharded(source, count, text, shard_bytes)
     grouped = texts.groupBy("shard")
     stirling = [stirling_logs(d).tolist() for d in (PAIR_DISCOUNT, ROOT_DISCOUNT)]
 
@@ -167,7 +177,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
 
     # 1. pairs: counts over all shards; one shard of those that have a pair speaks for it
     def ask_pairs(table: pa.Table) -> pa.Table:
-        tokens = Tokens(shards.opened(table), Powers())
+        tokens = Tokens(shards.opened(table), Powers(), text)
         tokens.find_pairs()
         return shards.runs(table["shard"][0].as_py(), count, tokens.pairs, n=tokens.pair_counts.astype(np.uint32))
 
@@ -177,16 +187,18 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         shared = np.diff(np.append(first, len(keys))) > 1
         speaks = np.zeros(len(keys), bool)
         speaks[order[first]] = True
-        return np.column_stack([total[number], _SPEAKS * speaks + _SHARED * shared[number]]).astype(np.uint32)
+        steps, begins = np.diff(number, prepend=0), np.flatnonzero(np.diff(rows, prepend=-1))
+        steps[begins] = number[begins]
+        return np.column_stack([total[number], _SPEAKS * speaks + _SHARED * shared[number], steps]).astype(np.uint32)
 
     pairs_asked = grouped.applyInArrow(shards.releasing(ask_pairs), "bucket int, shard long, keys binary, n binary")
     pairs = shards.answered(pairs_asked, {"n": np.uint32}, count_pairs)
 
     # 2. what stays: pairs seen once have one table; those seen more often are kept to be drawn
     def start(table: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, shard = Tokens(shards.opened(table), Powers()), table["shard"][0].as_py()
+        tokens, shard = Tokens(shards.opened(table), Powers(), text), table["shard"][0].as_py()
         tokens.find_pairs()
-        total, flags = shards.answers_of(answers, np.uint32).reshape(-1, 2).T
+        total, flags, steps = shards.answers_of(answers, np.uint32).reshape(-1, 3).T
         own, shared = flags & _SPEAKS > 0, (flags & _SHARED > 0) & (total > 1)
         once, drawn = own & (total == 1), own & (total > 1)
         contexts, words = (np.bincount(side[once], minlength=len(tokens.words)).astype(np.uint32)
@@ -197,8 +209,8 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         context, word = np.split(place.ravel().astype(np.uint32), 2)
         return pa.concat_tables([
             _messages("words", said),
-            _row("shard", -1, shard, shards.packed_keys(tokens.words[active]), *map(shards.packed, (context, word, total[drawn])),
-                 shards.packed_keys(tokens.pairs[shared]), shards.packed(own[shared]), shards.packed(shared[drawn])),
+            _row("shard", -1, shard, shards.packed_keys(tokens.words[active]), *map(shards.packed, (context, word, total[drawn]))),
+            _row("common", -1, shard, shards.packed_keys(_ranked(tokens.pairs, count, steps)[shared]), shards.packed(own[shared]), shards.packed(shared[drawn])),
             _row("pairs", -1, shard, shards.packed(total), shards.packed(flags.astype(np.uint8)))])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -219,21 +231,21 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
     for sweep in range(1 + burn_in + draws):
         known = fixed.union(last.filter("kind = 'tables'")).union(seated.filter("kind = 'answer'"))
         work = _seat_pairs(sweep, count, vocabulary_size, *totals[-1], stirling[0])
-        last = stored(shards.by_shard(known, count).applyInArrow(shards.releasing(work), _ROW))
+        last = stored(shards.by_shard(known, count).applyInArrow(shards.releasing(work), _ROW), f"pairs {sweep % 2}")
         known = buckets.union(last.filter("kind = 'said'")).union(seated.filter("kind = 'root'"))
         work = _seat_words(sweep, vocabulary_size, totals[-1][1], stirling[1])
-        seated = stored(known.groupBy("bucket").applyInArrow(shards.releasing(work), _ROW))
+        seated = stored(known.groupBy("bucket").applyInArrow(shards.releasing(work), _ROW), f"words {sweep % 2}")
         totals.append(tuple(x or 0 for x in seated.agg(F.sum("a"), F.sum("b")).first()))
         if sweep > burn_in:
-            kept.append((last.filter("kind = 'tables'"), seated.filter("kind = 'root'")))
+            kept.append((stored(last.filter("kind = 'tables'")), stored(seated.filter("kind = 'root'"))))
     totals = totals[-draws:]
     kept_tables, kept_roots = (reduce(DataFrame.union, x) for x in zip(*kept))
 
     # 4. scores
     def share(table: pa.Table) -> pa.Table:
         rows = _by_kind(table)
-        parts = rows["shard"][0][2]
-        keys, own, of_drawn = shards.unpacked_keys(parts[4]), unpacked(parts[5], bool), unpacked(parts[6], bool)
+        parts = rows["common"][0][2]
+        keys, own, of_drawn = shards.unpacked_keys(parts[0]), unpacked(parts[1], bool), unpacked(parts[2], bool)
         tables = np.zeros((len(keys), draws), np.uint32)
         for d, (_, _, (drawn,)) in enumerate(rows["tables"]):
             tables[own, d] = unpacked(drawn, np.uint32)[of_drawn]
@@ -243,9 +255,9 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
         order, first, number = _grouped(keys)
         return np.maximum.reduceat(arrays["tables"].reshape(-1, draws)[order], first, axis=0)[number]
 
-    shared_asked = shards.by_shard(fixed.union(kept_tables), count).applyInArrow(
+    shared_asked = shards.by_shard(started.filter("kind = 'common'").union(kept_tables), count).applyInArrow(
         shards.releasing(share), "bucket int, shard long, keys binary, tables binary")
-    shared = shards.answered(shared_asked, {"tables": np.uint32}, told_tables)
+    shared = stored(shards.answered(shared_asked, {"tables": np.uint32}, told_tables))
 
     def reply(table: pa.Table) -> pa.Table:
         rows = _by_kind(table)
@@ -258,7 +270,8 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
             out.append(_row("answer", bucket, shard, shards.packed(n[at]), shards.packed(seats[at])))
         return pa.concat_tables(out)
 
-    replies = buckets.union(kept_roots).union(started.filter("kind = 'words'")).groupBy("bucket").applyInArrow(
+    words = started.filter("kind = 'words'").withColumn("parts", F.slice("parts", 1, 1))
+    replies = buckets.union(kept_roots).union(words).groupBy("bucket").applyInArrow(
         shards.releasing(reply), _ROW)
     of_shared = shared.select(F.lit("shared").alias("kind"), "bucket", "shard", F.array("answer").alias("parts"),
                               F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
@@ -268,7 +281,7 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         table, rows = shards.opened(table), _by_kind(answers)
-        tokens = Tokens(table, Powers())
+        tokens = Tokens(table, Powers(), text)
         tokens.find_pairs()
         n = np.concatenate([unpacked(p[0], np.uint64) for _, _, p in rows["answer"]]).astype(np.int64)
         seats = np.concatenate([unpacked(p[1], np.uint32).reshape(-1, 3 * draws) for _, _, p in rows["answer"]])
@@ -301,14 +314,17 @@ def score(docs: DataFrame, learn, name: str = "doc_id", text: str = "text", draw
 
 
 class _Stored:
-    """Tables in the shared folder: a sweep's draws are made once."""
+    """Tables in the shared folder: a sweep's draws are made once. A named place holds one table at a time; a sweep takes
+    those of the sweep before, so two places by turns are enough."""
 
     def __init__(self, spark):
-        self.spark = spark
+        self.spark, self.places = spark, {}
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, place: str | None = None) -> DataFrame:
         path = scratch_path(self.spark, "seating")
-        df.write.parquet(path)
+        if place is not None:
+            path = self.places.setdefault(place, path)
+        store(df, path, "overwrite")
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -397,11 +413,11 @@ def schema_table(table: pa.Table, carried: list[str], whole: list, real: list) -
                      **{c: pa.array(np.asarray(v, np.float64)) for c, v in zip(names[3:], real)}})
 
 
-def _train_tokens(source: DataFrame) -> int:
+def _train_tokens(source: DataFrame, text: str) -> int:
     """Tokens of the texts learnt from, ends included."""
     def run(batches):
-        for batch in text_slices(batches, "_text"):
-            data, offsets = text_bytes(batch.column("_text"))
+        for batch in text_slices(batches, text):
+            data, offsets = text_bytes(batch.column(text))
             inside = SPACED[data]
             opens = inside.copy()
             opens[1:] &= ~inside[:-1]
@@ -409,4 +425,4 @@ def _train_tokens(source: DataFrame) -> int:
             opens[first] = inside[first]
             yield pa.RecordBatch.from_arrays([pa.array([int(opens.sum()) + batch.num_rows], pa.int64())], names=["n"])
 
-    return source.filter("_learn").select("_text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return source.filter("_learn").select(f"`{text}`").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -215,3 +215,31 @@ def test_pairs_keep_all_bits_and_four_sweeps_are_averaged():
     tokens = pitman_yor.Tokens(pa.table({"_text": [text], "_learn": [True]}), Powers())
     tokens.find_pairs()
     assert pitman_yor.DRAWS == 4 and len(tokens.pairs) == 301 and (tokens.pairs & np.uint64(0xFFFF)).any()
+
+
+def test_blocks_hold_a_text_once(documents, monkeypatch):
+    sharded, seen = pitman_yor.shards.sharded, []
+
+    def counted(docs, *args):
+        seen.append([c for c, kind in docs.dtypes if kind == "string" and c not in ("lang", "source")])
+        return sharded(docs, *args)
+
+    monkeypatch.setattr(pitman_yor.shards, "sharded", counted)
+    rows = [(0, None), (1, "one two"), (2, ""), (3, "one two one")]
+    check_base(rows, scored(documents(rows)))
+    assert seen == [["text"]]
+
+
+def test_ranks_stand_for_keys_in_the_same_buckets():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 64, 4000, dtype=np.uint64))
+    for buckets in (1, 7, 40):
+        place = [int(k) >> 32 for k in keys.tolist()]
+        place = np.array([p * buckets >> 32 for p in place])
+        own = np.sort(rng.choice(len(keys), 500, replace=False))
+        rank = np.array([i - np.searchsorted(place, p) for i, p in enumerate(place.tolist())])
+        steps = np.concatenate([np.diff(rank[own][place[own] == p], prepend=0) for p in range(buckets)])
+        found = pitman_yor._ranked(keys[own], buckets, steps.astype(np.uint32))
+        assert [(int(x) >> 32) * buckets >> 32 for x in found.tolist()] == place[own].tolist()
+        assert (found & np.uint64(0xFFFFFFFF)).tolist() == rank[own].tolist() and (np.diff(found.astype(object)) > 0).all()
+    assert len(pitman_yor._ranked(keys[:0], 3, np.zeros(0, np.uint32))) == 0
