@@ -27,6 +27,7 @@ SKETCH_BITS = 17  # the table of shingle frequencies has 2**17 counts
 MOST_MATCHES = 4
 VERIFY = 1 / 16  # cost of comparing a shingle of two sets, in look-ups
 FIRST_LOOKS = 2
+MARKED_BITS = 24  # ids of sets to be verified are marked in 2**24 bits, 2 MB for every task
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, powers: Powers, codes: np.ndarray) -> list[np.ndarray]:
@@ -198,10 +199,23 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
     return texts.groupBy("shard").cogroup(shards.by_shard(replies, count)).applyInArrow(shards.releasing(tell), _ROW)
 
 
+def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of which pairs hold the id, and those few whose ids fall on the same marks: the others need not be moved."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << MARKED_BITS))
+    bucket, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy(bucket.alias("_bucket")).agg(
+        F.bitmap_construct_agg(place).alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
+    return sets.withColumn("_bucket", bucket).join(F.broadcast(marks), "_bucket").filter(marked).select(*sets.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough. ``pairs`` is a stored table: it is read for each side."""
+    asked = _asked(sets, pairs)
+
     def of(name: str) -> DataFrame:
-        return sets.select(F.col("id").alias(name), F.col("shingles").alias(f"shingles_{name}"))
+        return asked.select(F.col("id").alias(name), F.col("shingles").alias(f"shingles_{name}"))
 
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -259,9 +273,14 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
     # Whole sets are looked up by id where pairs are verified; all else moves without them.
     sets = rows.filter(F.col("tokens").isNotNull() & F.col("id").isNotNull()).select("id", "n", "matches", "prefix", "shingles")
     columns = ["id", "n", "place"]
-    tokens = rows.filter(F.col("tokens").isNotNull()).select("id", "n", "sig_a", "sig_b", "tokens", "places").join(
-        vertices, ["sig_a", "sig_b"]).filter("id = vertex").select(
-        "id", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
+    listed = rows.filter(F.col("tokens").isNotNull()).select("id", "n", "sig_a", "sig_b", "tokens", "places").join(
+        vertices, ["sig_a", "sig_b"]).filter("id = vertex").select("id", "n", "tokens", "places")
+
+    def tokens(known: DataFrame | None) -> DataFrame:
+        """A row per vertex and prefix shingle; components are looked up before the lists are taken apart."""
+        placed = listed.withColumn("component", F.col("id")) if known is None else listed.join(known, "id", "left").withColumn(
+            "component", F.coalesce("component", "id"))
+        return placed.select("id", "n", "component", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         return df.select("token", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
@@ -272,9 +291,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
     links = repeated
     known = None
     for look in range(FIRST_LOOKS):
-        near = tokens.withColumn("band", band)
-        near = near.withColumn("component", F.col("id")) if known is None else near.join(known, "id", "left").withColumn(
-            "component", F.coalesce("component", "id"))
+        # Dealt out once, for the leaders and for their followers.
+        near = tokens(known).withColumn("band", band).repartition("token", "band")
         leaders = near.groupBy("token", "band").agg(
             F.min_by(F.struct(*columns, "component"), F.xxhash64("id", F.lit(look))).alias("l"),
             F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
@@ -282,11 +300,12 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
             "token", "band", F.col("l.component").alias("other"), *[F.col(f"l.{c}").alias(f"{c}_b") for c in columns]),
             ["token", "band"]).filter((F.col("component") != F.col("other")) & _near(percent))
         star = star.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-        links = links.union(_stored(_verified(_may_link(star, sets, percent), sets, percent), "links"))
+        star = _stored(_may_link(star, sets, percent), "pairs")
+        links = links.union(_stored(_verified(star, sets, percent), "links"))
         known = connected(links)
 
     # Second look: pairs of documents that are not connected yet.
-    placed = tokens.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = tokens(known).repartition("token")
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
         "low != high").select("token")
     left = placed.join(open_tokens, "token", "left_semi")
@@ -294,7 +313,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
         F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     pairs = side(left, "a", "component").join(side(left.withColumnRenamed("component", "other"), "b", "other"), "token").filter(
         condition & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    second = _stored(_verified(_may_link(pairs, sets, percent), sets, percent), "links")
+    pairs = _stored(_may_link(pairs, sets, percent), "pairs")
+    second = _stored(_verified(pairs, sets, percent), "links")
     components = connected(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))
 
     of_documents = member.join(components, F.col("vertex") == components["id"], "left").groupBy(member["id"]).agg(

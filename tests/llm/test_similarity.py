@@ -4,9 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from huntframe.llm import similarity
 from huntframe.llm.components import connected
+from plans import plan_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -111,3 +113,38 @@ def test_components_of_random_links(spark):
     vertices = {v for link in links for v in link if link[0] != link[1]}
     assert {r.id: r.component for r in rows} == components(vertices, links)
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_shingles_are_dealt_out_once_for_each_look(spark, documents, monkeypatch):
+    stored, plans = similarity._stored, []
+
+    def seen(df, label):
+        plans.append(plan_of(df))
+        return stored(df, label)
+
+    monkeypatch.setattr(similarity, "_stored", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        common = " ".join(f"c{i}" for i in range(30))
+        rows = [(i, f"{common} end{i % 7} and{i % 3}") for i in range(40)]
+        found = similarity.link(documents(rows), size=3, percent=80).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.component_id for r in found} == {0}
+    looks = [p.split("\n") for p in plans if "Generate inline" in p]
+    assert len(looks) == similarity.FIRST_LOOKS + 1
+    for lines in looks:
+        for at in [i for i, line in enumerate(lines) if "Generate inline" in line]:
+            # the nearest exchange that a row of one shingle passes
+            above = [line for line in lines[:at] if "Exchange" in line and line.index("Exchange") < lines[at].index("Generate")]
+            assert "Exchange hashpartitioning(token" in above[-1]
+
+
+def test_only_sets_that_pairs_hold_are_moved(spark):
+    sets = spark.range(-3000, 3000).select("id", F.array("id").alias("shingles"))
+    asked = [(i, i + 17) for i in range(-2990, 2900, 41)]
+    pairs = spark.createDataFrame(asked, "a long, b long")
+    found = [r.id for r in similarity._asked(sets, pairs).collect()]
+    wanted = {x for pair in asked for x in pair}
+    assert len(found) == len(set(found)) and wanted <= set(found) and len(found) < len(wanted) + 20
+    assert similarity._asked(sets, pairs.limit(0)).count() == 0
