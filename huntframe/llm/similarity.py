@@ -6,6 +6,10 @@ the prefixes share at least ``l`` shingles. Each document picks its own ``l``: a
 look-ups, but asks for more matches before a pair is verified. Frequencies come from a table of fixed size
 that counts all shingles of all documents.
 
+A set also has marks, a bit for each of some hundred slots that tells whether an odd number of its shingles fall there.
+A shingle that only one of two sets has changes one bit, so sets whose marks differ in more bits than similar sets may
+differ in shingles need no look; where sets are not too large, that leaves next to none but the similar ones.
+
 Links, not pairs, are wanted in the end. Equal sets are one vertex; documents that share a prefix shingle are
 first compared with one of them only, and only what this leaves unconnected is compared pair by pair. So a
 large group of copies does not give rise to all its pairs, and no link between components is lost.
@@ -26,6 +30,7 @@ from huntframe.llm.text import SPACED, Powers, Words, byte_codes, chained, mixed
 SKETCH_BITS = 17  # the table of shingle frequencies has 2**17 counts
 MOST_MATCHES = 4
 VERIFY = 1 / 16  # cost of comparing a shingle of two sets, in look-ups
+MARK_BITS = 9  # a set has 2**9 marks, 64 bytes
 FIRST_LOOKS = 2
 MARKED_BITS = 24  # ids of sets to be verified are marked in 2**24 bits, 2 MB for every task
 
@@ -76,6 +81,11 @@ class Prefixes:
         self.cost = np.maximum(frequencies - frequencies.mean(), 1.0)
         self.level = np.log2(self.cost).astype(np.int64)
 
+    def told_by_marks(self, n: int) -> bool:
+        """Whether the marks of unrelated sets of this size differ in far more bits than similar sets may differ in shingles."""
+        marks = 1 << MARK_BITS
+        return 2 * n * (100 - self.percent) / (100 + self.percent) < 0.8 * marks / 2 * (1 - np.exp(-4 * n / marks))
+
     def of(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
         """(prefix, matches it asks for)."""
         n = len(shingles)
@@ -88,7 +98,8 @@ class Prefixes:
         lookups = np.cumsum(self.cost[slot[order[:spare + most]]])[spare:]
         matches = np.arange(1, most + 1)
         # Look-ups, and candidates: documents found once in the lists can be candidates only if found often enough.
-        chosen = int(np.argmin(lookups * (1 + VERIFY * n / matches ** 2))) + 1
+        verify = 0 if self.told_by_marks(n) else VERIFY * n
+        chosen = int(np.argmin(lookups * (1 + verify / matches ** 2))) + 1
         return shingles[order[:spare + chosen]], chosen
 
 
@@ -97,6 +108,13 @@ def _signature(shingles: np.ndarray) -> tuple[int, int]:
     return (int(mixed(shingles).sum(dtype=np.uint64)), int(mixed(shingles ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64)))
 
 
+def marks_of(shingles: np.ndarray) -> np.ndarray:
+    """The marks of a set, as signed 64-bit integers."""
+    slots = (mixed(shingles) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+    odd = np.bincount(slots, minlength=1 << MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def reach(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
     """The size up to which another set can be similar if the first shared shingle stands at ``place``: what comes
     before it is not shared, so at most ``n - place`` shingles are."""
@@ -126,12 +144,13 @@ def _alike(tokens: np.ndarray, n: np.ndarray, upto: np.ndarray, signature: np.nd
     return order, np.flatnonzero(new), np.repeat(many, np.diff(np.append(begins, len(order))))
 
 
-_ROW = "id long, n long, sig_a long, sig_b long, matches int, tokens array<long>, places array<long>, prefix array<long>, shingles array<long>"
+_ROW = "id long, n long, sig_a long, sig_b long, matches int, tokens array<long>, places array<long>, prefix array<long>, " \
+       "shingles array<long>, marks array<long>"
 
 
 def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> DataFrame:
     """One row per document (id, text): size and signature of its set and, if its prefix shares a shingle
-    with a different set, these shingles and the whole set."""
+    with a different set, these shingles, the whole set and its marks."""
     prefixes = Shared(docs.sparkSession, Prefixes(shingle_frequencies(docs, "text", size), percent))
     count = shards.shard_count(docs, "text", shard_bytes)
     texts = shards.sharded(docs, count, "text", shard_bytes)
@@ -182,11 +201,12 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
             near = np.minimum(np.searchsorted(keys, prefix), len(keys) - 1)
             places = np.flatnonzero(keys[near] == prefix) if len(keys) else np.zeros(0, np.int64)
             some = len(places) > 0
-            rows.append((name, len(shingles), a, b, matches, *((prefix[places], places, prefix, shingles) if some else [None] * 4)))
+            rows.append((name, len(shingles), a, b, matches, 
+                         *((prefix[places], places, prefix, shingles, marks_of(shingles)) if some else [None] * 5)))
 
         def signed(x):
             return None if x is None else np.array(x, np.uint64).view(np.int64)
-        columns = list(zip(*rows)) if rows else [[]] * 9
+        columns = list(zip(*rows)) if rows else [[]] * 10
         return pa.table({
             "id": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()),
             "sig_a": pa.array(signed(list(columns[2])), pa.int64()), "sig_b": pa.array(signed(list(columns[3])), pa.int64()),
@@ -194,7 +214,8 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
             "tokens": pa.array([signed(x) for x in columns[5]], pa.list_(pa.int64())),
             "places": pa.array(list(columns[6]), pa.list_(pa.int64())),
             "prefix": pa.array([signed(x) for x in columns[7]], pa.list_(pa.int64())),
-            "shingles": pa.array([signed(x) for x in columns[8]], pa.list_(pa.int64()))})
+            "shingles": pa.array([signed(x) for x in columns[8]], pa.list_(pa.int64())),
+            "marks": pa.array(list(columns[9]), pa.list_(pa.int64()))})
 
     return texts.groupBy("shard").cogroup(shards.by_shard(replies, count)).applyInArrow(shards.releasing(tell), _ROW)
 
@@ -230,12 +251,21 @@ def _near(percent: int) -> Column:
     return left * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
 
 
+def _alike_by_marks(percent: int) -> Column:
+    """Two sets whose marks differ in no more bits than similar sets of their sizes differ in shingles."""
+    differ = sum(F.bit_count(F.get("marks_a", F.lit(i)).bitwiseXOR(F.get("marks_b", F.lit(i)))) for i in range(1 << MARK_BITS - 6))
+    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
 def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share as many prefix shingles as both ask for, and may share enough in all: those,
     and at most what follows the last of them in both sets on the shorter prefix (in the common order, in
-    which a prefix is the beginning of a set)."""
+    which a prefix is the beginning of a set). A pair of which one asks for one shingle is known to share it; it is not
+    looked up again."""
+    several = sets.filter("matches > 1")
+
     def of(name: str) -> DataFrame:
-        return sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "matches", "prefix")])
+        return several.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "matches", "prefix")])
 
     shared = F.array_intersect("prefix_a", "prefix_b")
     found = F.size(shared)
@@ -244,8 +274,9 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Behind the end of a prefix all may be shared, between the last shared one and that end nothing of it is.
     inside = [F.size(f"prefix_{s}") - F.array_position(f"prefix_{s}", last) for s in "ab"]
     most = found + F.least(rest[0], rest[1], F.greatest(rest[0] - inside[0], rest[1] - inside[1]))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(
-        (found >= F.least("matches_a", "matches_b")) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)).select(
+    one = F.col("matches_a").isNull() | F.col("matches_b").isNull()
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(
+        one | (found >= F.least("matches_a", "matches_b")) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)).select(
         "a", "b").distinct()
 
 
@@ -272,15 +303,15 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
 
     # Whole sets are looked up by id where pairs are verified; all else moves without them.
     sets = rows.filter(F.col("tokens").isNotNull() & F.col("id").isNotNull()).select("id", "n", "matches", "prefix", "shingles")
-    columns = ["id", "n", "place"]
-    listed = rows.filter(F.col("tokens").isNotNull()).select("id", "n", "sig_a", "sig_b", "tokens", "places").join(
-        vertices, ["sig_a", "sig_b"]).filter("id = vertex").select("id", "n", "tokens", "places")
+    columns = ["id", "n", "place", "marks"]
+    listed = rows.filter(F.col("tokens").isNotNull()).select("id", "n", "sig_a", "sig_b", "tokens", "places", "marks").join(
+        vertices, ["sig_a", "sig_b"]).filter("id = vertex").select("id", "n", "tokens", "places", "marks")
 
     def tokens(known: DataFrame | None) -> DataFrame:
         """A row per vertex and prefix shingle; components are looked up before the lists are taken apart."""
         placed = listed.withColumn("component", F.col("id")) if known is None else listed.join(known, "id", "left").withColumn(
             "component", F.coalesce("component", "id"))
-        return placed.select("id", "n", "component", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
+        return placed.select("id", "n", "component", "marks", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         return df.select("token", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
@@ -298,7 +329,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
             F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
         star = side(near, "a", "band", "component").join(leaders.select(
             "token", "band", F.col("l.component").alias("other"), *[F.col(f"l.{c}").alias(f"{c}_b") for c in columns]),
-            ["token", "band"]).filter((F.col("component") != F.col("other")) & _near(percent))
+            ["token", "band"]).filter((F.col("component") != F.col("other")) & _near(percent) & _alike_by_marks(percent))
         star = star.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         star = _stored(_may_link(star, sets, percent), "pairs")
         links = links.union(_stored(_verified(star, sets, percent), "links"))
@@ -312,7 +343,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
     condition = (F.col("component") != F.col("other")) & (F.col("id_a") < F.col("id_b")) & (
         F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     pairs = side(left, "a", "component").join(side(left.withColumnRenamed("component", "other"), "b", "other"), "token").filter(
-        condition & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+        condition & _near(percent) & _alike_by_marks(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     pairs = _stored(_may_link(pairs, sets, percent), "pairs")
     second = _stored(_verified(pairs, sets, percent), "links")
     components = connected(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))

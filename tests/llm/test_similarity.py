@@ -148,3 +148,28 @@ def test_only_sets_that_pairs_hold_are_moved(spark):
     wanted = {x for pair in asked for x in pair}
     assert len(found) == len(set(found)) and wanted <= set(found) and len(found) < len(wanted) + 20
     assert similarity._asked(sets, pairs.limit(0)).count() == 0
+
+
+def test_marks_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 60, 400, 3000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for kept in (0.0, 0.5, 0.9, 0.98, 1.0):
+            other = np.unique(np.concatenate([base[rng.random(len(base)) < kept], rng.integers(0, 1 << 63, 3, dtype=np.uint64)]))
+            differ = similarity.marks_of(base) ^ similarity.marks_of(other)
+            assert sum(int(x).bit_count() for x in differ.view(np.uint64)) <= len(np.setxor1d(base, other))
+
+
+def test_unlike_documents_that_share_many_shingles_are_not_looked_up_by_pairs(documents, monkeypatch):
+    verified, asked = similarity._verified, []
+
+    def seen(pairs, sets, percent):
+        asked.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(similarity, "_verified", seen)
+    rng = random.Random(12)
+    # every fourth word is one of two: any two documents share a good half of their shingles
+    rows = [(i, " ".join(f"w{k}" if k % 4 else f"{rng.choice('ab')}{k}" for k in range(48))) for i in range(120)]
+    assert got(documents(rows), 3, 80, shard_bytes=20_000) == brute(rows, 3, 80)
+    assert sum(asked) < 3 * len(rows)
