@@ -11,15 +11,16 @@ A shingle that only one of two sets has changes one bit, so sets whose marks dif
 differ in shingles need no look; where sets are not too large, that leaves next to none but the similar ones.
 
 Links, not pairs, are wanted in the end. Equal sets are one vertex; documents that share a prefix shingle are
-first compared with one of them only, and only what this leaves unconnected is compared pair by pair. So a
-large group of copies does not give rise to all its pairs, and no link between components is lost.
+first compared with one of them, then with some, and only what this leaves unconnected is compared pair by pair, a
+pair where it first meets. So a large group of copies does not give rise to all its pairs, and no link between
+components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntframe.llm import shards
@@ -31,8 +32,9 @@ SKETCH_BITS = 17  # the table of shingle frequencies has 2**17 counts
 MOST_MATCHES = 4
 VERIFY = 1 / 16  # cost of comparing a shingle of two sets, in look-ups
 MARK_BITS = 9  # a set has 2**9 marks, 64 bytes
-FIRST_LOOKS = 2
-MARKED_BITS = 24  # ids of sets to be verified are marked in 2**24 bits, 2 MB for every task
+LOOK_LEADERS = (1, 16)  # leaders of each token and size in the first looks
+FIRST_LOOKS = len(LOOK_LEADERS)
+MARKED_BITS = 24  # ids of sets to be verified, or shingles to be compared, are marked in 2**24 bits, 2 MB for every task
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, powers: Powers, codes: np.ndarray) -> list[np.ndarray]:
@@ -220,15 +222,24 @@ def candidates(docs: DataFrame, size: int, percent: int, shard_bytes: int) -> Da
     return texts.groupBy("shard").cogroup(shards.by_shard(replies, count)).applyInArrow(shards.releasing(tell), _ROW)
 
 
+def _holding(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """The rows of which ``wanted``, a table of one column, holds the key, and those few whose keys fall on the same
+    marks: the others need not be moved."""
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << MARKED_BITS))
+
+    slot, of_wanted = place(F.col(name)), place(F.col(wanted.columns[0]))
+    bit = F.bitmap_bit_position(slot)
+    marks = wanted.groupBy(F.bitmap_bucket_number(of_wanted).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(of_wanted)).alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
+    return rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(marks), "_bucket").filter(marked).select(*rows.columns)
+
+
 def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets of which pairs hold the id, and those few whose ids fall on the same marks: the others need not be moved."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << MARKED_BITS))
-    bucket, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy(bucket.alias("_bucket")).agg(
-        F.bitmap_construct_agg(place).alias("_marks"))
-    byte = F.conv(F.hex(F.substring("_marks", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
-    return sets.withColumn("_bucket", bucket).join(F.broadcast(marks), "_bucket").filter(marked).select(*sets.columns)
+    """The sets of which pairs hold the id."""
+    return _holding(sets, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,6 +268,24 @@ def _alike_by_marks(percent: int) -> Column:
     return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
 
 
+def _side(tokens: DataFrame, name: str, *more: str) -> DataFrame:
+    """Sets by a shingle of their prefixes, as one side of pairs."""
+    own = [c for c in ("id", "n", "place", "marks", "earlier") if c in tokens.columns]
+    return tokens.select("token", *more, *[F.col(c).alias(f"{c}_{name}") for c in own])
+
+
+def _unlike_components(tokens: DataFrame, several: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets of different components that may be similar, by the shingles of ``several``. Sets of a group share most of their
+    prefixes; a pair is told at the first shingle of both lists only, so that it is made once."""
+    earlier = F.slice("tokens", F.lit(1), (F.array_position("tokens", F.col("token")) - 1).cast("int"))
+    left = _holding(tokens, "token", several).withColumn("earlier", earlier).repartition("token").join(several, "token", "left_semi")
+    condition = (F.col("component") != F.col("other")) & (F.col("id_a") < F.col("id_b")) & (
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return _side(left, "a", "component").join(_side(left.withColumnRenamed("component", "other"), "b", "other"), "token").filter(
+        condition & _near(percent) & _alike_by_marks(percent) & ~F.arrays_overlap("earlier_a", "earlier_b")).select(
+        F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share as many prefix shingles as both ask for, and may share enough in all: those,
     and at most what follows the last of them in both sets on the shorter prefix (in the common order, in
@@ -303,47 +332,47 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "doc_id"
 
     # Whole sets are looked up by id where pairs are verified; all else moves without them.
     sets = rows.filter(F.col("tokens").isNotNull() & F.col("id").isNotNull()).select("id", "n", "matches", "prefix", "shingles")
-    columns = ["id", "n", "place", "marks"]
     listed = rows.filter(F.col("tokens").isNotNull()).select("id", "n", "sig_a", "sig_b", "tokens", "places", "marks").join(
         vertices, ["sig_a", "sig_b"]).filter("id = vertex").select("id", "n", "tokens", "places", "marks")
 
-    def tokens(known: DataFrame | None) -> DataFrame:
-        """A row per vertex and prefix shingle; components are looked up before the lists are taken apart."""
-        placed = listed.withColumn("component", F.col("id")) if known is None else listed.join(known, "id", "left").withColumn(
+    def placed(known: DataFrame | None) -> DataFrame:
+        """Components are looked up before the lists are taken apart."""
+        return listed.withColumn("component", F.col("id")) if known is None else listed.join(known, "id", "left").withColumn(
             "component", F.coalesce("component", "id"))
-        return placed.select("id", "n", "component", "marks", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
 
-    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
-        return df.select("token", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    def tokens(known: DataFrame | None) -> DataFrame:
+        """A row per vertex and prefix shingle."""
+        return placed(known).select("id", "n", "component", "marks", "tokens", F.inline(
+            F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))))
+
+    def several(known: DataFrame) -> DataFrame:
+        """The shingles that stand in several components. Only the rows of these are dealt out with all they hold."""
+        found = placed(known).select("component", F.explode("tokens").alias("token")).groupBy("token").agg(
+            F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+        return _stored(found.select("token"), "tokens")
 
-    # First looks: each document against a leader of those that share a shingle and are of like size. Leaders are
-    # picked by a hash of their id, so the shingles of one group of copies mostly agree on theirs.
+    # First looks: each document against leaders of those that share a shingle and are of like size. Leaders are
+    # picked by a hash of their id, so the shingles of one group of copies mostly agree on theirs. One leader joins
+    # the bulk of a group; documents that it missed, which would all be compared with that bulk, then meet several.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     links = repeated
     known = None
-    for look in range(FIRST_LOOKS):
+    for look, many in enumerate(LOOK_LEADERS):
         # Dealt out once, for the leaders and for their followers.
-        near = tokens(known).withColumn("band", band).repartition("token", "band")
-        leaders = near.groupBy("token", "band").agg(
-            F.min_by(F.struct(*columns, "component"), F.xxhash64("id", F.lit(look))).alias("l"),
-            F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        star = side(near, "a", "band", "component").join(leaders.select(
-            "token", "band", F.col("l.component").alias("other"), *[F.col(f"l.{c}").alias(f"{c}_b") for c in columns]),
-            ["token", "band"]).filter((F.col("component") != F.col("other")) & _near(percent) & _alike_by_marks(percent))
+        near = tokens(known) if known is None else _holding(tokens(known), "token", several(known))
+        near = near.drop("tokens").withColumn("band", band).repartition("token", "band")
+        of_each = Window.partitionBy("token", "band")
+        leaders = near.withColumn("first", F.row_number().over(of_each.orderBy(F.xxhash64("id", F.lit(look)), "id"))).filter(
+            F.col("first") <= many).withColumnRenamed("component", "other")
+        star = _side(near, "a", "band", "component").join(_side(leaders, "b", "band", "other"), ["token", "band"]).filter(
+            (F.col("component") != F.col("other")) & _near(percent) & _alike_by_marks(percent))
         star = star.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         star = _stored(_may_link(star, sets, percent), "pairs")
         links = links.union(_stored(_verified(star, sets, percent), "links"))
         known = connected(links)
 
-    # Second look: pairs of documents that are not connected yet.
-    placed = tokens(known).repartition("token")
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
-        "low != high").select("token")
-    left = placed.join(open_tokens, "token", "left_semi")
-    condition = (F.col("component") != F.col("other")) & (F.col("id_a") < F.col("id_b")) & (
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    pairs = side(left, "a", "component").join(side(left.withColumnRenamed("component", "other"), "b", "other"), "token").filter(
-        condition & _near(percent) & _alike_by_marks(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    # Last look: pairs of documents that are not connected yet.
+    pairs = _unlike_components(tokens(known), several(known), percent).distinct()
     pairs = _stored(_may_link(pairs, sets, percent), "pairs")
     second = _stored(_verified(pairs, sets, percent), "links")
     components = connected(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))

@@ -173,3 +173,32 @@ def test_unlike_documents_that_share_many_shingles_are_not_looked_up_by_pairs(do
     rows = [(i, " ".join(f"w{k}" if k % 4 else f"{rng.choice('ab')}{k}" for k in range(48))) for i in range(120)]
     assert got(documents(rows), 3, 80, shard_bytes=20_000) == brute(rows, 3, 80)
     assert sum(asked) < 3 * len(rows)
+
+
+def test_a_pair_of_the_last_look_is_made_once(spark):
+    marks, lists = [0] * 8, {1: [5, 6, 7, 9], 2: [4, 6, 7, 9], 3: [8, 9]}
+    rows = [(i, 100, i, marks, tokens, token, place) for i, tokens in lists.items() for place, token in enumerate(tokens)]
+    tokens = spark.createDataFrame(
+        rows, "id long, n long, component long, marks array<long>, tokens array<long>, token long, place long")
+    found = similarity._unlike_components(tokens, tokens.select("token").distinct(), 90)
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_documents_that_the_bulk_of_a_group_misses(documents):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for place in rng.sample(range(120), rng.choice([0, 1, 1, 2, 3])):
+            words[place] = f"x{i}_{place}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[k:k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    component = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                low, high = sorted((component[a], component[b]))
+                component = [low if c == high else c for c in component]
+    found = {r.doc_id: r.component_id for r in similarity.link(documents(rows), size=3, percent=90).collect()}
+    assert found == dict(enumerate(component))
