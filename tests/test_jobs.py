@@ -223,6 +223,27 @@ def test_tfidf(spark):
     assert [x[3] for x in got] == [pytest.approx(scores[i]) for i in best]
 
 
+def test_stored_index_lies_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "BATCH_BYTES", 400, raising=False)
+    rng = random.Random(6)
+    texts = [(i, " ".join(["often"] * 2 + rng.choices([f"w{k}" for k in range(40)], k=10))) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (None, "often w1 w2"), (7, "w3 w3 w4"), (61, None)], "id int, text string")
+    asked = spark.createDataFrame([(0, texts[7][1]), (1, "often"), (2, "w1 w2 often"), (3, "zz")], "q int, text string")
+
+    def found(path):
+        index = R.build_index(docs, "id", "text", [], path=path)
+        rows = [(r.q, r["rank"], r.id, round(r.score, 9)) for r in R.search(index, asked, "q", "text", 4).collect()]
+        return index, sorted(rows, key=str)
+
+    index, got = found(str(tmp_path / "index"))
+    assert got == found(None)[1]
+    parts = {r[0] for r in spark.read.parquet(str(tmp_path / "index" / "counts")).select("_part").distinct().collect()}
+    assert parts == set(range(index.batches)) and index.batches > 3
+    assert [f.name for f in R.build_index(docs, "id", "text", []).vocabulary.schema] == ["term", "idf"]
+    empty = R.build_index(docs.limit(0), "id", "text", [], path=str(tmp_path / "none"))
+    assert R.search(empty, asked, "q", "text").collect() == []
+
+
 def test_vocabulary_limit(spark):
     docs = spark.createDataFrame([(1, "aa aa aa bb bb cc"), (2, "bb dd")], "id int, text string")
     index = R.build_index(docs, "id", "text", [], max_terms=3)
